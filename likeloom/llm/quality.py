@@ -160,8 +160,12 @@ def votes_code(prefix: str = "") -> Column:
 
 
 def qualities(measured: DataFrame, prefix: str = "") -> DataFrame:
-    """(votes, quality): each vote pattern in measured with the posterior that the fit gives it."""
-    seen = measured.select(votes_code(prefix).alias("votes")).groupBy("votes").count().collect()  # 3 ** len(rules()) rows at most
+    """(votes, quality): each vote pattern in measured with the posterior that the fit gives it.
+
+    Documents that fail the base rule are rejected whatever their votes, so the fit leaves them out.
+    """
+    judged = measured.filter(~base_failed(prefix)).select(votes_code(prefix).alias("votes"))
+    seen = judged.groupBy("votes").count().collect()  # 3 ** len(rules()) rows at most
     spark = measured.sparkSession
     if not seen:
         return spark.createDataFrame([], "votes int, quality double")
@@ -172,10 +176,14 @@ def qualities(measured: DataFrame, prefix: str = "") -> DataFrame:
 
 
 def quality_report(docs: DataFrame, least: float = 0.5) -> DataFrame:
-    """(doc_id, COUNTS, base_failed, quality, kept) of each row; kept: not base_failed, and quality >= least."""
+    """(doc_id, COUNTS, base_failed, quality, kept) of each row; kept: not base_failed, and quality >= least.
+
+    quality is null where no document passes the base rule with the same votes.
+    """
     measured = stage(document_measures(docs), "quality")
-    judged = measured.withColumn("votes", votes_code()).join(F.broadcast(qualities(measured)), "votes")
-    return judged.select("doc_id", *COUNTS, base_failed().alias("base_failed"), "quality", (~base_failed() & (F.col("quality") >= least)).alias("kept"))
+    judged = measured.withColumn("votes", votes_code()).join(F.broadcast(qualities(measured)), "votes", "left")
+    kept = ~base_failed() & (F.coalesce("quality", F.lit(0.0)) >= least)
+    return judged.select("doc_id", *COUNTS, base_failed().alias("base_failed"), "quality", kept.alias("kept"))
 
 
 def keep_good(docs: DataFrame, least: float = 0.5) -> DataFrame:
