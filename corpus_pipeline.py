@@ -9,7 +9,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from likeloom.llm import bpe, quality, secrets
+from likeloom.llm import bpe, quality, secrets, simhash
 from likeloom.llm.shared import stage
 
 
@@ -18,6 +18,11 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.keep_good(docs)
 
 
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each SimHash component stays."""
+    return simhash.drop_near_duplicates(docs)
+
+
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets are put as a mark; every document stays."""
     return secrets.redact_secrets(docs)
@@ -28,7 +33,7 @@ def bpe_encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return bpe.encode_digests(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
-STAGES = [("quality_rules", quality_rules), ("secret_scan", secret_scan), ("bpe_encode", bpe_encode)]
+STAGES = [("quality_rules", quality_rules), ("near_dedup", near_dedup), ("secret_scan", secret_scan), ("bpe_encode", bpe_encode)]
 
 #: The weakly supervised posterior is estimated iteratively, which SQL doesn't express.
 ORACLE_SQL = None
