@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, quality, secrets, simhash, topk
+from . import bpe, licenses, quality, secrets, simhash, topk
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,6 +44,20 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *quality.COUNTS, "base_failed", "kept", "quality")
 
 
+def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License phrases and fuzzy notices in documents; score is 1 for an exact phrase, else the best notice's similarity."""
+    found = licenses.scan_licenses(table(spark, sf_dir, "documents"))
+    base, more = F.col("places.label"), F.col("spans.label")
+    score = F.when(F.size("places") > 0, 1.0).otherwise(F.coalesce(F.array_max("spans.similarity"), F.lit(0.0)))
+    return found.select(
+        "doc_id", "n_words", F.size("places").cast("long").alias("n_base"),
+        F.array_min("places.word").alias("first_word"), F.array_max("places.word").alias("last_word"),
+        F.concat_ws(",", F.array_sort(F.array_distinct(base))).alias("base_labels"),
+        F.concat_ws(",", F.array_sort(F.array_distinct(F.concat(base, more)))).alias("labels"),
+        score.alias("score"),
+    )
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents' token counts with digests of their ids and of their decoding."""
     return bpe.encode_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
@@ -79,6 +93,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simhash": op2_simhash,
     "op5_topk": op5_topk,
     "op6_quality": op6_quality,
+    "op9_licenses": op9_licenses,
     "op10_bpe": op10_bpe,
 }
 
