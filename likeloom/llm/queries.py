@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, licenses, quality, secrets, simhash, topk
+from . import bpe, licenses, quality, secrets, simhash, suffixes, superkmers, topk
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,6 +44,22 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *quality.COUNTS, "base_failed", "kept", "quality")
 
 
+def removed(spans: str) -> F.Column:
+    return F.aggregate(spans, F.lit(0).cast("long"), lambda n, x: n + x["end"] - x["start"])
+
+
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of documents left when strings of 100 bytes that start earlier are removed."""
+    found = suffixes.remove_repeated_strings(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.col("n_units").alias("n_bytes"), removed("spans").alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of documents left when windows of 20 words that start earlier are removed."""
+    found = superkmers.remove_repeated_words(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.col("n_units").alias("n_words"), removed("spans").alias("n_removed"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """License phrases and fuzzy notices in documents; score is 1 for an exact phrase, else the best notice's similarity."""
     found = licenses.scan_licenses(table(spark, sf_dir, "documents"))
@@ -93,6 +109,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simhash": op2_simhash,
     "op5_topk": op5_topk,
     "op6_quality": op6_quality,
+    "op7_suffix_dedup": op7_suffix_dedup,
+    "op8_substring_dedup": op8_substring_dedup,
     "op9_licenses": op9_licenses,
     "op10_bpe": op10_bpe,
 }
