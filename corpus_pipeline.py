@@ -9,9 +9,12 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from likeloom.llm import bpe, quality, secrets, simhash
+from likeloom.llm import bpe, mixing, quality, secrets, simhash
 from likeloom.llm.shared import stage
 
+#: Expected tokens of the mixed sample by all tokens that reach the stage.
+MIX_BUDGET = 0.8
+
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the weakly supervised rules reject go."""
@@ -28,12 +31,17 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return secrets.redact_secrets(docs)
 
 
+def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A sample whose sources, languages and topics have their target shares."""
+    return mixing.sample_mix(docs, budget=MIX_BUDGET)
+
+
 def bpe_encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document's ids and decoding as digests, with its number of tokens."""
     return bpe.encode_digests(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
-STAGES = [("quality_rules", quality_rules), ("near_dedup", near_dedup), ("secret_scan", secret_scan), ("bpe_encode", bpe_encode)]
+STAGES = [("quality_rules", quality_rules), ("near_dedup", near_dedup), ("secret_scan", secret_scan), ("source_mix", source_mix), ("bpe_encode", bpe_encode)]
 
 #: The weakly supervised posterior is estimated iteratively, which SQL doesn't express.
 ORACLE_SQL = None

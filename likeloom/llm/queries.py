@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, licenses, quality, secrets, simhash, suffixes, superkmers, topk
+from . import bpe, licenses, mixing, quality, secrets, simhash, suffixes, superkmers, topk
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,6 +33,12 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raked factors and sampling probabilities of documents, and the sample."""
+    found = mixing.mixing(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", *mixing.MARGINS, "n_tokens", F.round("factor", 6).alias("factor"), F.round("probability", 6).alias("probability"), "sampled")
+
+
 def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five best inner products of each fiftieth vector with all others."""
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
@@ -107,6 +113,7 @@ FROM d LEFT JOIN spans ON d.doc_id = spans.doc_id GROUP BY d.doc_id"""
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secrets": op1_secrets,
     "op2_simhash": op2_simhash,
+    "op3_mixing": op3_mixing,
     "op5_topk": op5_topk,
     "op6_quality": op6_quality,
     "op7_suffix_dedup": op7_suffix_dedup,
@@ -115,6 +122,46 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_bpe": op10_bpe,
 }
 
+def mixing_sql() -> str:
+    """The raking unrolled, one common table for each step."""
+    margins = mixing.MARGINS
+    steps, last = [], "scaled"
+    for r in range(mixing.ROUNDS):
+        for m in margins:
+            name = f"x{r}_{m}"
+            steps.append(f"{name} AS (SELECT * REPLACE (x * to_{m} / sum(x) OVER (PARTITION BY {m}) AS x) FROM {last})")
+            last = name
+
+    def often(*marks: str) -> str:
+        left = "t"
+        for x in marks:
+            left = f"replace({left}, '{x}', '')"
+        return f"10 * (length(t) - length({left})) > n_tokens"
+
+    powers = ", ".join(f"pow(sum(x) OVER (PARTITION BY {m}), {mixing.TEMPERATURES[m]}) AS p_{m}, count(*) OVER (PARTITION BY {m}) AS n_{m}" for m in margins)
+    scaled = ", ".join(f"p_{m} * (sum(x) OVER () / sum(p_{m} / n_{m}) OVER ()) AS to_{m}" for m in margins)
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, coalesce(source, '') AS source, coalesce(lang, '') AS lang,
+  CAST(len(regexp_extract_all(coalesce(text, ''), '{mixing.WORD}')) AS BIGINT) AS n_tokens FROM documents),
+rows_ AS (SELECT doc_id, source, lang, n_tokens, CASE WHEN regexp_matches(t, '[Ll][Ii][Cc][Ee][Nn][Ss][Ee]') THEN 'legal' WHEN {often("|")} THEN 'tables'
+  WHEN {often("#", "*", "$", "%", "&")} THEN 'markup' WHEN n_tokens >= 500 THEN 'essay' ELSE 'note' END AS topic FROM d),
+cells AS (SELECT source, lang, topic, CAST(sum(n_tokens) AS DOUBLE) AS tokens, CAST(sum(n_tokens) AS DOUBLE) AS x FROM rows_ WHERE n_tokens > 0 GROUP BY ALL),
+powers AS (SELECT *, {powers} FROM cells),
+scaled AS (SELECT source, lang, topic, tokens, x, {scaled} FROM powers),
+{", ".join(steps)},
+factors AS (SELECT source, lang, topic, tokens, x / tokens AS factor FROM {last}),
+sums AS (SELECT *, {mixing.BUDGET} * sum(tokens) OVER () - coalesce(sum(tokens) OVER o, 0) AS want,
+  sum(tokens * factor) OVER () - coalesce(sum(tokens * factor) OVER o, 0) AS rest
+  FROM factors WINDOW o AS (ORDER BY factor DESC, source, lang, topic ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+scale AS (SELECT arg_max(want / rest, factor) AS c FROM sums WHERE want / rest * factor < 1),
+chances AS (SELECT source, lang, topic, factor, least(1.0, factor * (SELECT c FROM scale)) AS probability FROM factors),
+joined AS (SELECT r.doc_id, r.source, r.lang, r.topic, r.n_tokens, coalesce(c.factor, 0.0) AS factor, CASE WHEN n_tokens > 0 THEN c.probability ELSE 0.0 END AS probability
+  FROM rows_ r LEFT JOIN chances c USING (source, lang, topic))
+SELECT doc_id, source, lang, topic, n_tokens, round(factor, 6) AS factor, round(probability, 6) AS probability,
+  CAST('0x' || substr(md5('{mixing.SEED}:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) / 4294967296.0 < probability AS sampled
+FROM joined"""
+
+
 TOPK_SQL = """
 WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
   WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
@@ -124,4 +171,4 @@ scored AS (
 ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM scored)
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5"""
 
-ORACLE: dict[str, str] = {"op1_secrets": secrets_sql(), "op5_topk": TOPK_SQL}
+ORACLE: dict[str, str] = {"op1_secrets": secrets_sql(), "op3_mixing": mixing_sql(), "op5_topk": TOPK_SQL}
