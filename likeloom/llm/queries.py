@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, licenses, mixing, quality, secrets, simhash, suffixes, superkmers, topk
+from . import bpe, html, licenses, mixing, quality, secrets, simhash, suffixes, superkmers, topk
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,6 +39,11 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *mixing.MARGINS, "n_tokens", F.round("factor", 6).alias("factor"), F.round("probability", 6).alias("probability"), "sampled")
 
 
+def op4_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of pages with its length in code points."""
+    return html.extract_text(table(spark, sf_dir, "pages")).select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
 def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five best inner products of each fiftieth vector with all others."""
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
@@ -114,6 +119,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secrets": op1_secrets,
     "op2_simhash": op2_simhash,
     "op3_mixing": op3_mixing,
+    "op4_html": op4_html,
     "op5_topk": op5_topk,
     "op6_quality": op6_quality,
     "op7_suffix_dedup": op7_suffix_dedup,
