@@ -126,13 +126,17 @@ def without_liked(pages: DataFrame, likes: DataFrame, posts: DataFrame, n: int =
 
 
 def special_posts(config: DataFrame) -> DataFrame:
-    """The nested config (algorithm_id, sponsorship_saturation_rate, pinned, sticky, sponsored) as rows (algo_id, kind, place, attribution, uri, cpm_cents)."""
-    parts = []
-    for kind, name in (("pinned", "pinned"), ("rotating", "sticky"), ("sponsored", "sponsored")):
-        rows = config.select(F.col("algorithm_id").alias("algo_id"), "sponsorship_saturation_rate", F.posexplode(name).alias("place", "x"))
-        cpm = F.col("x.cpm_cents") if kind == "sponsored" else F.lit(None)
-        parts.append(rows.select("algo_id", F.col("sponsorship_saturation_rate").alias("saturation"), F.lit(kind).alias("kind"), "place", F.col("x.attribution").alias("attribution"), F.col("x.post").alias("uri"), cpm.cast("int").alias("cpm_cents")))
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    """The nested config (algorithm_id, sponsorship_saturation_rate, pinned, sticky, sponsored) as rows (algo_id, saturation, kind, place, attribution, uri, cpm_cents)."""
+
+    def rows(kind: str, name: str) -> Column:
+        def one(x: Column, place: Column) -> Column:
+            cpm = x["cpm_cents"] if kind == "sponsored" else F.lit(None)
+            return F.struct(F.lit(kind).alias("kind"), place.alias("place"), x["attribution"].alias("attribution"), x["post"].alias("uri"), cpm.cast("int").alias("cpm_cents"))
+
+        return F.coalesce(F.transform(name, one), F.array())
+
+    each = F.explode(F.concat(rows("pinned", "pinned"), rows("rotating", "sticky"), rows("sponsored", "sponsored")))
+    return config.select(F.col("algorithm_id").alias("algo_id"), F.col("sponsorship_saturation_rate").alias("saturation"), each.alias("x")).select("algo_id", "saturation", "x.*")
 
 
 def injected(base: DataFrame, special: DataFrame, seed: str, first_page: bool = True, shown: DataFrame | None = None) -> DataFrame:
@@ -143,38 +147,43 @@ def injected(base: DataFrame, special: DataFrame, seed: str, first_page: bool =
     to a fifth; one at least. They are mixed at random and spread evenly, a place up or down. Posts on
     the page already and attributions in `shown` (algo_id, kind, attribution) are left out.
     """
-    kind, n = F.col("kind"), F.coalesce("n", F.lit(0))
+    kind = F.col("kind")
     fresh = special.join(base.select("algo_id", "uri"), ["algo_id", "uri"], "left_anti")
     fresh = fresh if shown is None else fresh.join(shown.select("algo_id", "kind", "attribution"), ["algo_id", "kind", "attribution"], "left_anti")
     fresh = fresh if first_page else fresh.filter(kind != "pinned")
-    pinned = top(fresh.filter(kind == "pinned"), 1, ["algo_id", "attribution"], F.col("place"))
-    pinned = top(pinned, 1, ["algo_id", "uri"], F.col("place"))
-    rest = fresh.filter(kind != "pinned").join(pinned.select("algo_id", "uri"), ["algo_id", "uri"], "left_anti")
-    sizes = base.groupBy("algo_id").agg(F.count("*").alias("n"))
-    rest = rest.join(sizes, "algo_id", "left").withColumn("size", n)
-    share = F.greatest(F.floor(F.col("size") * 0.10), F.lit(1)).cast("int")
-    rotating = rest.filter(kind == "rotating").withColumn("turn", F.row_number().over(Window.partitionBy("algo_id").orderBy(seeded(seed, F.col("uri")), "place"))).filter(F.col("turn") <= share)
-    n_rotating = rotating.groupBy("algo_id").agg(F.count("*").alias("n_rotating"))
-    paid = rest.filter(kind == "sponsored").join(rotating.select("algo_id", "uri"), ["algo_id", "uri"], "left_anti").join(n_rotating, "algo_id", "left")
-    room = F.greatest(F.floor(F.col("size") * 0.20), F.lit(1)) - F.coalesce("n_rotating", F.lit(0))
+    sized = fresh.join(base.groupBy("algo_id").agg(F.count("*").alias("size")), "algo_id", "left").fillna(0, ["size"])
+
+    def among(*by: str) -> Window:
+        return Window.partitionBy("algo_id", *by)
+
+    pinned, rotating, sponsored = (kind == k for k in ("pinned", "rotating", "sponsored"))
+    # A post stands once: pinned before rotating before sponsored, then by place.
+    once = sized.withColumn("again", pinned & ((F.row_number().over(among("kind", "uri").orderBy("place")) > 1) | (F.row_number().over(among("kind", "attribution").orderBy("place")) > 1)))
+    free = once.withColumn("taken", ~pinned & F.max(pinned & ~F.col("again")).over(among("uri"))).filter("NOT again AND NOT taken")
+    share = F.greatest(F.floor(F.col("size") * 0.10), F.lit(1))
+    turned = free.withColumn("turn", F.row_number().over(among("kind").orderBy(seeded(seed, F.col("uri")), "place")))
+    chosen = turned.withColumn("rotates", rotating & (F.col("turn") <= share))
+    open_ = chosen.withColumns({"blocked": F.max("rotates").over(among("uri")), "n_rotating": F.count_if("rotates").over(among())})
+    room = F.greatest(F.floor(F.col("size") * 0.20), F.lit(1)) - F.col("n_rotating")
     most = F.least(F.floor(F.floor(F.col("size") / 5) * F.col("saturation") / 100 + 0.5), room)
-    paid = paid.withColumn("turn", F.row_number().over(Window.partitionBy("algo_id").orderBy("place"))).filter(F.col("turn") <= most)
-    extra = rotating.select("algo_id", "uri", "kind", "attribution", "size").unionByName(paid.select("algo_id", "uri", "kind", "attribution", "size"))
-    mixed = Window.partitionBy("algo_id").orderBy(seeded(f"{seed}:mix", F.col("uri")), "uri")
-    extra = extra.withColumns({"i": F.row_number().over(mixed), "m": F.count("*").over(Window.partitionBy("algo_id"))})
+    paid = open_.withColumn("pays", sponsored & ~F.col("blocked") & (F.row_number().over(among("kind", "blocked").orderBy("place")) <= most))
+    kept = paid.filter(pinned | F.col("rotates") | F.col("pays"))
+    mixed = kept.withColumn("spread", ~pinned)
+    mixed = mixed.withColumns({"i": F.row_number().over(among("spread").orderBy(seeded(f"{seed}:mix", F.col("uri")), "uri")), "m": F.count("*").over(among("spread"))})
     step = F.greatest(F.floor(F.col("size") / (F.col("m") + 1)), F.lit(2))
     jitter = F.when(step > 2, F.floor(seeded_unit(f"{seed}:jitter", F.col("algo_id"), F.col("i")) * 3) - 1).otherwise(0)
     slot = F.least(F.greatest(F.col("i") * step + jitter, F.lit(1)), F.col("size"))
     # Equal slots count once; posts beyond the distinct slots come last.
-    slots = extra.select("algo_id", slot.alias("slot")).distinct().withColumn("i", F.row_number().over(Window.partitionBy("algo_id").orderBy("slot")))
-    placed = extra.drop("m").join(slots, ["algo_id", "i"], "left")
-    rows = (
-        pinned.select("algo_id", "uri", kind.alias("source"), "attribution", F.lit(-1.0).alias("major"), F.col("place").alias("minor"))
-        .unionByName(base.select("algo_id", "uri", F.lit("base").alias("source"), F.lit(None).cast("string").alias("attribution"), (F.col("pos") + 0.5 - 1).alias("major"), F.lit(0).alias("minor")))
-        .unionByName(placed.select("algo_id", "uri", kind.alias("source"), "attribution", F.coalesce(F.col("slot").cast("double"), F.lit(1e12)).alias("major"), F.col("i").alias("minor")))
-    )
+    slots = F.array_sort(F.collect_set(slot).over(among("spread")))
+    placed = mixed.withColumn("slots", slots).withColumn("slot", F.when(F.col("i") <= F.size("slots"), F.get("slots", F.col("i") - 1)))
+    extra = placed.select(
+        "algo_id", "uri", kind.alias("source"), "attribution",
+        F.when(pinned, -1.0).otherwise(F.coalesce(F.col("slot").cast("double"), F.lit(1e12))).alias("major"),
+        F.when(pinned, F.col("place")).otherwise(F.col("i")).alias("minor"),
+    )
+    page = base.select("algo_id", "uri", F.lit("base").alias("source"), F.lit(None).cast("string").alias("attribution"), (F.col("pos") - 0.5).alias("major"), F.lit(0).alias("minor"))
     order = Window.partitionBy("algo_id").orderBy("major", "minor", "uri")
-    return rows.withColumn("pos", F.row_number().over(order)).select("algo_id", "pos", "uri", "source", "attribution")
+    return page.unionByName(extra).withColumn("pos", F.row_number().over(order)).select("algo_id", "pos", "uri", "source", "attribution")
 
 
 def injected_counts(pages: DataFrame) -> DataFrame:

@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 from ..functions import expressions as X
 from ..operators import bandit, blend, candidates, colikers, diversity, explain, graph, interactions, ranker, registry, tranches
 from ..params import DAY, AuthorParams, CandidateParams, DiversityParams, RankParams
+from ..schema import LIKES
 from ..sources import events
 from ..sources.benchdata import BENCH_TRANCHES, CAP, HALF_LIFE, NOW, WINDOW, Graph
+from ..streaming import ingest
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -22,6 +24,8 @@ TIGHT = RankParams(window=WINDOW, half_life=HALF_LIFE, cap=None, max_user_likes=
 AUTHORS = AuthorParams(max_authors=5, max_sources=50, max_likers=30, window=WINDOW)
 CANDIDATES = CandidateParams(preferred_age=1000 * DAY, fallback_age=2200 * DAY, minimum=480, limit=400)
 PAGE = 20
+#: Retention of the streamed table: the data's last quarter.
+KEEP_FROM = "20010801"
 
 
 def query(f: Callable[[Graph], DataFrame]) -> Callable[[Graph], DataFrame]:
@@ -558,6 +562,16 @@ def event_lines(g: Graph) -> DataFrame:
     return g.likes.join(g.posts, "post_id").select(line.alias("value"))
 
 
+@query
+def op_stream_ingest(g: Graph) -> DataFrame:
+    """The firehose's lines streamed into the edge table, in two micro-batches; what is past the retention is dropped; edges by day."""
+    folder = ingest.workspace(g.spark)
+    event_lines(g).repartition(6).write.text(f"{folder}/lines")
+    lines = events.stream(g.spark, f"{folder}/lines", files_per_trigger=3)
+    ingest.ingest(lines, f"{folder}/likes", f"{folder}/offsets", keep_from=KEEP_FROM, cap=None, now_us=0).awaitTermination()
+    return g.spark.read.schema(LIKES).parquet(f"{folder}/likes").groupBy("like_date").agg(F.count("*").alias("n_edges"), F.max("like_ts").alias("last_ts"))
+
+
 # ---- explain and administration --------------------------------------------------------------------
 
 

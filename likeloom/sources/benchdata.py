@@ -108,9 +108,13 @@ class Graph:
 
     @cached_property
     def tranches(self) -> DataFrame:
-        """(algo_id, tranche, uri, rank) for the assembly operators: all days count."""
+        """(algo_id, tranche, uri, rank) for the assembly operators: all days count.
+
+        Kept, as the lists are stored tables where feeds are served: some hundred rows a feed.
+        """
         p = BENCH_TRANCHES
-        return tranches.all_tranches(self.candidates, self.likes, self.posts, NOW, p).join(self.posts.select("post_id", "uri"), "post_id").select("algo_id", "tranche", "uri", "rank")
+        lists = tranches.all_tranches(self.candidates, self.likes, self.posts, NOW, p).join(self.posts.select("post_id", "uri"), "post_id").select("algo_id", "tranche", "uri", "rank")
+        return lists.persist()
 
 
 #: Half-lives to the data's scale; days of the data are counted whole.

@@ -8,6 +8,9 @@ only the days it has events of.
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -17,6 +20,16 @@ from ..schema import LIKES
 from ..sources import events
 
 
+def workspace(spark: SparkSession) -> str:
+    """A new folder in the one that driver and executors share: spark.checkpoint.dir, or in local mode a temporary one."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="likeloom-")
+    return f"{folder}/ingest-{uuid.uuid4().hex}"
+
+
 def edges(likes: DataFrame) -> DataFrame:
     """Parsed events as edges whose user and post are 64-bit hashes of their names: no dictionary is needed to write them."""
     return likes.select(
