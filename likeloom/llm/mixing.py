@@ -25,7 +25,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import stage
+from .shared import stage, unused
 
 MARGINS = ("source", "lang", "topic")
 #: Of a margin's share: a large source counts less than its size, languages and topics somewhat less.
@@ -89,7 +89,7 @@ def raked(cells: DataFrame, rounds: int = ROUNDS, targets: dict[str, dict[str, f
     spread = stage(spread, "cells")
     known = spread.agg(F.sum("x").alias("x"), *sums).first()  # one row
     for name in MARGINS:
-        whole = known["x"] if name in targets else (known["x"] or 0.0) / (known[f"sum_{name}"] or 1.0)
+        whole = (known["x"] or 0.0) / (1.0 if name in targets else known[f"sum_{name}"] or 1.0)
         spread = spread.withColumn(f"to_{name}", F.col(f"to_{name}") * F.lit(whole))
     for _ in range(rounds):
         for name in MARGINS:
@@ -100,17 +100,18 @@ def raked(cells: DataFrame, rounds: int = ROUNDS, targets: dict[str, dict[str, f
 def calibrated(factors: DataFrame, budget: float = BUDGET) -> DataFrame:
     """factors with probability: the least of 1 and scale * factor, for the scale that makes the expected tokens budget of all."""
     factors = stage(factors, "factors")
-    scale, before = 0.0, -1.0
-    want = None
-    while scale != before:  # each step takes more cells whole; ends when none is added
+    scale, full = 0.0, -1
+    while True:
         whole = F.col("factor") * F.lit(scale) >= 1
         row = factors.agg(
             F.sum("tokens").alias("all"),
+            F.count_if(whole).alias("full"),
             F.sum(F.when(whole, F.col("tokens"))).alias("whole"),
             F.sum(F.when(~whole, F.col("tokens") * F.col("factor"))).alias("rest"),
         ).first()  # one row
-        want = (row["all"] or 0) * budget
-        before, scale = scale, (want - (row["whole"] or 0)) / row["rest"] if row["rest"] else scale
+        if row["full"] == full or not row["rest"]:  # a larger scale only adds to the cells taken whole
+            break
+        full, scale = row["full"], (row["all"] * budget - (row["whole"] or 0)) / row["rest"]
     return factors.withColumn("probability", F.least(F.lit(1.0), F.col("factor") * F.lit(scale)))
 
 
@@ -122,7 +123,8 @@ def drawn(probability: Column, doc_id: Column, seed: str = SEED) -> Column:
 
 def mixing(docs: DataFrame, budget: float = BUDGET, targets: dict[str, dict[str, float]] | None = None) -> DataFrame:
     """(doc_id, source, lang, topic, n_tokens, factor, probability, sampled) of each row."""
-    rows = stage(with_cells(docs).select(F.col("doc_id").cast("long").alias("doc_id"), *MARGINS, "n_tokens"), "tokens")
+    named = docs.select("doc_id", "text", *(m for m in MARGINS if m in docs.columns))
+    rows = stage(with_cells(named).select(F.col("doc_id").cast("long").alias("doc_id"), *MARGINS, "n_tokens"), "tokens")
     cells = rows.filter("n_tokens > 0").groupBy(*MARGINS).agg(F.sum("n_tokens").alias("tokens"))
     chances = calibrated(raked(cells, targets=targets), budget).drop("tokens")
     joined = rows.join(chances, list(MARGINS), "left")
@@ -132,7 +134,7 @@ def mixing(docs: DataFrame, budget: float = BUDGET, targets: dict[str, dict[str,
 
 def sample_mix(docs: DataFrame, budget: float = BUDGET, targets: dict[str, dict[str, float]] | None = None) -> DataFrame:
     """The rows of docs, all columns, that mixing() samples."""
-    prefix = "_mix_"
+    (prefix,) = unused(docs, "_mix_")
     measured = with_cells(docs, prefix)
     names = {f"{prefix}{n}": n for n in MARGINS}
     cells = measured.filter(F.col(f"{prefix}n_tokens") > 0).groupBy(*names).agg(F.sum(f"{prefix}n_tokens").alias("tokens")).withColumnsRenamed(names)

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import arrow_pass, stage, texts_of
+from .shared import arrow_pass, stage, texts_of, unused
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 MORE = ("n_lines", "n_letters", "n_upper", "n_digits", "n_distinct", "n_marks", "n_ended")
@@ -191,8 +191,9 @@ def keep_good(docs: DataFrame, least: float = 0.5) -> DataFrame:
 
     Documents are measured once for the votes and once more to filter, so texts are never shuffled.
     """
-    prefix = "_quality_"
-    table = qualities(document_measures(docs)).withColumnsRenamed({"votes": "_votes", "quality": "_posterior"})
-    measured = with_measures(docs, prefix).withColumn("_votes", votes_code(prefix))
-    good = measured.join(F.broadcast(table), "_votes").filter(~base_failed(prefix) & (F.col("_posterior") >= least))
+    (prefix,) = unused(docs, "_quality_")
+    votes, posterior_ = f"{prefix}votes", f"{prefix}posterior"
+    table = qualities(document_measures(docs)).withColumnsRenamed({"votes": votes, "quality": posterior_})
+    measured = with_measures(docs, prefix).withColumn(votes, votes_code(prefix))
+    good = measured.join(F.broadcast(table), votes).filter(~base_failed(prefix) & (F.col(posterior_) >= least))
     return good.select(*(F.col(f"`{x}`") for x in docs.columns))

@@ -10,8 +10,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 # Workers get these functions by value, so they need not have the package on their path.
@@ -72,9 +71,14 @@ def shuffle_width(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
 
 
-def column_or(df: DataFrame, name: str, kind: str) -> Column:
-    """Column `name` of df as `kind`, null where df has none."""
-    return df[name].cast(kind) if name in df.columns else F.lit(None).cast(kind)
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, lengthened until neither they nor what starts with them are columns of df."""
+    taken, out = [c.lower() for c in df.columns], []
+    for name in names:
+        while any(c.startswith(name.lower()) for c in taken):
+            name += "_"
+        out.append(name)
+    return out
 
 
 def packed(*arrays: np.ndarray) -> bytes:

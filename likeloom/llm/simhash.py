@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import arrow_pass, shuffle_width, stage, texts_of
+from .shared import arrow_pass, shuffle_width, stage, texts_of, unused
 
 SHINGLE, SEED, MOST_BITS = 3, 42, 2
 #: The blocks of bits, as (lowest bit, width).
@@ -260,12 +260,13 @@ def classes(prints: DataFrame) -> DataFrame:
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     """The rows of docs, all columns, that are the first of their component: smallest doc_id (null last), then hash of text; of equal rows one."""
-    key = F.xxhash64(F.coalesce("text", F.lit("")))
-    order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("_hash").alias("hash"))
-    rows = stage(fingerprints(docs.select("doc_id", key.alias("_hash"), "text"), "doc_id", "_hash"), "fingerprints")
+    key, row, own = unused(docs, "_key", "_row", "_own")
+    named = docs.withColumn(key, F.xxhash64(F.coalesce("text", F.lit(""))))
+    order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("hash").alias("hash"))
+    rows = stage(fingerprints(named.select("doc_id", F.col(key).alias("hash"), "text"), "doc_id", "hash"), "fingerprints")
     first = classes(rows.groupBy("fingerprint").agg(F.min(order).alias("first"))).select("first").distinct()
-    kept = first.select(F.col("first.id").alias("_id"), F.col("first.hash").alias("_kept"))
-    named = docs.withColumn("_hash", key)
-    left = named.join(kept, named["doc_id"].eqNullSafe(kept["_id"]) & (named["_hash"] == kept["_kept"]), "left_semi")
-    numbered = left.withColumn("_row", F.row_number().over(Window.partitionBy("doc_id", "_hash").orderBy("_hash")))
-    return numbered.filter("_row = 1").drop("_hash", "_row")
+    kept = first.select(F.col("first.id").alias(own), F.col("first.hash").alias(row))
+    left = named.join(kept, F.col("doc_id").eqNullSafe(F.col(own)) & (F.col(key) == F.col(row)), "left_semi")
+    # Equal rows are side by side after the join; one of them stays.
+    numbered = left.withColumn(row, F.row_number().over(Window.partitionBy("doc_id", key).orderBy(key)))
+    return numbered.filter(F.col(row) == 1).drop(key, row)
