@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..operators import candidates
 from ..operators.interactions import tab_separated
 from ..params import CandidateParams
-from ..schema import EXPORT, SPECIAL
+from ..schema import EXPORT, SPECIAL, SPECIAL_LISTS
 
 
 class CandidateSource(Protocol):
@@ -89,7 +89,7 @@ def swap(df: DataFrame, path: str, key: str = "algo_id", as_of: int | None = Non
 def special_posts(spark: SparkSession, path: str) -> DataFrame:
     """Special posts' configs as JSON lines; the saturation is 20 where it isn't given, lists empty."""
     rows = spark.read.schema(SPECIAL).json(path)
-    lists = {n: F.coalesce(n, F.array().cast(SPECIAL[n].dataType)) for n in ("pinned", "sticky", "sponsored")}
+    lists = {n: F.coalesce(n, F.array().cast(kind)) for n, kind in SPECIAL_LISTS.items()}
     return rows.withColumns({"sponsorship_saturation_rate": F.coalesce("sponsorship_saturation_rate", F.lit(20)), **lists})
 
 

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.expressions import hash16, top
-from ..schema import LIKES
+from ..schema import LIKE_COLUMNS, LIKES
 from ..sources import events
 
 
@@ -52,10 +52,10 @@ def merge(spark: SparkSession, batch: DataFrame, path: str, cap: int | None = No
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
     root = jvm.org.apache.hadoop.fs.Path(path)
     store = root.getFileSystem(conf)
-    merged = batch.select(*LIKES.names)
+    merged = batch.select(*LIKE_COLUMNS)
     if store.exists(root):
         merged = merged.unionByName(spark.read.schema(LIKES).parquet(path).filter(F.col("like_date").isin(days)))
-    merged = merged.groupBy("user_id", "post_id", "like_date").agg(F.max("like_ts").alias("like_ts")).select(*LIKES.names)
+    merged = merged.groupBy("user_id", "post_id", "like_date").agg(F.max("like_ts").alias("like_ts")).select(*LIKE_COLUMNS)
     if cap:
         merged = top(merged, cap, ["user_id", "like_date"], F.desc("like_ts"), F.col("post_id"))
     aside = f"{path.rstrip('/')}-merge"
