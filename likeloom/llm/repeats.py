@@ -17,6 +17,9 @@ Steps, with documents dealt into groups by a hash of doc_id and text, whole text
     content;
  5. the groups get the covered spans and cut their texts.
 
+Groups and buckets are one for each shuffle partition, so a group's messages to buckets are no more
+than the blocks of a plain shuffle; spark.sql.shuffle.partitions sets how much text a task holds.
+
 "Earlier" is by doc_id (null last), then hash of the document, then place; rows equal in doc_id
 and text are one document. A bucket gets each text once a group, however many documents hold it,
 so a passage in a third of all documents does not gather in one task. Hashes only choose what to
@@ -26,22 +29,23 @@ with a 64-bit hash of doc_id and text).
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .shared import packed, shuffle_width, unpacked
 
 #: Bytes of text that the hash arrays are made for at once.
-HASH_BLOCK = 1 << 19
+HASH_BLOCK = 1 << 18
 #: A longer document is worked in parts of so many units that overlap by a window less one unit.
 PART_UNITS = 1 << 22
-#: Groups and buckets for each shuffle partition.
-PER_PARTITION = 4
+#: Documents unpacked at once.
+CHUNK = 256
 
 _PLACE = np.uint64((1 << 24) - 1)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -149,15 +153,37 @@ def _texts(packs: list[bytes]) -> list[bytes]:
     return [opened.decompress(x) if x else b"" for x in packs]
 
 
-def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    closed = zstandard.ZstdCompressor(level=3)
-    for batch in batches:
-        texts = batch.column(3).to_pylist()
-        packs = [closed.compress(x.encode("utf-8", "replace")) if x else b"" for x in texts]
-        yield pa.record_batch([*batch.columns[:3], pa.array(packs, pa.binary())], names=["g", "dkey", "doc_id", "pack"])
+def _pack(keys: np.ndarray):
+    """(dkey, doc_id, text) -> (g, dkey, doc_id, pack): the group by dkey, the text compressed."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        closed = zstandard.ZstdCompressor(level=3)
+        for batch in batches:
+            for a in range(0, batch.num_rows, 4 * CHUNK):
+                part = batch.slice(a, 4 * CHUNK)
+                packs = [closed.compress(x.encode("utf-8", "replace")) if x else b"" for x in part.column(2).to_pylist()]
+                g = _dealt(keys, np.asarray(part.column(0).to_numpy(zero_copy_only=False), dtype=np.int64).view(np.uint64))
+                yield pa.record_batch([pa.array(g), *part.columns[:2], pa.array(packs, pa.binary())], names=["g", "dkey", "doc_id", "pack"])
+
+    return run
+
+
+def _dealt(keys: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """For each hash the key of its group or bucket."""
+    return keys[(hashes % np.uint64(len(keys))).astype(np.int64)]
+
+
+def partition_keys(spark: SparkSession, width: int) -> np.ndarray:
+    """For each of width hash partitions an integer that Spark deals to it: one group or bucket a partition, none left empty."""
+    found, size = {}, 16 * width
+    while len(found) < width:
+        place = F.pmod(F.hash(F.col("id").cast("int")), F.lit(width)).alias("place")
+        found = {r["place"]: r["key"] for r in spark.range(size).select(F.col("id").cast("int").alias("id")).groupBy(place).agg(F.min("id").alias("key")).collect()}  # width rows at most
+        size *= 2
+    return np.array([found[i] for i in range(width)], dtype=np.int32)
 
 
-def _send_anchors(units: Units, buckets: int):
+def _send_anchors(units: Units, keys: np.ndarray):
     """(g, dkey, doc_id, pack) -> (bucket, g, blob of distinct hashes and whether each stands more than once)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -169,11 +195,12 @@ def _send_anchors(units: Units, buckets: int):
             packs = batch.column(3)
             cuts = np.flatnonzero(np.diff(groups[order])) + 1
             for rows in np.split(order, cuts):
-                found = [r.hashes for _, r in runs_of(units, _texts(packs.take(pa.array(rows)).to_pylist()))]
+                chunks = (_texts(packs.take(pa.array(rows[a : a + CHUNK])).to_pylist()) for a in range(0, len(rows), CHUNK))
+                found = [r.hashes for texts in chunks for _, r in runs_of(units, texts)]
                 if not found:
                     continue
                 hashes, count = np.unique(np.concatenate(found), return_counts=True)
-                bucket = (hashes % np.uint64(buckets)).astype(np.int64)
+                bucket = _dealt(keys, hashes)
                 by = np.argsort(bucket, kind="stable")
                 hashes, again, bucket = hashes[by], (count[by] > 1).astype(np.uint8), bucket[by]
                 edges = np.concatenate([[0], np.flatnonzero(np.diff(bucket)) + 1, [len(bucket)]])
@@ -235,7 +262,7 @@ def _joined_spans(ids: np.ndarray, keys: np.ndarray, none: np.ndarray, start: np
     return ids[first], keys[first], none[first].astype(np.uint8), start[first], reach[last]
 
 
-def _send_texts(units: Units, buckets: int):
+def _send_texts(units: Units, keys: np.ndarray):
     """A group's documents and its answers -> (bucket, kind, blob): kind 1 super-k-mers for the bucket, kind 0 spans already known, with the group for bucket."""
 
     def run(key, documents: pa.Table, answers: pa.Table) -> pa.Table:
@@ -245,12 +272,12 @@ def _send_texts(units: Units, buckets: int):
         rows = sorted({(i is None, i or 0, k): n for n, (k, i) in enumerate(zip(documents.column("dkey").to_pylist(), documents.column("doc_id").to_pylist(), strict=True))}.items()) if len(known) else []
         closed = zstandard.ZstdCompressor(level=3)
         seen: set[bytes] = set()
-        spans: list[tuple] = []
-        sent: dict[int, list[tuple]] = {}
-        packs = documents.column("pack")
+        spans = [array("q") for _ in _SPAN]
+        sent: dict[int, tuple[list[array], list[bytes]]] = {}
+        packs, width = documents.column("pack"), len(keys)
         size = units.window - 1
-        for part in range(0, len(rows), 256):  # in the documents' order, so that a text's first place is met first
-            chosen = rows[part : part + 256]
+        for part in range(0, len(rows), CHUNK):  # in the documents' order, so that a text's first place is met first
+            chosen = rows[part : part + CHUNK]
             for text, run in runs_of(units, _texts(packs.take(pa.array([n for _, n in chosen])).to_pylist())):
                 at = np.minimum(np.searchsorted(known, run.hashes), len(known) - 1)
                 hit = np.flatnonzero(known[at] == run.hashes)
@@ -258,23 +285,29 @@ def _send_texts(units: Units, buckets: int):
                 for h, d, first, windows, a, b in zip(*columns, strict=True):
                     piece, ((none, i, k), _) = text[a:b], chosen[d]
                     if piece in seen:
-                        spans.append((i, k, none, first, first + windows + size))
-                    else:
-                        seen.add(piece)
-                        sent.setdefault(h % buckets, []).append((h, i, k, none, first, windows, len(piece), piece))
-        for bucket, items in sent.items():
-            *meta, pieces = zip(*items, strict=True)
+                        for column, value in zip(spans, (i, k, none, first, first + windows + size), strict=True):
+                            column.append(value)
+                        continue
+                    seen.add(piece)
+                    place = h % width
+                    if place not in sent:
+                        sent[place] = [array("Q"), *(array("q") for _ in _META[1:])], []
+                    columns_, pieces = sent[place]
+                    for column, value in zip(columns_, (h, i, k, none, first, windows, len(piece)), strict=True):
+                        column.append(value)
+                    pieces.append(piece)
+        for place, (meta, pieces) in sent.items():
             blob = packed(*(np.array(x, dtype=kind) for x, kind in zip(meta, _META, strict=True))) + b"".join(pieces)
-            out.append((bucket, 1, closed.compress(blob)))
-        if spans:
-            merged = _joined_spans(*(np.array(x, dtype=kind) for x, kind in zip(zip(*spans, strict=True), _SPAN, strict=True)))
+            out.append((int(keys[place]), 1, closed.compress(blob)))
+        if len(spans[0]):
+            merged = _joined_spans(*(np.array(x, dtype=kind) for x, kind in zip(spans, _SPAN, strict=True)))
             out.append((key[0].as_py(), 0, packed(*merged)))
         return pa.table([pa.array(x, t) for x, t in zip(zip(*out, strict=True) if out else ([], [], []), (pa.int32(), pa.int32(), pa.binary()), strict=True)], names=["bucket", "kind", "blob"])
 
     return run
 
 
-def _resolve(units: Units, resolver: Callable[[], Callable[[list[bytes]], list[np.ndarray]]], groups: int):
+def _resolve(units: Units, resolver: Callable[[], Callable[[list[bytes]], list[np.ndarray]]], keys: np.ndarray):
     """(bucket, kind, blob) sorted by bucket -> (g, blob of spans)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -294,26 +327,28 @@ def _resolve(units: Units, resolver: Callable[[], Callable[[list[bytes]], list[n
                     pieces.append(blob[at : at + n])
                     at += n
                 meta.append(arrays)
-            hashes, ids, keys, none, first, windows, _ = (np.concatenate(x) for x in zip(*meta, strict=True))
+            hashes, ids, dkeys, none, first, windows, _ = (np.concatenate(x) for x in zip(*meta, strict=True))
             number: dict[bytes, int] = {}
-            order = np.lexsort((first, keys, ids, none))
-            spans: list[tuple] = []
-            fresh: list[int] = []  # the first places of distinct texts, in order
+            order = np.lexsort((first, dkeys, ids, none))
+            again = np.zeros(len(order), dtype=bool)  # texts that came before: covered whole
             for i in order.tolist():
-                if number.setdefault(pieces[i], i) == i:
-                    fresh.append(i)
-                else:
-                    spans.append((ids[i], keys[i], none[i], first[i], first[i] + windows[i] + units.window - 1))
-            fresh_hash, at, count = np.unique(hashes[fresh], return_inverse=True, return_counts=True)
-            mixed_up = [i for i, n in zip(fresh, count[at].tolist(), strict=True) if n > 1]
+                again[i] = number.setdefault(pieces[i], i) != i
+            fresh = order[~again[order]]  # the first places of distinct texts, in order
+            rows_, starts, ends = [np.flatnonzero(again)], [first[again]], [first[again] + windows[again] + units.window - 1]
+            _, at, count = np.unique(hashes[fresh], return_inverse=True, return_counts=True)
+            mixed_up = fresh[count[at] > 1].tolist()
             if mixed_up:
                 for i, flags in zip(mixed_up, resolver()([pieces[i] for i in mixed_up]), strict=True):
                     step = np.diff(np.concatenate([[0], flags.astype(np.int8), [0]]))
-                    for a, b in zip(np.flatnonzero(step == 1).tolist(), np.flatnonzero(step == -1).tolist(), strict=True):
-                        spans.append((ids[i], keys[i], none[i], first[i] + a, first[i] + b + units.window - 1))
-            if spans:
-                merged = _joined_spans(*(np.array(x, dtype=kind) for x, kind in zip(zip(*spans, strict=True), _SPAN, strict=True)))
-                g = (merged[1].view(np.uint64) % np.uint64(groups)).astype(np.int64)
+                    a, b = np.flatnonzero(step == 1), np.flatnonzero(step == -1)
+                    if len(a):
+                        rows_.append(np.full(len(a), i))
+                        starts.append(first[i] + a)
+                        ends.append(first[i] + b + units.window - 1)
+            which = np.concatenate(rows_)
+            if len(which):
+                merged = _joined_spans(ids[which], dkeys[which], none[which], np.concatenate(starts), np.concatenate(ends))
+                g = _dealt(keys, merged[1].view(np.uint64))
                 for one in np.unique(g).tolist():
                     yield _row(g=[one], blob=[packed(*(x[g == one] for x in merged))])
 
@@ -354,17 +389,15 @@ def without_repeats(docs: DataFrame, units: Units, resolver, cut) -> DataFrame:
     and what is left of it.
     """
     width = shuffle_width(docs.sparkSession)
-    groups = buckets = PER_PARTITION * width
+    keys = partition_keys(docs.sparkSession, width)
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    dkey = F.xxhash64("doc_id", "text")
-    g = F.expr(f"cast(pmod(cast(cast(dkey as decimal(20,0)) + if(dkey < 0, 18446744073709551616BD, 0BD) as decimal(20,0)), {groups}BD) as int)")
-    keyed = source.withColumn("dkey", dkey).select(g.alias("g"), "dkey", "doc_id", "text")
+    keyed = source.select(F.xxhash64("doc_id", "text").alias("dkey"), "doc_id", "text")
     # One deal of the texts, which all three passes over them share.
-    dealt = keyed.mapInArrow(_pack, "g int, dkey long, doc_id long, pack binary").repartition(width, "g")
-    anchors = dealt.mapInArrow(_send_anchors(units, buckets), "bucket int, g int, blob binary")
+    dealt = keyed.mapInArrow(_pack(keys), "g int, dkey long, doc_id long, pack binary").repartition(width, "g")
+    anchors = dealt.mapInArrow(_send_anchors(units, keys), "bucket int, g int, blob binary")
     answers = anchors.repartition(width, "bucket").sortWithinPartitions("bucket").mapInArrow(_answer_anchors, "g int, blob binary")
     answers = answers.repartition(width, "g")
-    texts = dealt.groupBy("g").cogroup(answers.groupBy("g")).applyInArrow(_send_texts(units, buckets), "bucket int, kind int, blob binary")
-    spans = texts.repartition(width, "bucket").sortWithinPartitions("bucket").mapInArrow(_resolve(units, resolver, groups), "g int, blob binary")
+    texts = dealt.groupBy("g").cogroup(answers.groupBy("g")).applyInArrow(_send_texts(units, keys), "bucket int, kind int, blob binary")
+    spans = texts.repartition(width, "bucket").sortWithinPartitions("bucket").mapInArrow(_resolve(units, resolver, keys), "g int, blob binary")
     spans = spans.repartition(width, "g")
     return dealt.groupBy("g").cogroup(spans.groupBy("g")).applyInArrow(_cut(cut), "doc_id long, n_units long, spans array<struct<start:long,end:long>>, kept binary")
