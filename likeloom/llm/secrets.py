@@ -35,7 +35,7 @@ TRUE = ("true",)
 #: A set of literal strings that grows beyond this is given up for the trigrams found so far.
 MOST_STRINGS = 48
 #: Character classes up to this size are spelt out.
-MOST_CLASS = 4
+MOST_CLASS = 8
 
 
 def _all(queries: list) -> tuple:
@@ -186,8 +186,8 @@ class TrigramIndex:
         found = number[(codes[:-2] << 16) | (codes[1:-1] << 8) | codes[2:]]
         at = np.flatnonzero(found)
         owner = np.searchsorted(ends, at, side="right")
-        # A trigram that runs over a document's end counts for its first document: at worst a needless check.
-        pairs = np.unique(found[at].astype(np.int64) * (self.size + 1) + owner)
+        inside = at + 3 <= ends[owner]  # not over a document's end
+        pairs = np.unique(found[at[inside]].astype(np.int64) * (self.size + 1) + owner[inside])
         gram, owner = np.divmod(pairs, self.size + 1)
         cuts = np.searchsorted(gram, np.arange(1, len(grams) + 2))
         self.postings = [owner[cuts[i] : cuts[i + 1]] for i in range(len(grams))]
