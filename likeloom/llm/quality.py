@@ -26,10 +26,11 @@ from pyspark.sql import types as T
 from .shared import arrow_pass, stage, texts_of, unused
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-MORE = ("n_lines", "n_letters", "n_upper", "n_digits", "n_distinct", "n_marks", "n_ended")
+MORE = ("n_lines", "n_letters", "n_upper", "n_digits", "n_distinct", "n_marks", "n_ended", "n_punct")
 
 _UPPER = bytes(range(65, 91))
 _LETTERS = _UPPER + bytes(range(97, 123))
+_PUNCT = bytes([*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)])
 
 
 def _count(raw: bytes, of: bytes) -> int:
@@ -68,7 +69,7 @@ def measures(text: str) -> tuple[int, ...]:
     ended = sum(x.rstrip()[-1:] in (b".", b"!", b"?", b":", b";", b'"') for x in lines)
     return (
         len(words), len(text) - _count(raw, b" \t\n\x0b\x0c\r"), _count(raw, b"#*$%&|<>"), len(lines) - len(set(lines)), repeats,
-        len(lines), _count(raw, _LETTERS), _count(raw, _UPPER), _count(raw, b"0123456789"), distinct, raw.count(b"!"), ended,
+        len(lines), _count(raw, _LETTERS), _count(raw, _UPPER), _count(raw, b"0123456789"), distinct, raw.count(b"!"), ended, _count(raw, _PUNCT),
     )
 
 
@@ -116,6 +117,7 @@ def rules(prefix: str = "") -> dict[str, Column]:
         "lines": _vote((c("n_dup_lines") > 0.35 * lines) & (lines >= 4)),
         "shouting": _vote(c("n_upper") > 0.3 * letters),
         "marks": _vote(c("n_marks") > 0.2 * n),
+        "punctuation": _vote(c("n_punct") > 0.06 * chars, c("n_punct") <= 0.04 * chars),
         "digits": _vote(c("n_digits") > 0.3 * chars),
         "variety": _vote((c("n_distinct") < 0.2 * n) & (n >= 30) & (n < 20_000), (c("n_distinct") >= 0.5 * n) & (n >= 30)),
         "word_length": _vote((chars > 15 * n) | (chars < 2 * n), (chars >= 4 * n) & (chars <= 9 * n)),
@@ -132,7 +134,9 @@ def fit(votes: np.ndarray, counts: np.ndarray, rounds: int = 50, share: float =
     """EM over vote patterns (patterns x rules, -1/0/1) with their counts.
 
     Returns the share of good documents and chances[class, rule, vote + 1]; class 0 is bad. PRIOR is
-    the start and, as a few pseudo-votes, keeps the classes from changing places and chances off zero.
+    the start, and goes on as pseudo-votes: a few for the bad class, whose kinds of badness the votes
+    tell, and as many as documents for the good class. Votes alone can't tell a rule that is often
+    wrong from a defect that no other rule sees; that the rules seldom accuse a good document is known beforehand.
     """
     prior = np.array(PRIOR)[:, None, :].repeat(votes.shape[1], axis=1)
     chances, weight = prior.copy(), 4.0
@@ -142,6 +146,11 @@ def fit(votes: np.ndarray, counts: np.ndarray, rounds: int = 50, share: float =
         mass = np.stack([(1 - good) * counts, good * counts])
         seen = np.einsum("cp,prv->crv", mass, hot) + weight * prior
         chances = seen / seen.sum(axis=2, keepdims=True)
+        # The good class's chance of accusing is shrunk towards the prior; the rest keeps its proportions.
+        accused = np.einsum("p,pr->r", mass[1], hot[:, :, 0])
+        wrong = (accused + counts.sum() * prior[1, :, 0]) / (mass[1].sum() + counts.sum())
+        rest = np.maximum(chances[1, :, 1:], 1e-12)
+        chances[1] = np.concatenate([wrong[:, None], (1 - wrong)[:, None] * rest / rest.sum(axis=1, keepdims=True)], axis=1)
         share = float((mass[1].sum() + 8) / (counts.sum() + 10))
     return share, chances
 
