@@ -257,7 +257,7 @@ def stats_of(g: Graph) -> DataFrame:
 
 @query
 def op_post_stats(g: Graph) -> DataFrame:
-    """As the reference keeps them: eight days, times of today's likes."""
+    """With the default parameters: eight days, times of today's likes."""
     return tranches.post_stats(g.candidates, g.likes, NOW, tranches.TrancheParams())
 
 
