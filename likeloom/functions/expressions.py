@@ -14,8 +14,14 @@ def hash16(text: Column) -> Column:
 
 
 def day_of(seconds: Column) -> Column:
-    """yyyyMMdd (UTC) of unix seconds."""
-    return F.date_format(F.timestamp_seconds(seconds), "yyyyMMdd")
+    """yyyyMMdd (UTC) of unix seconds, whatever the session's time zone."""
+    return F.date_format(F.date_from_unix_date(F.floor(seconds / DAY).cast("int")), "yyyyMMdd")
+
+
+def unix_seconds(at: Column) -> Column:
+    """Unix seconds of a timestamp without time zone, read as UTC whatever the session's time zone."""
+    clock = F.hour(at) * 3600 + F.minute(at) * 60 + F.second(at)
+    return F.unix_date(at.cast("date")).cast("bigint") * DAY + clock
 
 
 def retained_days(now: int, days: int) -> list[str]:
@@ -28,7 +34,7 @@ def retained_days(now: int, days: int) -> list[str]:
 
 def day_ttl(like_date: Column, now: int, days: int) -> Column:
     """Seconds that a day's edges have left: until `days` days after the day began, 1 at least."""
-    start = F.unix_timestamp(F.to_date(like_date, "yyyyMMdd").cast("timestamp"))
+    start = F.unix_date(F.to_date(like_date, "yyyyMMdd")).cast("bigint") * DAY
     return F.greatest(start + F.lit(days * DAY) - F.lit(now), F.lit(1))
 
 

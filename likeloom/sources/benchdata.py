@@ -11,7 +11,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.expressions import day_of
+from ..functions.expressions import unix_seconds
 from ..operators import graph, tranches
 from ..params import DAY, HOUR
 from ..schema import POST_COLLECTION, SEEN_EVENT
@@ -38,7 +38,7 @@ class Graph:
         lines, orders = self.table("lineitem"), self.table("orders")
         both = lines.join(orders, lines["l_orderkey"] == orders["o_orderkey"])
         second = F.pmod(F.col("l_orderkey") * 7919 + F.col("l_linenumber") * 104_729, F.lit(DAY))
-        return both.select(F.col("o_custkey").alias("user_id"), F.col("l_partkey").alias("post_id"), (F.unix_timestamp(F.col("l_shipdate").cast("timestamp")) + second).cast("bigint").alias("like_ts"))
+        return both.select(F.col("o_custkey").alias("user_id"), F.col("l_partkey").alias("post_id"), (unix_seconds(F.col("l_shipdate")) + second).cast("bigint").alias("like_ts"))
 
     @cached_property
     def likes(self) -> DataFrame:
@@ -81,7 +81,7 @@ class Graph:
         """(event_id, user_id, item, event, ts): events, their post's URI as item, unknown for every 13th."""
         event = F.coalesce(F.element_at(F.create_map(*(F.lit(y) for x in EVENTS.items() for y in x)), F.col("event_type")), F.col("event_type"))
         key = F.get_json_object("props", "$.k").cast("bigint")
-        rows = self.table("events").select("event_id", "user_id", event.alias("event"), key.alias("post_id"), F.unix_timestamp(F.col("ts").cast("timestamp")).alias("ts"), "value")
+        rows = self.table("events").select("event_id", "user_id", event.alias("event"), key.alias("post_id"), unix_seconds(F.col("ts")).alias("ts"), "value")
         known = rows.join(self.posts.select("post_id", "uri"), "post_id", "left")
         return known.withColumn("item", F.when(F.col("event_id") % 13 == 0, F.lit("at://unknown")).otherwise(F.col("uri"))).drop("uri")
 
