@@ -20,6 +20,9 @@ Steps, with documents dealt into groups by a hash of doc_id and text, whole text
 Groups and buckets are one for each shuffle partition, so a group's messages to buckets are no more
 than the blocks of a plain shuffle; spark.sql.shuffle.partitions sets how much text a task holds.
 
+A minimiser that stands in more than HOT_MINIMISER places would fill one bucket with the variants of
+its runs; its windows are dealt one by one instead, by their own hashes.
+
 "Earlier" is by doc_id (null last), then hash of the document, then place; rows equal in doc_id
 and text are one document. A bucket gets each text once a group, however many documents hold it,
 so a passage in a third of all documents does not gather in one task. Hashes only choose what to
@@ -34,6 +37,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -46,10 +50,12 @@ HASH_BLOCK = 1 << 18
 PART_UNITS = 1 << 22
 #: Documents unpacked at once.
 CHUNK = 256
+#: A minimiser that stands in more places (each group counts 255 at most) is hot: its windows are dealt one by one.
+HOT_MINIMISER = 1000
 
 _PLACE = np.uint64((1 << 24) - 1)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
-_BYTE_HASH = np.random.default_rng(20).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+BYTE_HASH = np.random.default_rng(20).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -95,6 +101,11 @@ class Units:
         raise NotImplementedError
 
 
+    def windows(self, text: bytes) -> list[bytes]:
+        """The texts of all windows of a run's text."""
+        raise NotImplementedError
+
+
 class Run:
     """Runs of one block as arrays: minimiser hash, document, first unit in it, windows, and first and end byte in the block."""
 
@@ -184,7 +195,7 @@ def partition_keys(spark: SparkSession, width: int) -> np.ndarray:
 
 
 def _send_anchors(units: Units, keys: np.ndarray):
-    """(g, dkey, doc_id, pack) -> (bucket, g, blob of distinct hashes and whether each stands more than once)."""
+    """(g, dkey, doc_id, pack) -> (bucket, g, blob of distinct hashes and how often each stands, up to 255)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -202,9 +213,9 @@ def _send_anchors(units: Units, keys: np.ndarray):
                 hashes, count = np.unique(np.concatenate(found), return_counts=True)
                 bucket = _dealt(keys, hashes)
                 by = np.argsort(bucket, kind="stable")
-                hashes, again, bucket = hashes[by], (count[by] > 1).astype(np.uint8), bucket[by]
+                hashes, often, bucket = hashes[by], np.minimum(count[by], 255).astype(np.uint8), bucket[by]
                 edges = np.concatenate([[0], np.flatnonzero(np.diff(bucket)) + 1, [len(bucket)]])
-                blobs = [packed(hashes[a:b], again[a:b]) for a, b in zip(edges[:-1], edges[1:], strict=True)]
+                blobs = [packed(hashes[a:b], often[a:b]) for a, b in zip(edges[:-1], edges[1:], strict=True)]
                 yield _row(bucket=bucket[edges[:-1]].astype(np.int32), g=np.full(len(blobs), groups[rows[0]], dtype=np.int32), blob=blobs)
 
     return run
@@ -225,21 +236,20 @@ def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tu
 
 
 def _answer_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(bucket, g, blob) sorted by bucket -> (g, blob of the hashes of g that stand in more than one place)."""
+    """(bucket, g, blob) sorted by bucket -> (g, blob of the hashes of g that stand in more than one place, and whether each is hot)."""
     for _, rows in _by_bucket(batches):
         arrays = [unpacked(blob, "<u8", "u1") for _, blob in rows]
-        hashes, again = (np.concatenate(x) for x in zip(*arrays, strict=True))
-        _, at, count = np.unique(hashes, return_inverse=True, return_counts=True)
-        more = np.zeros(len(count), dtype=bool)
-        more[at[again > 0]] = True
-        more |= count > 1
-        keep, start, gs, blobs = more[at], 0, [], []
+        hashes, often = (np.concatenate(x) for x in zip(*arrays, strict=True))
+        _, at = np.unique(hashes, return_inverse=True)
+        places = np.bincount(at, weights=often)[at]
+        start, gs, blobs = 0, [], []
         for (g, _), (own, _) in zip(rows, arrays, strict=True):
-            mine = own[keep[start : start + len(own)]]
+            here = places[start : start + len(own)]
             start += len(own)
-            if len(mine):
+            more = here > 1
+            if more.any():
                 gs.append(g)
-                blobs.append(packed(mine))
+                blobs.append(packed(own[more], (here[more] > HOT_MINIMISER).astype(np.uint8)))
         if gs:
             yield _row(g=gs, blob=blobs)
 
@@ -262,13 +272,30 @@ def _joined_spans(ids: np.ndarray, keys: np.ndarray, none: np.ndarray, start: np
     return ids[first], keys[first], none[first].astype(np.uint8), start[first], reach[last]
 
 
+def _messages(units: Units, text: bytes, run: Run, hit: np.ndarray, hot: np.ndarray) -> Iterator[tuple[int, int, int, int, bytes]]:
+    """(hash to deal by, document, first unit, windows, text) of the runs hit.
+
+    A run with a hot minimiser gives its windows one by one, dealt by their own hashes: near copies
+    by the thousand share most windows, which then travel once a group and to many buckets.
+    """
+    columns = (x[hit].tolist() for x in (run.hashes, run.document, run.first, run.windows, run.start, run.end))
+    for h, d, first, windows, a, b, split in zip(*columns, hot.tolist(), strict=True):
+        if not split:
+            yield h, d, first, windows, text[a:b]
+            continue
+        for i, piece in enumerate(units.windows(text[a:b])):
+            yield xxhash.xxh64_intdigest(piece), d, first + i, 1, piece
+
+
 def _send_texts(units: Units, keys: np.ndarray):
     """A group's documents and its answers -> (bucket, kind, blob): kind 1 super-k-mers for the bucket, kind 0 spans already known, with the group for bucket."""
 
     def run(key, documents: pa.Table, answers: pa.Table) -> pa.Table:
         out: list[tuple[int, int, bytes]] = []
         blobs = answers.column("blob").to_pylist()
-        known = np.sort(np.concatenate([unpacked(x, "<u8")[0] for x in blobs])) if blobs else np.zeros(0, dtype=np.uint64)
+        known, hot = (np.concatenate(x) for x in zip(*(unpacked(x, "<u8", "u1") for x in blobs), strict=True)) if blobs else (np.zeros(0, dtype=np.uint64),) * 2
+        order = np.argsort(known)
+        known, hot = known[order], hot[order]
         rows = sorted({(i is None, i or 0, k): n for n, (k, i) in enumerate(zip(documents.column("dkey").to_pylist(), documents.column("doc_id").to_pylist(), strict=True))}.items()) if len(known) else []
         closed = zstandard.ZstdCompressor(level=3)
         seen: set[bytes] = set()
@@ -281,9 +308,8 @@ def _send_texts(units: Units, keys: np.ndarray):
             for text, run in runs_of(units, _texts(packs.take(pa.array([n for _, n in chosen])).to_pylist())):
                 at = np.minimum(np.searchsorted(known, run.hashes), len(known) - 1)
                 hit = np.flatnonzero(known[at] == run.hashes)
-                columns = (x[hit].tolist() for x in (run.hashes, run.document, run.first, run.windows, run.start, run.end))
-                for h, d, first, windows, a, b in zip(*columns, strict=True):
-                    piece, ((none, i, k), _) = text[a:b], chosen[d]
+                for h, d, first, windows, piece in _messages(units, text, run, hit, hot[at[hit]]):
+                    (none, i, k), _ = chosen[d]
                     if piece in seen:
                         for column, value in zip(spans, (i, k, none, first, first + windows + size), strict=True):
                             column.append(value)

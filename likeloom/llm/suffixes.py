@@ -19,8 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 from pyspark.sql import DataFrame
 
-from . import repeats
-from .repeats import Units, without_repeats
+from .repeats import BYTE_HASH, PART_UNITS, Units, without_repeats
 
 WINDOW, ANCHOR = 100, 32
 #: Suffixes of a batch; a merge-scan holds the windows of so many suffixes of a level at once.
@@ -31,13 +30,16 @@ class ByteUnits(Units):
     window, anchor = WINDOW, ANCHOR
 
     def parts(self, raw: bytes) -> list[tuple[int, int, bytes]]:
-        step = repeats.PART_UNITS
+        step = PART_UNITS
         cuts = range(0, max(1, len(raw) - self.window + 1), step)
         return [(a, len(x), x) for a in cuts for x in (raw[a : a + step + self.window - 1],)]
 
     def block(self, parts: list[bytes]):
         text = b"".join(parts)
-        return text, repeats._BYTE_HASH[np.frombuffer(text, dtype=np.uint8)], None, None
+        return text, BYTE_HASH[np.frombuffer(text, dtype=np.uint8)], None, None
+
+    def windows(self, text: bytes) -> list[bytes]:
+        return [text[i : i + WINDOW] for i in range(len(text) - WINDOW + 1)]
 
 
 class Level:

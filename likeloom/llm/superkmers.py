@@ -17,8 +17,7 @@ from itertools import accumulate
 import numpy as np
 from pyspark.sql import DataFrame
 
-from . import repeats
-from .repeats import Units, mixed, without_repeats
+from .repeats import BYTE_HASH, PART_UNITS, Units, mixed, without_repeats
 
 WINDOW, ANCHOR = 20, 6
 
@@ -44,7 +43,7 @@ class WordUnits(Units):
     window, anchor = WINDOW, ANCHOR
 
     def parts(self, raw: bytes) -> list[tuple[int, int, bytes]]:
-        words, step = raw.split(), repeats.PART_UNITS
+        words, step = raw.split(), PART_UNITS
         cuts = range(0, max(1, len(words) - self.window + 1), step)
         return [(a, len(x), b" ".join(x)) for a in cuts for x in (words[a : a + step + self.window - 1],)]
 
@@ -54,18 +53,26 @@ class WordUnits(Units):
         ends = np.concatenate([np.flatnonzero(codes == 32), [len(codes)]])
         starts = np.concatenate([[0], ends[:-1] + 1])
         power, inverse = _powers(len(codes))
-        sums = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(repeats._BYTE_HASH[codes] * power[: len(codes)], dtype=np.uint64)])
+        sums = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(BYTE_HASH[codes] * power[: len(codes)], dtype=np.uint64)])
         return text, mixed((sums[ends] - sums[starts]) * inverse[starts]), starts, ends
 
+    def windows(self, text: bytes) -> list[bytes]:
+        return windows_of(text)
+
+
+def windows_of(text: bytes) -> list[bytes]:
+    """The windows of words parted by one space."""
+    ends = list(accumulate((len(w) for w in text.split(b" ")), lambda a, n: a + n + 1))
+    starts = [0, *(x + 1 for x in ends)]
+    return [text[a:b] for a, b in zip(starts, ends[WINDOW - 1 :], strict=False)]
+
 
 def earlier_windows(texts: list[bytes]) -> list[np.ndarray]:
     """For each text, in order, which of its windows stand earlier in it or in the texts before."""
     windows: list[bytes] = []
     counts = []
     for text in texts:
-        ends = list(accumulate((len(w) for w in text.split(b" ")), lambda a, n: a + n + 1))
-        starts = [0, *(x + 1 for x in ends)]
-        own = [text[a:b] for a, b in zip(starts, ends[WINDOW - 1 :], strict=False)]
+        own = windows_of(text)
         counts.append(len(own))
         windows += own
     order = sorted(range(len(windows)), key=windows.__getitem__)  # stable: equal windows stay in order

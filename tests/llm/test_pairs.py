@@ -256,8 +256,15 @@ def test_removed_words(spark, copies):
     assert check_removed(spark, copies, superkmers.remove_repeated_words, superkmers.WINDOW, words_of) > 1000
 
 
+def test_hot_minimisers_are_split(spark, copies, monkeypatch):
+    monkeypatch.setattr(repeats, "HOT_MINIMISER", 3)
+    check_removed(spark, copies, suffixes.remove_repeated_strings, suffixes.WINDOW, bytes_of)
+    check_removed(spark, copies, superkmers.remove_repeated_words, superkmers.WINDOW, words_of)
+
+
 def test_long_documents_in_parts(spark, copies, monkeypatch):
-    monkeypatch.setattr(repeats, "PART_UNITS", 150)
+    monkeypatch.setattr(suffixes, "PART_UNITS", 150)
+    monkeypatch.setattr(superkmers, "PART_UNITS", 150)
     monkeypatch.setattr(repeats, "HASH_BLOCK", 700)
     monkeypatch.setattr(suffixes, "BATCH", 500)
     rows = copies[:25]
