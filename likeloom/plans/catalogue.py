@@ -90,8 +90,8 @@ def op_rank_inverted_lua(g: Graph) -> DataFrame:
 
 
 def scored_by_author(g: Graph) -> DataFrame:
-    """A ranked list for every fifth user, from the likes alone: the input of the re-ranking queries."""
-    liked = graph.windowed(g.likes, NOW, WINDOW).filter("user_id % 5 = 0").join(g.posts, "post_id")
+    """A ranked list for every user, from the likes alone: the input of the re-ranking queries."""
+    liked = graph.windowed(g.likes, NOW, WINDOW).join(g.posts, "post_id")
     return liked.select("user_id", "post_id", "author_did", "uri", (F.lit(1.0) / (1 + F.pmod(F.col("post_id") * 31 + F.col("user_id") * 17, F.lit(97)))).alias("score"))
 
 
@@ -346,8 +346,8 @@ def op_fallback_interleave(g: Graph) -> DataFrame:
 
 
 def two_lists(g: Graph) -> tuple[DataFrame, DataFrame]:
-    """For every tenth user a personal list, the user's likes, and a fallback list of as many posts as the user's number mod 9."""
-    own = X.top(scored_by_author(g).filter("user_id % 10 = 0"), 12, ["user_id"], F.desc("score"), F.col("post_id"), name="pos")
+    """For every user a personal list, the user's likes, and a fallback list of as many posts as the user's number mod 9."""
+    own = X.top(scored_by_author(g), 12, ["user_id"], F.desc("score"), F.col("post_id"), name="pos")
     n = F.pmod(F.floor(F.col("user_id") / 10), F.lit(9))
     late = own.select("user_id").distinct().filter(n > 0).select("user_id", F.explode(F.sequence(F.lit(0), n - 1)).alias("post_id")).join(g.posts.select("post_id", "uri"), "post_id")
     return own.select("user_id", "pos", "uri", F.lit("post").alias("source")), late.select("user_id", (F.col("post_id") + 1).cast("int").alias("pos"), "uri", F.lit("popular").alias("source"))
@@ -365,9 +365,9 @@ def op_stagger_even(g: Graph) -> DataFrame:
 
 @query
 def op_blend_tiers(g: Graph) -> DataFrame:
-    """Pages for every tenth user of one feed; the like counts are made small so that all tiers occur."""
-    users = g.like_counts.filter("user_id % 10 = 0").select(F.lit(0).alias("algo_id"), "user_id", F.pmod("user_id", F.lit(37)).alias("like_count"))
-    rows = scored_by_author(g).filter("user_id % 10 = 0").select(F.lit(0).alias("algo_id"), "user_id", "post_id", "uri", "score")
+    """Pages for every user of one feed; the like counts are made small so that all tiers occur."""
+    users = g.like_counts.select(F.lit(0).alias("algo_id"), "user_id", F.pmod("user_id", F.lit(37)).alias("like_count"))
+    rows = scored_by_author(g).select(F.lit(0).alias("algo_id"), "user_id", "post_id", "uri", "score")
     own = X.top(rows, 14, ["algo_id", "user_id"], F.desc("score"), F.col("post_id"), name="rank")
     spare = X.top(rows.withColumn("score", 1 - F.col("score")), 14, ["algo_id", "user_id"], F.desc("score"), F.col("post_id"), name="rank")
     return blend.blended(users, own, spare, g.tranches, PAGE)
@@ -415,7 +415,7 @@ def op_injected_counts(g: Graph) -> DataFrame:
 
 @query
 def op_placeholder(g: Graph) -> DataFrame:
-    users = g.table("customer").select(F.lit(0).alias("algo_id"), F.col("c_custkey").alias("user_id")).filter("user_id % 3 = 0")
+    users = g.table("customer").select(F.lit(0).alias("algo_id"), F.col("c_custkey").alias("user_id"))
     pages = scored_by_author(g).filter("score > 0.2").select(F.lit(0).alias("algo_id"), "user_id", F.lit(2).alias("pos"), "uri", F.lit("post").alias("source"))
     return blend.with_placeholder(pages, users, "at://placeholder")
 
