@@ -41,11 +41,16 @@ def scaled(c: str, by: float = 1e6) -> Column:
 
 
 def busiest(g: Graph, n: int = 1) -> DataFrame:
-    """The users with the most likes in the window: the ranked users of the one-user queries."""
+    """The users with the most likes in the window: the ranked user of the one-user query."""
     own = graph.windowed(g.likes, NOW, WINDOW).groupBy("user_id").agg(F.count("*").alias("n"))
     return own.orderBy(F.desc("n"), "user_id").limit(n).select("user_id")
 
 
+def everyone(g: Graph) -> DataFrame:
+    """All users with likes in the window."""
+    return graph.windowed(g.likes, NOW, WINDOW).select("user_id").distinct()
+
+
 def ranked_for(g: Graph, users: DataFrame | None, p: RankParams, seen: DataFrame | None = None) -> DataFrame:
     return ranker.rank_posts(g.likes, g.candidates, g.counts, g.like_counts, NOW, p, seen, users)
 
@@ -63,7 +68,7 @@ def op_rank_all_users(g: Graph) -> DataFrame:
 @query
 def op_corater_decay(g: Graph) -> DataFrame:
     p = RankParams(window=WINDOW, half_life=HALF_LIFE, cap=None, corater_decay=0.2, max_results=50)
-    return ranked_for(g, busiest(g, 20), p).select("algo_id", "user_id", "post_id", "paths", scaled("score"))
+    return ranked_for(g, None, p).select("algo_id", "user_id", "post_id", "paths", scaled("score"))
 
 
 @query
@@ -80,13 +85,13 @@ def op_score_topk_generic(g: Graph) -> DataFrame:
 @query
 def op_rank_source_first(g: Graph) -> DataFrame:
     allowed = tranches.algo_likers(g.candidates.filter("algo_id = 0"), g.likes, NOW, 0)
-    found = ranker.rank_source_first(g.likes, g.candidates, NOW, TIGHT, busiest(g, 50), None, allowed)
+    found = ranker.rank_source_first(g.likes, g.candidates, NOW, RANK, everyone(g), None, allowed)
     return found.select("algo_id", "user_id", "post_id", "paths", scaled("score"))
 
 
 @query
 def op_rank_inverted_lua(g: Graph) -> DataFrame:
-    return ranker.rank_candidates_first(g.likes, g.candidates, NOW, TIGHT, busiest(g, 50)).select("algo_id", "user_id", "post_id", "paths", scaled("score"))
+    return ranker.rank_candidates_first(g.likes, g.candidates, NOW, RANK, everyone(g)).select("algo_id", "user_id", "post_id", "paths", scaled("score"))
 
 
 def scored_by_author(g: Graph) -> DataFrame:
@@ -578,15 +583,14 @@ def op_stream_ingest(g: Graph) -> DataFrame:
 @query
 def op_audit_top_contributors(g: Graph) -> DataFrame:
     window = graph.windowed(g.likes, NOW, WINDOW)
-    own = window.join(busiest(g, 5), "user_id", "left_semi")
-    weights = colikers.weights(graph.user_likes(own, 500), graph.post_likers(window, 500), g.like_counts, NOW, RANK)
+    weights = colikers.weights(graph.user_likes(window, 500), graph.post_likers(window, 500), g.like_counts, NOW, RANK)
     paths = ranker.contributions(weights, graph.post_likers(window, 30), ranker.scoreable(g.candidates, g.counts, RANK), None, NOW, RANK)
     return explain.top_contributors(paths, 3).select("algo_id", "user_id", "post_id", "source_id", scaled("contribution"), scaled("recency"))
 
 
 @query
 def op_proof_steps(g: Graph) -> DataFrame:
-    return explain.walk_counts(g.likes, g.candidates, g.counts, g.like_counts, NOW, RANK, busiest(g, 30))
+    return explain.walk_counts(g.likes, g.candidates, g.counts, g.like_counts, NOW, RANK, everyone(g))
 
 
 @query
