@@ -62,7 +62,7 @@ def op_rank_user(g: Graph) -> DataFrame:
 
 @query
 def op_rank_all_users(g: Graph) -> DataFrame:
-    return ranked_for(g, None, TIGHT, g.seen).select("algo_id", "user_id", "post_id", "paths", scaled("score"))
+    return ranked_for(g, None, RANK, g.seen).select("algo_id", "user_id", "post_id", "paths", scaled("score"))
 
 
 @query
@@ -232,7 +232,7 @@ def edges_of(g: Graph, p: RankParams) -> tuple[DataFrame, DataFrame]:
 
 @query
 def op_colikers_plain(g: Graph) -> DataFrame:
-    return colikers.plain_weights(edges_of(g, TIGHT)[1], NOW, HALF_LIFE, 30).select("user_id", "source_id", scaled("weight", 1e3))
+    return colikers.plain_weights(edges_of(g, RANK)[1], NOW, HALF_LIFE, RANK.max_total_sources).select("user_id", "source_id", scaled("weight", 1e3))
 
 
 @query
