@@ -78,7 +78,7 @@ def op_skip_counts(g: Graph) -> DataFrame:
 
 @query
 def op_score_topk_generic(g: Graph) -> DataFrame:
-    weights = g.like_counts.select(F.col("user_id").alias("source_id"), (1.0 / F.col("like_count")).alias("weight")).filter("source_id % 3 = 0")
+    weights = g.like_counts.select(F.col("user_id").alias("source_id"), (1.0 / F.col("like_count")).alias("weight"))
     return ranker.score_sources(graph.windowed(g.likes, NOW, WINDOW), weights, NOW, HALF_LIFE, 100).select("post_id", "matches", scaled("score"))
 
 
@@ -380,14 +380,14 @@ def op_blend_tiers(g: Graph) -> DataFrame:
 
 @query
 def op_liked_filter(g: Graph) -> DataFrame:
-    users = g.like_counts.filter("user_id % 50 = 0").select("user_id", (F.floor(F.col("user_id") / 50) % 4).cast("int").alias("algo_id"))
+    users = g.like_counts.select("user_id", (F.floor(F.col("user_id") / 50) % 4).cast("int").alias("algo_id"))
     pages = users.join(g.tranches.filter("tranche = 'popular' AND rank <= 30"), "algo_id")
     return blend.without_liked(pages, g.likes, g.posts, 20).select("user_id", "uri", "rank")
 
 
 def special_config(g: Graph) -> DataFrame:
     """Special posts of each feed, out of its candidates."""
-    own = g.candidates.join(g.posts, "post_id").filter("post_id < 200")
+    own = g.candidates.join(g.posts, "post_id")
 
     def posts(part: int, paid: bool) -> Column:
         fields = [F.concat(F.lit("a"), F.col("post_id").cast("string")).alias("attribution"), F.col("uri").alias("post")]
