@@ -29,11 +29,12 @@ from .shared import arrow_pass, texts_of
 
 @dataclass(frozen=True)
 class Notice:
-    """Words that tell a license; errors: how many characters may differ."""
+    """Words that tell a license; errors: how many characters may differ; telling: a word of them that has one edit at most, or only letters put in."""
 
     phrase: str
     label: str
     errors: int = 0
+    telling: str = ""
 
 
 #: The base: exact phrases.
@@ -45,14 +46,14 @@ PHRASES = (
 )
 #: Short notices of the licenses' own texts, searched with errors.
 NOTICES = (
-    Notice("gnu general public license", "gpl", 3),
+    Notice("gnu general public license", "gpl", 3, "gnu"),
     Notice("this program is free software you can redistribute it and or modify it under the terms of", "gpl", 8),
     Notice("gnu lesser general public license", "lgpl", 3),
     Notice("gnu affero general public license", "agpl", 3),
     Notice("licensed under the apache license version 2 0", "apache", 4),
     Notice("creative commons attribution", "cc-by", 3),
     Notice("licensed under cc by", "cc-by", 2),
-    Notice("released under the mit license", "mit", 3),
+    Notice("released under the mit license", "mit", 3, "mit"),
     Notice("permission is hereby granted free of charge to any person obtaining a copy", "mit", 7),
     Notice("redistribution and use in source and binary forms with or without modification", "bsd", 7),
     Notice("mozilla public license", "mpl", 2),
@@ -77,6 +78,19 @@ def pieces(phrase: str, errors: int) -> list[tuple[int, bytes]]:
     return [(a, raw[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
+def pattern_of(x: Notice) -> regex.Pattern:
+    """The notice within its errors; with a telling word each part has its own, so that all of them may be more than errors."""
+
+    def part(words: str, kind: str, n: int) -> bytes:
+        return rb"(?:%s){%s<=%d}" % (regex.escape(words.encode(), literal_spaces=True), kind.encode(), n) if words else b""
+
+    if not x.telling:
+        return regex.compile(part(x.phrase, "e", x.errors), regex.BESTMATCH)
+    head, tail = x.phrase.split(x.telling, 1)
+    told = rb"(?:%s|%s)" % (part(x.telling, "e", min(x.errors, 1)), part(x.telling, "i", x.errors))
+    return regex.compile(part(head, "e", x.errors) + told + part(tail, "e", x.errors), regex.BESTMATCH)
+
+
 def places(text: bytes, seed: bytes) -> Iterator[int]:
     at = text.find(seed)
     while at >= 0:
@@ -90,8 +104,7 @@ class Scanner:
     def __init__(self, phrases: tuple[Notice, ...] = PHRASES, notices: tuple[Notice, ...] = NOTICES):
         self.phrases, self.notices = phrases, []
         for x in notices:
-            pattern = regex.compile(rb"(?:%s){e<=%d}" % (regex.escape(x.phrase.encode(), literal_spaces=True), x.errors), regex.BESTMATCH)
-            self.notices.append((x, pieces(x.phrase, x.errors), pattern))
+            self.notices.append((x, pieces(x.phrase, x.errors), pattern_of(x)))
 
     def exact(self, text: bytes) -> list[tuple[int, str]]:
         """(place, label) of each phrase's occurrences as whole words; the place is of the first word's first byte."""
@@ -121,7 +134,8 @@ class Scanner:
             return end
         lo, hi = max(0, end, group[0] - most), group[-1] + size + 2 * most
         while (m := pattern.search(text, lo, min(hi, len(text)))) is not None:
-            if m.end() <= m.start():
+            # The best match comes first: where it has too many edits, all have.
+            if m.end() <= m.start() or sum(m.fuzzy_counts) > most:
                 break
             out.append((m.start(), m.end(), notice.label, sum(m.fuzzy_counts)))
             end = lo = m.end()

@@ -154,6 +154,18 @@ def test_fuzzy_notices_survive_edits():
     assert scanner.fuzzy(licenses.folded("plain words about licenses in general and the public at large")) == []
 
 
+def test_neighbouring_licenses_are_told_apart():
+    scanner = licenses.Scanner()
+
+    def labels(text):
+        return {x[2] for x in scanner.fuzzy(licenses.folded(text))}
+
+    assert labels("released under the bsd license") == labels("released under the mpl license") == labels("a general public license") == set()
+    assert labels("GNU Lesser General Public License") == {"lgpl"} and labels("GNU Affero General Public License") == {"agpl"}
+    assert labels("gnu general pablic licence") == labels("gnv general public license") == {"gpl"}
+    assert labels("released under the mit licence") == labels("released under the mitt license") == {"mit"}
+
+
 def test_licenses_awkward(awkward, nothing, awkward_rows):
     got = Counter((r["doc_id"], r["n_words"], tuple(map(tuple, r["places"]))) for r in licenses.scan_licenses(awkward).collect())
     assert got == Counter((r[0], n, tuple(p)) for r in awkward_rows for n, p in [plain_places(r[1] or "")])
