@@ -5,10 +5,10 @@ from __future__ import annotations
 import math
 
 from ..operators.bandit import SEARCH_SPACE
-from ..params import DAY
+from ..params import DAY, RankParams
 from ..schema import POST_COLLECTION, SEEN_EVENT
 from ..sources.benchdata import CAP, HALF_LIFE, NOW, WINDOW
-from .catalogue import AUTHORS, BENCH_TRANCHES, CANDIDATES, KEEP_FROM, PAGE, TIGHT
+from .catalogue import AUTHORS, BENCH_TRANCHES, CANDIDATES, KEEP_FROM, PAGE, RANK
 
 LN2 = math.log(2)
 LO = NOW - WINDOW
@@ -30,7 +30,7 @@ TABLES: dict[str, str] = {
     "seen": f"SELECT user_id, post_id, max(ts) AS seen_ts FROM inter WHERE event = '{SEEN_EVENT}' GROUP BY ALL",
     "excl": "SELECT user_id, post_id FROM win UNION SELECT user_id, post_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY seen_ts DESC, post_id) AS n FROM seen) WHERE n <= 1000",
     "busy": "SELECT user_id, row_number() OVER (ORDER BY count(*) DESC, user_id) AS n FROM win GROUP BY user_id",
-    "mine": "SELECT user_id, w.post_id, author_did, uri, 1.0 / (1 + (w.post_id * 31 + user_id * 17) % 97) AS score FROM win w JOIN posts USING (post_id) WHERE user_id % 5 = 0",
+    "mine": "SELECT user_id, w.post_id, author_did, uri, 1.0 / (1 + (w.post_id * 31 + user_id * 17) % 97) AS score FROM win w JOIN posts USING (post_id)",
 }
 
 
@@ -122,12 +122,11 @@ def unit(seed: str, *columns: str) -> str:
     return f"(CAST('0x' || substr({hashed(seed, *columns)}, 1, 8) AS BIGINT) / 4294967296.0)"
 
 
-def first_sources(allowed: str | None) -> dict[str, str]:
-    p, each = TIGHT, TIGHT.max_sources_per_post * (2 if allowed else 1)
+def first_sources(allowed: str | None, p: RankParams = RANK) -> dict[str, str]:
+    each = p.max_sources_per_post * (2 if allowed else 1)
     semi = f"WHERE source_id IN ({allowed})" if allowed else ""
     return {
-        "bu": "SELECT user_id FROM busy WHERE n <= 50",
-        "ul": first(p.max_user_likes, "(SELECT * FROM win WHERE user_id IN (SELECT user_id FROM bu))", "user_id", "like_ts DESC, post_id", "user_id, post_id, like_ts"),
+        "ul": first(p.max_user_likes, "win", "user_id", "like_ts DESC, post_id", "user_id, post_id, like_ts"),
         "e1": "SELECT u.user_id, u.post_id, u.like_ts, s.user_id AS source_id, s.like_ts AS source_ts FROM ul u JOIN win s USING (post_id) WHERE s.like_ts <= u.like_ts - 1",
         "e2": f"SELECT * FROM ({first(each, 'e1', 'user_id, post_id', 'source_ts, source_id', '* EXCLUDE (rn)')}) {semi}",
         "e3": first(p.max_total_sources, "e2", "user_id", "like_ts DESC, post_id, source_ts, source_id", "* EXCLUDE (rn)"),
@@ -149,7 +148,7 @@ def visible(now: int, age: int) -> str:
 
 def stagger_sql(factor: float) -> str:
     both = {
-        "own": first(12, "(SELECT * FROM mine WHERE user_id % 10 = 0)", "user_id", "score DESC, post_id", "user_id, rn AS pos, uri, 'post' AS source"),
+        "own": first(12, "mine", "user_id", "score DESC, post_id", "user_id, rn AS pos, uri, 'post' AS source"),
         "late": "SELECT user_id, post_id + 1 AS pos, uri, 'popular' AS source FROM (SELECT DISTINCT user_id FROM own) JOIN posts ON post_id < (user_id // 10) % 9",
     }
     sizes = "(SELECT count(*) FROM own o WHERE o.user_id = x.user_id)", "(SELECT count(*) FROM late l WHERE l.user_id = x.user_id)"
@@ -179,8 +178,8 @@ def blend_sql() -> str:
     shares = tuple(share.format(r=r) for r in (0.34, 0.33, 0.33))
     reach = f"CASE tranche WHEN 'popular' THEN {shares[0]} WHEN 'velocity' THEN {shares[1]} ELSE {shares[2]} END"
     rows = {
-        "aims": "SELECT user_id, CASE WHEN user_id % 37 <= 5 THEN CAST(floor(20 * (CAST(1 AS DOUBLE) - CAST(0.8 AS DOUBLE))) AS INTEGER) WHEN user_id % 37 <= 20 THEN 10 ELSE 16 END AS target FROM lc WHERE user_id % 10 = 0",
-        "ranked": "SELECT user_id, uri, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, post_id) AS a, row_number() OVER (PARTITION BY user_id ORDER BY 1 - score DESC, post_id) AS b FROM mine WHERE user_id % 10 = 0",
+        "aims": "SELECT user_id, CASE WHEN user_id % 37 <= 5 THEN CAST(floor(20 * (CAST(1 AS DOUBLE) - CAST(0.8 AS DOUBLE))) AS INTEGER) WHEN user_id % 37 <= 20 THEN 10 ELSE 16 END AS target FROM lc",
+        "ranked": "SELECT user_id, uri, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, post_id) AS a, row_number() OVER (PARTITION BY user_id ORDER BY 1 - score DESC, post_id) AS b FROM mine",
         "f": "SELECT r.user_id, uri, a AS pos, 'post' AS source FROM ranked r JOIN aims USING (user_id) WHERE a <= least(target, 14)",
         "short": "SELECT aims.user_id, target - coalesce(h, 0) AS s FROM aims LEFT JOIN (SELECT user_id, count(*) AS h FROM f GROUP BY user_id) USING (user_id) WHERE target > coalesce(h, 0)",
         "spare": "SELECT r.user_id, uri, s, row_number() OVER (PARTITION BY r.user_id ORDER BY b) AS n FROM ranked r JOIN short USING (user_id) WHERE b <= least(2 * s, 14) AND NOT EXISTS (SELECT 1 FROM f WHERE f.user_id = r.user_id AND f.uri = r.uri)",
@@ -198,7 +197,7 @@ def blend_sql() -> str:
 
 def special_tables() -> dict[str, str]:
     return {
-        "own7": "SELECT algo_id, post_id, uri, post_id % 7 AS part FROM cand JOIN posts USING (post_id) WHERE post_id < 200",
+        "own7": "SELECT algo_id, post_id, uri, post_id % 7 AS part FROM cand JOIN posts USING (post_id)",
         "special": """SELECT algo_id, 50 AS saturation, CASE part WHEN 0 THEN 'pinned' WHEN 1 THEN 'rotating' ELSE 'sponsored' END AS kind, CAST(row_number() OVER (PARTITION BY algo_id, part ORDER BY post_id) - 1 AS INTEGER) AS place,
           'a' || post_id AS attribution, uri, CASE WHEN part = 2 THEN CAST(1000 - post_id AS INTEGER) END AS cpm_cents FROM own7 WHERE part <= 2 QUALIFY part > 0 OR place < 2""",
     }
@@ -256,19 +255,19 @@ def _ranked(n: str, **k) -> str:
 
 
 ORACLE["op_rank_user"] = _ranked(" WHERE n = 1") + f"SELECT algo_id, user_id, post_id, paths, liker_count, {scaled('raw_score')}, round(s * 1e6, 4) AS score, CAST(rank AS INTEGER) AS rank FROM (SELECT *, score AS s, row_number() OVER (PARTITION BY algo_id, user_id ORDER BY score DESC, post_id) AS rank FROM final) WHERE rank <= 500"
-ORACLE["op_rank_all_users"] = with_("cand", "cnt", "lc", "excl", "busy", **walk("SELECT user_id FROM busy", 8, 6, 40, None), **score(6, 5, None)) + f"SELECT algo_id, user_id, post_id, paths, {scaled('score')} FROM ({first(20, 'final', 'algo_id, user_id', 'score DESC, post_id')})"
-ORACLE["op_corater_decay"] = with_("cand", "cnt", "lc", "win", "busy", **walk("SELECT user_id FROM busy WHERE n <= 20", 500, 500, 10_000, None), **score(30, 10, None, 0.2, "win")) + f"SELECT algo_id, user_id, post_id, paths, {scaled('score')} FROM ({first(50, 'final', 'algo_id, user_id', 'score DESC, post_id')})"
+ORACLE["op_rank_all_users"] = with_("cand", "cnt", "lc", "excl", "busy", **walk("SELECT user_id FROM busy", 500, 500, 10_000, CAP), **score(30, 10, CAP)) + f"SELECT algo_id, user_id, post_id, paths, {scaled('score')} FROM ({first(500, 'final', 'algo_id, user_id', 'score DESC, post_id')})"
+ORACLE["op_corater_decay"] = with_("cand", "cnt", "lc", "win", "busy", **walk("SELECT user_id FROM busy", 500, 500, 10_000, None), **score(30, 10, None, 0.2, "win")) + f"SELECT algo_id, user_id, post_id, paths, {scaled('score')} FROM ({first(50, 'final', 'algo_id, user_id', 'score DESC, post_id')})"
 ORACLE["op_skip_counts"] = with_("cand", "cnt") + "SELECT algo_id, count(*) AS checked, count(*) FILTER (coalesce(liker_count, 0) = 0) AS no_likers, count(*) FILTER (liker_count BETWEEN 1 AND 29) AS few_likers, count(*) FILTER (liker_count >= 30) AS to_score FROM cand LEFT JOIN cnt USING (post_id) GROUP BY algo_id"
-ORACLE["op_score_topk_generic"] = with_("win", "lc") + f"SELECT post_id, matches, {scaled('score')} FROM (SELECT post_id, count(*) AS matches, sum(1.0 / like_count * {fade('like_ts', HALF_LIFE, LN2)}) AS score FROM win JOIN lc USING (user_id) WHERE user_id % 3 = 0 GROUP BY post_id) ORDER BY score DESC, post_id LIMIT 100"
+ORACLE["op_score_topk_generic"] = with_("win", "lc") + f"SELECT post_id, matches, {scaled('score')} FROM (SELECT post_id, count(*) AS matches, sum(1.0 / like_count * {fade('like_ts', HALF_LIFE, LN2)}) AS score FROM win JOIN lc USING (user_id) GROUP BY post_id) ORDER BY score DESC, post_id LIMIT 100"
 ORACLE["op_rank_source_first"] = with_("cand", "win", "busy", **first_sources("SELECT user_id FROM likes JOIN cand USING (post_id) WHERE algo_id = 0"), **{
-    "theirs": first(TIGHT.max_user_likes, "win", "user_id", "like_ts DESC, post_id", "user_id AS source_id, post_id, like_ts"),
+    "theirs": first(RANK.max_user_likes, "win", "user_id", "like_ts DESC, post_id", "user_id AS source_id, post_id, like_ts"),
     "num": "SELECT source_id, count(*) AS n FROM theirs GROUP BY source_id",
     "summed": f"SELECT w.user_id, t.post_id, sum(weight * pow(100.0 / greatest(n, 100), 1.0) * {fade('t.like_ts', HALF_LIFE, 0.693)}) AS raw_score, count(*) AS paths FROM w JOIN theirs t USING (source_id) JOIN num USING (source_id) WHERE NOT EXISTS (SELECT 1 FROM ul u WHERE u.user_id = w.user_id AND u.post_id = t.post_id) GROUP BY ALL",
-    "checked": first(TIGHT.max_algo_checks, "summed", "user_id", "raw_score DESC, post_id"),
+    "checked": first(RANK.max_algo_checks, "summed", "user_id", "raw_score DESC, post_id"),
 }) + f"SELECT algo_id, user_id, post_id, paths, {scaled(FINISH, name='score')} FROM checked JOIN cand USING (post_id)"
 ORACLE["op_rank_inverted_lua"] = with_("cand", "win", "busy", "cnt", **first_sources(None), **{
-    "fl": first(TIGHT.max_likers_per_post, "win", "post_id", "like_ts, user_id", "user_id AS source_id, post_id, like_ts"),
-    "summed": f"SELECT w.user_id, f.post_id, sum(weight * {fade('f.like_ts', HALF_LIFE, 0.693)}) AS raw_score, count(*) AS paths FROM w JOIN fl f USING (source_id) JOIN cnt ON cnt.post_id = f.post_id WHERE liker_count >= {TIGHT.min_post_likes} AND NOT EXISTS (SELECT 1 FROM ul u WHERE u.user_id = w.user_id AND u.post_id = f.post_id) GROUP BY ALL",
+    "fl": first(RANK.max_likers_per_post, "win", "post_id", "like_ts, user_id", "user_id AS source_id, post_id, like_ts"),
+    "summed": f"SELECT w.user_id, f.post_id, sum(weight * {fade('f.like_ts', HALF_LIFE, 0.693)}) AS raw_score, count(*) AS paths FROM w JOIN fl f USING (source_id) JOIN cnt ON cnt.post_id = f.post_id WHERE liker_count >= {RANK.min_post_likes} AND NOT EXISTS (SELECT 1 FROM ul u WHERE u.user_id = w.user_id AND u.post_id = f.post_id) GROUP BY ALL",
 }) + f"SELECT algo_id, user_id, post_id, paths, {scaled(FINISH, name='score')} FROM summed JOIN cand USING (post_id)"
 
 
@@ -300,7 +299,7 @@ ORACLE["op_user_likes_window"] = with_("win") + first(5, "win", "user_id", "like
 ORACLE["op_seed_sample"] = with_("win", pool=first(10, "win", "user_id", "like_ts DESC, post_id", "user_id, post_id, like_ts")) + first(4, "pool", "user_id", hashed("s", "user_id", "post_id"), "user_id, post_id, like_ts")
 ORACLE["op_post_likers_topk"] = with_("win") + first(5, "win", "post_id", "like_ts DESC, user_id", "user_id, post_id, like_ts")
 
-ORACLE["op_colikers_plain"] = with_("win", "lc", **{k: v for k, v in walk("SELECT user_id FROM win", 8, 6, 30, None).items() if k in ("ul", "pl", "edges")}, p=f"SELECT user_id, source_id, sum({fade('source_ts', HALF_LIFE, LN2)}) AS weight FROM edges GROUP BY ALL") + f"SELECT user_id, source_id, {scaled('weight', 1e3)} FROM ({first(30, 'p', 'user_id', 'weight DESC, source_id')})"
+ORACLE["op_colikers_plain"] = with_("win", "lc", **{k: v for k, v in walk("SELECT user_id FROM win", 500, 500, 10_000, None).items() if k in ("ul", "pl", "edges")}, p=f"SELECT user_id, source_id, sum({fade('source_ts', HALF_LIFE, LN2)}) AS weight FROM edges GROUP BY ALL") + f"SELECT user_id, source_id, {scaled('weight', 1e3)} FROM ({first(10_000, 'p', 'user_id', 'weight DESC, source_id')})"
 ORACLE["op_colikers_norm"] = with_("win", "lc", **walk("SELECT user_id FROM win", 500, 500, 10_000, CAP)) + f"SELECT user_id, source_id, {scaled('weight')} FROM w"
 ORACLE["op_author_colikers"] = with_("likes", "posts", la=LIKED_AUTHORS, al=f"SELECT author_did, user_id, max(like_ts) AS like_ts FROM ({AUTHOR_LIKERS}) WHERE like_ts BETWEEN {LO} AND {NOW} GROUP BY ALL", own=f"SELECT * FROM ({first(AUTHORS.max_authors, 'la', 'user_id', 'like_count DESC, author_did')}) WHERE like_count >= 2", src=first(AUTHORS.max_likers, "al", "author_did", "like_ts DESC, user_id"), s="SELECT o.user_id, s.user_id AS source_id, sum(sqrt(like_count)) AS weight FROM own o JOIN src s USING (author_did) WHERE s.user_id <> o.user_id GROUP BY ALL") + f"SELECT user_id, source_id, {scaled('weight', 1e3)} FROM ({first(AUTHORS.max_sources, 's', 'user_id', 'weight DESC, source_id')})"
 ORACLE["op_stale_weights"] = with_("win", "lc") + f"SELECT user_id FROM lc LEFT JOIN (SELECT user_id, max(like_ts) AS t FROM win GROUP BY user_id) USING (user_id) WHERE {NOW} - user_id % 40 * 86400 + 30 * 86400 <= {NOW} OR coalesce(t > {NOW} - user_id % 40 * 86400, false)"
@@ -327,11 +326,11 @@ ORACLE["op_fallback_interleave"] = with_("likes", "cand", "posts", **tranche_tab
 ORACLE["op_stagger"] = stagger_sql(0.3)
 ORACLE["op_stagger_even"] = stagger_sql(1.0)
 ORACLE["op_blend_tiers"] = blend_sql()
-ORACLE["op_liked_filter"] = with_("likes", "lc", "cand", "posts", **tranche_tables(), last=first(20, "(SELECT user_id, post_id, max(like_ts) AS like_ts FROM likes GROUP BY ALL)", "user_id", "like_ts DESC, post_id")) + "SELECT user_id, uri, CAST(rank AS INTEGER) AS rank FROM (SELECT user_id, (user_id // 50) % 4 AS algo_id FROM lc WHERE user_id % 50 = 0) JOIN tr USING (algo_id) WHERE tranche = 'popular' AND rank <= 30 AND NOT EXISTS (SELECT 1 FROM last JOIN posts p USING (post_id) WHERE last.user_id = lc_.user_id AND p.uri = tr.uri)".replace("FROM lc WHERE user_id % 50 = 0) JOIN", "FROM lc WHERE user_id % 50 = 0) lc_ JOIN")
+ORACLE["op_liked_filter"] = with_("likes", "lc", "cand", "posts", **tranche_tables(), last=first(20, "(SELECT user_id, post_id, max(like_ts) AS like_ts FROM likes GROUP BY ALL)", "user_id", "like_ts DESC, post_id")) + "SELECT user_id, uri, CAST(rank AS INTEGER) AS rank FROM (SELECT user_id, (user_id // 50) % 4 AS algo_id FROM lc) lc_ JOIN tr USING (algo_id) WHERE tranche = 'popular' AND rank <= 30 AND NOT EXISTS (SELECT 1 FROM last JOIN posts p USING (post_id) WHERE last.user_id = lc_.user_id AND p.uri = tr.uri)"
 ORACLE["op_special_posts"] = with_("cand", "posts", **special_tables()) + "SELECT algo_id, saturation, kind, place, attribution, uri, cpm_cents FROM special"
 ORACLE["op_inject_slots"] = inject_sql(True, "SELECT algo_id, CAST(row_number() OVER (PARTITION BY algo_id ORDER BY a, b, uri) AS INTEGER) AS pos, uri, source FROM all_")
 ORACLE["op_injected_counts"] = inject_sql(False, "SELECT algo_id, count(*) FILTER (source = 'pinned') AS n_pinned, count(*) FILTER (source = 'rotating') AS n_rotating, count(*) FILTER (source = 'sponsored') AS n_sponsored FROM all_ GROUP BY algo_id")
-ORACLE["op_placeholder"] = with_("mine", pg="SELECT 0 AS algo_id, user_id, 2 AS pos, uri, 'post' AS source FROM mine WHERE score > 0.2") + "SELECT * FROM pg UNION ALL SELECT 0, c_custkey, 1, 'at://placeholder', 'placeholder' FROM customer WHERE c_custkey % 3 = 0 AND c_custkey NOT IN (SELECT user_id FROM pg)"
+ORACLE["op_placeholder"] = with_("mine", pg="SELECT 0 AS algo_id, user_id, 2 AS pos, uri, 'post' AS source FROM mine WHERE score > 0.2") + "SELECT * FROM pg UNION ALL SELECT 0, c_custkey, 1, 'at://placeholder', 'placeholder' FROM customer WHERE c_custkey NOT IN (SELECT user_id FROM pg)"
 ORACLE["op_page_slice"] = _LISTS + f"SELECT algo_id, CAST(rank AS INTEGER) AS pos, tr.uri, author_did || ' ' || post_id AS short, 'at://' || author_did || '/{POST_COLLECTION}/' || post_id AS again FROM tr JOIN posts ON posts.uri = tr.uri WHERE tranche = 'popular' AND rank > 10 AND rank <= 30"
 ORACLE["op_holdout_routing"] = f"SELECT event_id, h AS held_out, CASE WHEN user_id % 9 = 0 THEN 'no_auth' WHEN event_id % 20 = 0 THEN 'exhausted' WHEN h THEN 'holdout' WHEN user_id % 4 = 0 THEN 'no_user_data' WHEN event_type = 'error' THEN 'error' END AS reason FROM (SELECT *, {unit('holdout', 'event_id')} < 0.1 AS h FROM events)"
 
@@ -355,9 +354,9 @@ ORACLE["op_replay_events"] = with_("likes") + f"SELECT like_date, count(*) AS n
 
 ORACLE["op_stream_ingest"] = with_("likes") + "SELECT like_date, count(*) AS n_edges, max(like_ts) AS last_ts FROM (SELECT DISTINCT user_id, post_id, CASE WHEN k = 5 THEN '19700101' ELSE like_date END AS like_date, CASE WHEN k = 5 THEN 0 ELSE like_ts END AS like_ts FROM (SELECT *, (post_id + user_id) % 20 AS k FROM likes) WHERE k NOT IN (1, 2, 3, 4, 6)) WHERE like_date >= '" + KEEP_FROM + "' GROUP BY like_date"
 
-ORACLE["op_audit_top_contributors"] = with_("cand", "cnt", "lc", "win", "busy", nothing="SELECT user_id, post_id FROM win WHERE false", **walk("SELECT user_id FROM busy WHERE n <= 5", 500, 500, 10_000, CAP), **score(30, 10, CAP, 0.0, "nothing")) + f"SELECT algo_id, user_id, post_id, source_id, {scaled('cw * rec', name='contribution')}, round(rec * 1e6, 4) AS recency FROM ({first(3, 'paths', 'algo_id, user_id, post_id', 'cw * rec DESC, source_id')})"
+ORACLE["op_audit_top_contributors"] = with_("cand", "cnt", "lc", "win", "busy", nothing="SELECT user_id, post_id FROM win WHERE false", **walk("SELECT user_id FROM busy", 500, 500, 10_000, CAP), **score(30, 10, CAP, 0.0, "nothing")) + f"SELECT algo_id, user_id, post_id, source_id, {scaled('cw * rec', name='contribution')}, round(rec * 1e6, 4) AS recency FROM ({first(3, 'paths', 'algo_id, user_id, post_id', 'cw * rec DESC, source_id')})"
 _STEP = lambda t, what: f"LEFT JOIN (SELECT user_id, {what} FROM {t} GROUP BY user_id) USING (user_id)"
-ORACLE["op_proof_steps"] = with_("cand", "cnt", "lc", "win", "busy", **walk("SELECT user_id FROM busy WHERE n <= 30", 500, 500, 10_000, CAP), **score(30, 10, CAP, 0.0, "win")) + "SELECT user_id, " + ", ".join(f"coalesce({c}, 0) AS {c}" for c in ("likes_ever", "likes_in_window", "likes_used", "edges", "colikers", "sources", "scored")) + ", CAST(coalesce(paths, 0) AS BIGINT) AS paths FROM (SELECT user_id FROM busy WHERE n <= 30) " + " ".join((_STEP("likes", "count(DISTINCT post_id) AS likes_ever"), _STEP("win", "count(*) AS likes_in_window"), _STEP("ul", "count(*) AS likes_used"), _STEP("edges", "count(*) AS edges, count(DISTINCT source_id) AS colikers"), _STEP("w", "count(*) AS sources"), _STEP("final", "count(*) AS scored, sum(paths) AS paths")))
+ORACLE["op_proof_steps"] = with_("cand", "cnt", "lc", "win", "busy", **walk("SELECT user_id FROM busy", 500, 500, 10_000, CAP), **score(30, 10, CAP, 0.0, "win")) + "SELECT user_id, " + ", ".join(f"coalesce({c}, 0) AS {c}" for c in ("likes_ever", "likes_in_window", "likes_used", "edges", "colikers", "sources", "scored")) + ", CAST(coalesce(paths, 0) AS BIGINT) AS paths FROM busy " + " ".join((_STEP("likes", "count(DISTINCT post_id) AS likes_ever"), _STEP("win", "count(*) AS likes_in_window"), _STEP("ul", "count(*) AS likes_used"), _STEP("edges", "count(*) AS edges, count(DISTINCT source_id) AS colikers"), _STEP("w", "count(*) AS sources"), _STEP("final", "count(*) AS scored, sum(paths) AS paths")))
 ORACLE["op_audit_gate"] = f"SELECT event_id AS request_id, user_id FROM events WHERE {unit('audit', 'event_id')} < 0.05 OR user_id IN (SELECT c_custkey FROM customer WHERE c_custkey % 50 = 0)"
 ORACLE["op_preset_inference"] = "SELECT event_id, CASE WHEN event_id % 3 = 0 AND 0.5 + (event_id % 4) * 0.4 > 1.4 THEN 'discovery' WHEN event_id % 3 = 2 AND (event_id % 5) * 100000 > 360000 THEN 'stable' WHEN event_id % 2 = 0 AND event_id % 7 < 3 THEN 'fast' ELSE 'default' END AS preset FROM events"
 ORACLE["op_feed_status"] = with_("likes", "cand", "posts", **tranche_tables(), meta=f"SELECT CAST(i AS INTEGER) AS algo_id, CASE WHEN i <> 2 THEN {NOW} - i * 1000 END AS last_sync FROM range(6) t(i)", p="SELECT algo_id, count(*) AS posts FROM cand GROUP BY algo_id", s="SELECT algo_id, " + ", ".join(f"count(*) FILTER (tranche = '{n}') AS {n}" for n in ("trending", "popular", "velocity", "discovery")) + " FROM tr GROUP BY algo_id") + f"""
