@@ -25,7 +25,7 @@ class Cursor:
     shown_rotating: tuple[str, ...] = ()
     shown_sponsored: tuple[str, ...] = ()
     shown_fallback: tuple[str, ...] = ()
-    is_personalization_holdout: bool = False
+    in_holdout: bool = False
     version: int = field(default=3, compare=False)
 
     @property
@@ -68,7 +68,7 @@ def advanced(cursor: Cursor, shown: int, limit: int, fallback: list[str], holdou
     if shown == 0:
         return Cursor(offset=-1)
     only = cursor.fallback_only or holdout or shown < limit / 2
-    moved = replace(cursor, fallback_only=only, is_personalization_holdout=cursor.is_personalization_holdout or holdout)
+    moved = replace(cursor, fallback_only=only, in_holdout=cursor.in_holdout or holdout)
     seen = tuple(dict.fromkeys((*cursor.shown_fallback, *fallback)))
     if only:
         return replace(moved, fallback_offset=cursor.fallback_offset + shown, offset=cursor.offset + shown, shown_fallback=seen)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.expressions import decay, top
@@ -14,13 +14,18 @@ LN2 = math.log(2)
 
 
 def earlier_likers(liked: DataFrame, likers: DataFrame) -> DataFrame:
-    """(user_id, source_id, post_id, source_ts): likers of a user's posts that liked them before the user did.
+    """(user_id, source_id, post_id, source_ts, n_sources): likers of a user's posts that liked them before the user did, and how many.
 
-    likers are already cut to the latest of each post: a post whose latest likers all came later has none.
+    likers are already cut to the latest of each post: a post whose latest likers all came later has
+    none. A post's likers are one array, as bounded as that cut, so the join has one row for each like
+    and can be split where a post is liked by very many; the number of sources needs no window.
     """
-    source = likers.select("post_id", F.col("user_id").alias("source_id"), F.col("like_ts").alias("source_ts"))
-    joined = liked.join(source, "post_id").filter((F.col("source_ts") < F.col("like_ts")) & (F.col("source_id") != F.col("user_id")))
-    return joined.select("user_id", "source_id", "post_id", "source_ts")
+    source = F.struct(F.col("user_id").alias("source_id"), F.col("like_ts").alias("source_ts"))
+    lists = likers.groupBy("post_id").agg(F.collect_list(source).alias("likers"))
+    earlier = F.filter("likers", lambda x: (x["source_ts"] < F.col("like_ts")) & (x["source_id"] != F.col("user_id")))
+    kept = liked.join(lists, "post_id").select("user_id", "post_id", earlier.alias("sources"))
+    each = kept.select("user_id", "post_id", F.size("sources").alias("n_sources"), F.explode("sources").alias("x"))
+    return each.select("user_id", "x.source_id", "post_id", "x.source_ts", "n_sources")
 
 
 def plain_weights(edges: DataFrame, now: int, half_life: float, limit: int) -> DataFrame:
@@ -35,9 +40,7 @@ def walk_weights(edges: DataFrame, liked: DataFrame, counts: DataFrame, now: int
     The steps are uniform over the user's likes used and over the post's earlier likers that are left.
     """
     n_liked = liked.groupBy("user_id").agg(F.count("*").alias("n_liked"))
-    # The join on post_id has brought a post's rows together, which is enough for this window.
-    spread = edges.withColumn("n_sources", F.count("*").over(Window.partitionBy("post_id", "user_id")))
-    walked = spread.groupBy("user_id", "source_id").agg(F.sum(decay(F.col("source_ts"), now, half_life, LN2) / F.col("n_sources")).alias("mass"))
+    walked = edges.groupBy("user_id", "source_id").agg(F.sum(decay(F.col("source_ts"), now, half_life, LN2) / F.col("n_sources")).alias("mass"))
     known = walked.join(n_liked, "user_id").join(counts.select(F.col("user_id").alias("source_id"), "like_count"), "source_id", "left")
     weight = F.col("mass") / F.col("n_liked") / F.greatest(F.coalesce("like_count", F.lit(1)), F.lit(1))
     weight = F.least(weight, F.lit(cap)) if cap else weight

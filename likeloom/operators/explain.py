@@ -60,8 +60,8 @@ def walk_counts(likes: DataFrame, candidates: DataFrame, counts: DataFrame, like
     liked = graph.user_likes(own, p.max_user_likes)
     edges = colikers.earlier_likers(liked, graph.post_likers(window, p.max_sources_per_post))
     weights = colikers.weights(liked, graph.post_likers(window, p.max_sources_per_post), like_counts, now, p)
-    excluded = ranker.exclusions(own, None, p)
-    paths = ranker.contributions(weights, graph.post_likers(window, p.max_likers_per_post), ranker.scoreable(candidates, counts, p), excluded, now, p)
+    excluded, posts = ranker.exclusions(own, None, p), ranker.scoreable(candidates, counts, p)
+    paths = ranker.contributions(weights, ranker.candidate_likers(window, posts, p.max_likers_per_post), posts, excluded, now, p)
     scores = ranker.scored(paths, excluded, p)
     ever = likes.select("user_id", "post_id").distinct()
     steps = (

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expressions import author_of, day_of, day_tranche, retained_days, seeded, top
+from ..storage import staged
 
 
 def keyed_by_day(likes: DataFrame) -> DataFrame:
@@ -103,23 +104,21 @@ def reconciled(old: DataFrame, new: DataFrame, key: str, tolerance: float = 0.1)
 
 
 def interned(known: DataFrame, uris: DataFrame) -> DataFrame:
-    """known (post_id, uri) with new ids for the uris not in it, in their order after the highest. One writer at a time.
+    """known (post_id, uri) with new ids for the uris not in it, dense and in their order after the highest. One writer at a time.
 
-    Numbers within a partition are counted there; only the partitions' counts meet.
+    The new uris are sorted over all partitions and written once, each with its place in its partition:
+    the bounds of a range deal come from a sample and differ between two evaluations, so counts and
+    numbers are both taken from the copy. Only the partitions' counts meet, one row each.
     """
     fresh = uris.select("uri").filter("uri IS NOT NULL").distinct().join(known.select("uri"), "uri", "left_anti")
-    ordered = fresh.repartitionByRange("uri").sortWithinPartitions("uri").withColumn("_row", F.monotonically_increasing_id())
-    ordered = ordered.withColumns({"_part": F.shiftright("_row", 33), "_at": F.col("_row").bitwiseAND((1 << 33) - 1)})
+    placed = staged(fresh.repartitionByRange("uri").sortWithinPartitions("uri").withColumn("_row", F.monotonically_increasing_id()), "uris")
+    placed = placed.select("uri", F.shiftright("_row", 33).alias("_part"), F.col("_row").bitwiseAND((1 << 33) - 1).alias("_at"))
     last = known.agg(F.coalesce(F.max("post_id"), F.lit(0))).first()[0]
-    sizes = {r["_part"]: r["count"] for r in ordered.groupBy("_part").count().collect()}  # one row a partition
-    base, starts = last + 1, []
-    for part in sorted(sizes):
-        starts += [F.lit(part), F.lit(base)]
-        base += sizes[part]
-    if not starts:
-        return known.select("post_id", "uri")
-    offset = F.element_at(F.create_map(*starts), F.col("_part"))
-    return known.select("post_id", "uri").unionByName(ordered.select((offset + F.col("_at")).cast("long").alias("post_id"), "uri"))
+    sizes = placed.groupBy("_part").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = sizes.select("_part", (before + F.lit(last + 1)).alias("_start"))  # one row a partition
+    numbered = placed.join(F.broadcast(starts), "_part").select((F.col("_start") + F.col("_at")).cast("long").alias("post_id"), "uri")
+    return known.select("post_id", "uri").unionByName(numbered)
 
 
 def uris_of(ids: DataFrame, dictionary: DataFrame) -> DataFrame:

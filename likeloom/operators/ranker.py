@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expressions import decay, paths_boost, popularity_penalty, specificity, top
-from ..params import DECAY, RankParams
+from ..params import DECAY, AuthorParams, RankParams
 from . import colikers, graph
 
 
@@ -35,12 +35,17 @@ def skip_counts(candidates: DataFrame, counts: DataFrame, p: RankParams) -> Data
     )
 
 
+def candidate_likers(window: DataFrame, posts: DataFrame, n: int) -> DataFrame:
+    """The n latest likers of the posts that can be scored; other posts' likes go before they are ranked."""
+    return graph.post_likers(window.join(posts.select("post_id").distinct(), "post_id", "left_semi"), n)
+
+
 def contributions(weights: DataFrame, likers: DataFrame, posts: DataFrame, excluded: DataFrame | None, now: int, p: RankParams) -> DataFrame:
     """(algo_id, user_id, source_id, post_id, liker_count, weight, recency, contribution) of each path.
 
-    likers: the latest likers of each post. Only candidates' likers meet the weights.
+    likers: the latest likers of the posts, see candidate_likers().
     """
-    few = likers.join(posts.select("post_id").distinct(), "post_id", "left_semi").select("post_id", F.col("user_id").alias("source_id"), "like_ts")
+    few = likers.select("post_id", F.col("user_id").alias("source_id"), "like_ts")
     paths = weights.join(few, "source_id").join(posts, "post_id")
     recency = decay(F.col("like_ts"), now, p.half_life, DECAY)
     if p.corater_decay > 0:
@@ -74,17 +79,33 @@ def rank_posts(likes: DataFrame, candidates: DataFrame, counts: DataFrame, like_
     """(algo_id, user_id, post_id, raw_score, paths, liker_count, score, rank): the whole walk.
 
     users: (user_id) to rank for; all users with likes if not given. A post's latest likers are found
-    once, however many users are ranked.
+    once, however many users are ranked, and only for posts that these users liked or that can be scored.
     """
     window = graph.windowed(likes, now, p.window)
     own = window if users is None else window.join(users.select("user_id").distinct(), "user_id", "left_semi")
     liked = graph.sampled_likes(own, p.seed_sample_pool, p.max_user_likes, p.seed)
-    weights = colikers.weights(liked, graph.post_likers(window, p.max_sources_per_post), like_counts, now, p)
+    theirs = window if users is None else window.join(liked.select("post_id").distinct(), "post_id", "left_semi")
+    weights = colikers.weights(liked, graph.post_likers(theirs, p.max_sources_per_post), like_counts, now, p)
+    return ranked_by(weights, window, own, candidates, counts, now, p, seen)
+
+
+def ranked_by(weights: DataFrame, window: DataFrame, own: DataFrame, candidates: DataFrame, counts: DataFrame, now: int, p: RankParams, seen: DataFrame | None) -> DataFrame:
+    """The walk's second half: from weights (user_id, source_id, weight) to ranked posts. own: the ranked users' part of the window."""
     excluded = exclusions(own, seen, p)
-    paths = contributions(weights, graph.post_likers(window, p.max_likers_per_post), scoreable(candidates, counts, p), excluded, now, p)
+    posts = scoreable(candidates, counts, p)
+    paths = contributions(weights, candidate_likers(window, posts, p.max_likers_per_post), posts, excluded, now, p)
     return cut(scored(paths, excluded, p), p.max_results)
 
 
+def rank_by_authors(likes: DataFrame, posts: DataFrame, candidates: DataFrame, counts: DataFrame, now: int, p: RankParams, a: AuthorParams, seen: DataFrame | None = None, users: DataFrame | None = None) -> DataFrame:
+    """rank_posts() with weights from liked authors in place of liked posts."""
+    window = graph.windowed(likes, now, p.window)
+    mine = likes if users is None else likes.join(users.select("user_id").distinct(), "user_id", "left_semi")
+    own = window if users is None else window.join(users.select("user_id").distinct(), "user_id", "left_semi")
+    weights = colikers.author_weights(graph.liked_authors(mine, posts, a.max_authors), graph.author_likers(likes, posts), now, a)
+    return ranked_by(weights, window, own, candidates, counts, now, p, seen)
+
+
 # ---- variants ----------------------------------------------------------------------------------
 
 
@@ -101,11 +122,13 @@ def first_sources(liked: DataFrame, window: DataFrame, now: int, p: RankParams,
 
     max_total_sources counts edges in the order of the user's likes, newest first. With `allowed`
     (user_id), other sources are left out, after twice as many likers of each post were looked at.
+    Likers that came before a user are the first ones of the post's, so each post is cut to its oldest
+    before it meets the users: the likers of a viral post are never paired with each other.
     """
-    source = window.select("post_id", F.col("user_id").alias("source_id"), F.col("like_ts").alias("source_ts"))
-    edges = liked.join(source, "post_id").filter(F.col("source_ts") <= F.col("like_ts") - 1)
     each = p.max_sources_per_post * (1 if allowed is None else 2)
-    edges = top(edges, each, ["user_id", "post_id"], F.col("source_ts"), F.col("source_id"))
+    oldest = graph.post_likers(window, each, oldest=True)
+    source = oldest.select("post_id", F.col("user_id").alias("source_id"), F.col("like_ts").alias("source_ts"))
+    edges = liked.join(source, "post_id").filter(F.col("source_ts") <= F.col("like_ts") - 1)
     if allowed is not None:
         edges = edges.join(allowed.select(F.col("user_id").alias("source_id")).distinct(), "source_id", "left_semi")
     order = [F.desc("like_ts"), F.col("post_id"), F.col("source_ts"), F.col("source_id")]

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -73,11 +76,33 @@ def discovery(stats: DataFrame, posts: DataFrame, success: DataFrame, now: int,
 
 
 def all_tranches(candidates: DataFrame, likes: DataFrame, posts: DataFrame, now: int, p: TrancheParams) -> DataFrame:
-    """The four lists one below the other. Each is an independent job: a failed one can be made again alone."""
-    stats = post_stats(candidates, likes, now, p)
-    success = author_success(stats, posts, now, p)
-    lists = (trending(stats, now, p), popular(stats, now, p), velocity(stats, now, p), discovery(stats, posts, success, now, p))
-    return lists[0].unionByName(lists[1]).unionByName(lists[2]).unionByName(lists[3])
+    """The four lists one below the other, in one plan."""
+    made = lists(post_stats(candidates, likes, now, p), posts, now, p)
+    return reduce(DataFrame.unionByName, (make() for make in made.values()))
+
+
+def lists(stats: DataFrame, posts: DataFrame, now: int, p: TrancheParams) -> dict[str, Callable[[], DataFrame]]:
+    """How each list is made from the post statistics, by name."""
+    return {
+        "trending": lambda: trending(stats, now, p),
+        "popular": lambda: popular(stats, now, p),
+        "velocity": lambda: velocity(stats, now, p),
+        "discovery": lambda: discovery(stats, posts, author_success(stats, posts, now, p), now, p),
+    }
+
+
+def sync(stats: DataFrame, posts: DataFrame, now: int, p: TrancheParams, put: Callable[[str, DataFrame], None]) -> dict[str, Exception]:
+    """Makes each list and hands it to put(name, list), each in a job of its own: one that fails doesn't keep the others from being put.
+
+    Returns the failures by name. stats should be a stored table, as every list reads it.
+    """
+    failed: dict[str, Exception] = {}
+    for name, make in lists(stats, posts, now, p).items():
+        try:
+            put(name, make())
+        except Exception as error:  # whatever went wrong with a list is reported, and the others go on
+            failed[name] = error
+    return failed
 
 
 def algo_likers(candidates: DataFrame, likes: DataFrame, now: int, days: int) -> DataFrame:

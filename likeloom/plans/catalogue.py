@@ -94,6 +94,11 @@ def op_rank_inverted_lua(g: Graph) -> DataFrame:
     return ranker.rank_candidates_first(g.likes, g.candidates, NOW, RANK, everyone(g)).select("algo_id", "user_id", "post_id", "paths", scaled("score"))
 
 
+@query
+def op_rank_by_authors(g: Graph) -> DataFrame:
+    return ranker.rank_by_authors(g.likes, g.posts, g.candidates, g.counts, NOW, RankParams(window=WINDOW, half_life=HALF_LIFE, cap=None, max_results=30), AUTHORS, g.seen).select("algo_id", "user_id", "post_id", "paths", scaled("score", 1e3))
+
+
 def scored_by_author(g: Graph) -> DataFrame:
     """A ranked list for every user, from the likes alone: the input of the re-ranking queries."""
     liked = graph.windowed(g.likes, NOW, WINDOW).join(g.posts, "post_id")
@@ -584,7 +589,8 @@ def op_stream_ingest(g: Graph) -> DataFrame:
 def op_audit_top_contributors(g: Graph) -> DataFrame:
     window = graph.windowed(g.likes, NOW, WINDOW)
     weights = colikers.weights(graph.user_likes(window, 500), graph.post_likers(window, 500), g.like_counts, NOW, RANK)
-    paths = ranker.contributions(weights, graph.post_likers(window, 30), ranker.scoreable(g.candidates, g.counts, RANK), None, NOW, RANK)
+    posts = ranker.scoreable(g.candidates, g.counts, RANK)
+    paths = ranker.contributions(weights, ranker.candidate_likers(window, posts, 30), posts, None, NOW, RANK)
     return explain.top_contributors(paths, 3).select("algo_id", "user_id", "post_id", "source_id", scaled("contribution"), scaled("recency"))
 
 

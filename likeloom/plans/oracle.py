@@ -247,6 +247,17 @@ def select_sql() -> str:
     return with_(**rows) + f"SELECT request_id, algo_id, is_holdout, false AS is_treatment_override, NOT is_holdout AND e AS is_exploration, {', '.join(columns)} FROM req"
 
 
+def author_walk() -> dict[str, str]:
+    """Weights of users who like the same authors."""
+    return {
+        "al": f"SELECT author_did, user_id, max(like_ts) AS like_ts FROM ({AUTHOR_LIKERS}) WHERE like_ts BETWEEN {LO} AND {NOW} GROUP BY ALL",
+        "own": f"SELECT * FROM ({first(AUTHORS.max_authors, 'la', 'user_id', 'like_count DESC, author_did')}) WHERE like_count >= 2",
+        "src": first(AUTHORS.max_likers, "al", "author_did", "like_ts DESC, user_id"),
+        "s": "SELECT o.user_id, s.user_id AS source_id, sum(sqrt(like_count)) AS weight FROM own o JOIN src s USING (author_did) WHERE s.user_id <> o.user_id GROUP BY ALL",
+        "w": first(AUTHORS.max_sources, "s", "user_id", "weight DESC, source_id", "user_id, source_id, weight"),
+    }
+
+
 ORACLE: dict[str, str] = {}
 
 
@@ -257,6 +268,7 @@ def _ranked(n: str, **k) -> str:
 ORACLE["op_rank_user"] = _ranked(" WHERE n = 1") + f"SELECT algo_id, user_id, post_id, paths, liker_count, {scaled('raw_score')}, round(s * 1e6, 4) AS score, CAST(rank AS INTEGER) AS rank FROM (SELECT *, score AS s, row_number() OVER (PARTITION BY algo_id, user_id ORDER BY score DESC, post_id) AS rank FROM final) WHERE rank <= 500"
 ORACLE["op_rank_all_users"] = with_("cand", "cnt", "lc", "excl", "busy", **walk("SELECT user_id FROM busy", 500, 500, 10_000, CAP), **score(30, 10, CAP)) + f"SELECT algo_id, user_id, post_id, paths, {scaled('score')} FROM ({first(500, 'final', 'algo_id, user_id', 'score DESC, post_id')})"
 ORACLE["op_corater_decay"] = with_("cand", "cnt", "lc", "win", "busy", **walk("SELECT user_id FROM busy", 500, 500, 10_000, None), **score(30, 10, None, 0.2, "win")) + f"SELECT algo_id, user_id, post_id, paths, {scaled('score')} FROM ({first(50, 'final', 'algo_id, user_id', 'score DESC, post_id')})"
+ORACLE["op_rank_by_authors"] = with_("cand", "cnt", "posts", "win", "excl", la=LIKED_AUTHORS, **author_walk(), **score(30, 10, None)) + f"SELECT algo_id, user_id, post_id, paths, {scaled('score', 1e3)} FROM ({first(30, 'final', 'algo_id, user_id', 'score DESC, post_id')})"
 ORACLE["op_skip_counts"] = with_("cand", "cnt") + "SELECT algo_id, count(*) AS checked, count(*) FILTER (coalesce(liker_count, 0) = 0) AS no_likers, count(*) FILTER (liker_count BETWEEN 1 AND 29) AS few_likers, count(*) FILTER (liker_count >= 30) AS to_score FROM cand LEFT JOIN cnt USING (post_id) GROUP BY algo_id"
 ORACLE["op_score_topk_generic"] = with_("win", "lc") + f"SELECT post_id, matches, {scaled('score')} FROM (SELECT post_id, count(*) AS matches, sum(1.0 / like_count * {fade('like_ts', HALF_LIFE, LN2)}) AS score FROM win JOIN lc USING (user_id) GROUP BY post_id) ORDER BY score DESC, post_id LIMIT 100"
 ORACLE["op_rank_source_first"] = with_("cand", "win", "busy", **first_sources("SELECT user_id FROM likes JOIN cand USING (post_id) WHERE algo_id = 0"), **{
@@ -301,7 +313,7 @@ ORACLE["op_post_likers_topk"] = with_("win") + first(5, "win", "post_id", "like_
 
 ORACLE["op_colikers_plain"] = with_("win", "lc", **{k: v for k, v in walk("SELECT user_id FROM win", 500, 500, 10_000, None).items() if k in ("ul", "pl", "edges")}, p=f"SELECT user_id, source_id, sum({fade('source_ts', HALF_LIFE, LN2)}) AS weight FROM edges GROUP BY ALL") + f"SELECT user_id, source_id, {scaled('weight', 1e3)} FROM ({first(10_000, 'p', 'user_id', 'weight DESC, source_id')})"
 ORACLE["op_colikers_norm"] = with_("win", "lc", **walk("SELECT user_id FROM win", 500, 500, 10_000, CAP)) + f"SELECT user_id, source_id, {scaled('weight')} FROM w"
-ORACLE["op_author_colikers"] = with_("likes", "posts", la=LIKED_AUTHORS, al=f"SELECT author_did, user_id, max(like_ts) AS like_ts FROM ({AUTHOR_LIKERS}) WHERE like_ts BETWEEN {LO} AND {NOW} GROUP BY ALL", own=f"SELECT * FROM ({first(AUTHORS.max_authors, 'la', 'user_id', 'like_count DESC, author_did')}) WHERE like_count >= 2", src=first(AUTHORS.max_likers, "al", "author_did", "like_ts DESC, user_id"), s="SELECT o.user_id, s.user_id AS source_id, sum(sqrt(like_count)) AS weight FROM own o JOIN src s USING (author_did) WHERE s.user_id <> o.user_id GROUP BY ALL") + f"SELECT user_id, source_id, {scaled('weight', 1e3)} FROM ({first(AUTHORS.max_sources, 's', 'user_id', 'weight DESC, source_id')})"
+ORACLE["op_author_colikers"] = with_("likes", "posts", la=LIKED_AUTHORS, **author_walk()) + f"SELECT user_id, source_id, {scaled('weight', 1e3)} FROM w"
 ORACLE["op_stale_weights"] = with_("win", "lc") + f"SELECT user_id FROM lc LEFT JOIN (SELECT user_id, max(like_ts) AS t FROM win GROUP BY user_id) USING (user_id) WHERE {NOW} - user_id % 40 * 86400 + 30 * 86400 <= {NOW} OR coalesce(t > {NOW} - user_id % 40 * 86400, false)"
 
 ORACLE["op_post_stats"] = with_("likes", "cand", **post_stats(True)) + "SELECT algo_id, post_id, likes, recent, post_time FROM stats"

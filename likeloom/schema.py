@@ -27,8 +27,8 @@ SPECIAL_LISTS = {
 }
 SPECIAL = "algorithm_id int, sponsorship_saturation_rate int, " + ", ".join(f"{k} {v}" for k, v in SPECIAL_LISTS.items())
 PROVENANCE = (
-    "feed_uri string, algo_id int, depth int, personalized boolean, source string, personalization_type string, fallback_tranche string, total int, personalized_count int, attribution string, "
+    "feed_uri string, algo_id int, depth int, personalized boolean, source string, ranking_type string, fallback_tranche string, total int, personalized_count int, attribution string, "
     "params struct<min_post_likes:int, max_likers_per_post:int, max_total_sources:int, max_algo_checks:int, min_co_likes:int, max_user_likes:int, max_sources_per_post:int, seed_sample_pool:int, corater_decay:int>, "
-    "response_time_ms double, is_holdout boolean, is_personalization_holdout boolean"
+    "response_time_ms double, is_holdout boolean, in_holdout boolean"
 )
 LEARNING = "algo_id int, enabled boolean, speed_gate_ms double, interaction_weights map<string, struct<sign:tinyint, multiplier:double>>"

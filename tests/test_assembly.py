@@ -99,7 +99,7 @@ def test_compact_uris(spark):
 # ---- cursors -------------------------------------------------------------------------------------
 
 
-@pytest.mark.parametrize("c", [cursor.Cursor(), cursor.Cursor(30, 0.5, 7), cursor.Cursor(3, shown_pinned=("a", "b"), fallback_only=True, fallback_offset=9, is_personalization_holdout=True)])
+@pytest.mark.parametrize("c", [cursor.Cursor(), cursor.Cursor(30, 0.5, 7), cursor.Cursor(3, shown_pinned=("a", "b"), fallback_only=True, fallback_offset=9, in_holdout=True)])
 def test_cursor_round_trip(c):
     assert cursor.decode(cursor.encode(c)) == c
 
