@@ -5,44 +5,42 @@ hash among its anchors (short runs of units), the leftmost of equals; equal wind
 minimisers at equal places. Consecutive windows with one minimiser are a run, whose text (a
 super-k-mer) holds all their windows.
 
-Steps, with documents dealt into groups by a hash of doc_id and text, whole texts packed once:
+Steps, with documents dealt into groups by a hash of doc_id and text, whole texts packed:
  1. anchors: each group sends the distinct minimiser hashes of its runs to their buckets;
  2. the buckets answer which hashes stand in more than one place: only runs with such a minimiser
-    can hold a repeated window;
- 3. super-k-mers: each group sends the texts of those runs, each distinct text once, with its first
-    place, to the buckets of their minimisers. Later places of the text in the group are covered by
-    the first and need no answer;
- 4. each bucket orders what it got by place. A text that came before is covered whole; texts that
-    share a minimiser and differ are given to the operator's resolver, which compares windows by
-    content;
+    can hold a repeated window, the others' windows are alone in the corpus;
+ 3. pieces: each group settles what repeats within it by the operator's own method (Units.local) and
+    sends the rest, as run texts with their places, to the buckets of their minimisers;
+ 4. the operator compares the windows of each bucket by content, all of them, by its own method;
  5. the groups get the covered spans and cut their texts.
 
-Groups and buckets are one for each shuffle partition, so a group's messages to buckets are no more
-than the blocks of a plain shuffle; spark.sql.shuffle.partitions sets how much text a task holds.
+A group holds about GROUP_BYTES of text and there are as many buckets as groups, whatever the number
+of shuffle partitions; a task works one group or bucket at a time, so its memory doesn't grow with
+the input. A passage in a third of all documents is settled group by group and reaches its buckets
+once a group. Messages are rows of some bytes for each group and bucket that have to do with each
+other, never more rows than there are runs.
 
-A minimiser that stands in more than HOT_MINIMISER places would fill one bucket with the variants of
-its runs; its windows are dealt one by one instead, by their own hashes.
+A minimiser whose runs have more than HOT_VARIANTS variants, and several a group, would fill one
+bucket with them (a line with a number in it, in every document); its windows are dealt one by one
+by their own hashes, and compared there as all others are.
 
 "Earlier" is by doc_id (null last), then hash of the document, then place; rows equal in doc_id
-and text are one document. A bucket gets each text once a group, however many documents hold it,
-so a passage in a third of all documents does not gather in one task. Hashes only choose what to
-compare: a collision costs a comparison, never a wrong result (documents are told apart by doc_id
-with a 64-bit hash of doc_id and text).
+and text are one document. Hashes only choose what to compare: a collision costs a comparison, never
+a wrong result (documents are told apart by doc_id with a 64-bit hash of doc_id and text).
 """
 
 from __future__ import annotations
 
-from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import packed, shuffle_width, unpacked
+from .shared import Table, packed, shuffle_width, unpacked
 
 #: Bytes of text that the hash arrays are made for at once.
 HASH_BLOCK = 1 << 18
@@ -50,8 +48,10 @@ HASH_BLOCK = 1 << 18
 PART_UNITS = 1 << 22
 #: Documents unpacked at once.
 CHUNK = 256
-#: A minimiser that stands in more places (each group counts 255 at most) is hot: its windows are dealt one by one.
-HOT_MINIMISER = 1000
+#: A minimiser whose runs have more variants than this, and over 4 a group, is hot.
+HOT_VARIANTS = 1000
+#: Bytes of text in a group; there are as many groups as shuffle partitions at least.
+GROUP_BYTES = 16 << 20
 
 _PLACE = np.uint64((1 << 24) - 1)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -100,17 +100,20 @@ class Units:
         """The parts as one text, with the units' hashes and, unless units are bytes, their first and end bytes."""
         raise NotImplementedError
 
-
     def windows(self, text: bytes) -> list[bytes]:
         """The texts of all windows of a run's text."""
         raise NotImplementedError
 
+    def local(self) -> Local:
+        """What settles the repeats within a group."""
+        raise NotImplementedError
+
 
 class Run:
-    """Runs of one block as arrays: minimiser hash, document, first unit in it, windows, and first and end byte in the block."""
+    """Runs of one block as arrays: minimiser hash, document, first unit in it, windows, first and end byte in the block, and a hash of the text."""
 
-    def __init__(self, hashes, document, first, windows, start, end):
-        self.hashes, self.document, self.first, self.windows, self.start, self.end = hashes, document, first, windows, start, end
+    def __init__(self, hashes, document, first, windows, start, end, variant):
+        self.hashes, self.document, self.first, self.windows, self.start, self.end, self.variant = hashes, document, first, windows, start, end, variant
 
 
 def runs_of(units: Units, texts: list[bytes]) -> Iterator[tuple[bytes, Run]]:
@@ -148,7 +151,99 @@ def _block_runs(units: Units, part: list[tuple[int, int, int, bytes]]) -> tuple[
     last = p0 + windows + units.window - 2
     start = p0 if unit_start is None else unit_start[p0]
     end = last + 1 if unit_end is None else unit_end[last]
-    return text, Run(hashes[least[first]], document, p0 - starts[owner] + base, windows, start, end)
+    variant = mixed(hashes[p0] * _MIX + hashes[last + 1 - units.anchor]) + windows.astype(np.uint64)
+    return text, Run(hashes[least[first]], document, p0 - starts[owner] + base, windows, start, end, variant)
+
+
+# ---- pieces ------------------------------------------------------------------------------------
+
+#: A piece's place: its document's id, key and whether the id is null, its first unit; then its windows, length in bytes and, where copies are counted, how many.
+META = ("<i8", "<i8", "u1", "<i8", "<i4", "<i4", "<i4")
+#: Document's id, key and whether the id is null, start and end unit.
+SPAN = ("<i8", "<i8", "u1", "<i8", "<i8")
+
+
+class Pieces:
+    """Texts of consecutive windows with their places, as arrays of META."""
+
+    def __init__(self, meta: list[np.ndarray], texts: list[bytes]):
+        self.meta, self.texts = meta, texts
+
+    @classmethod
+    def read(cls, blobs: list[bytes]) -> Pieces:
+        """The pieces of blobs in the order of their places."""
+        opened, meta, texts = zstandard.ZstdDecompressor(), [], []
+        for blob in map(opened.decompress, blobs):
+            arrays = unpacked(blob, *META)
+            ends = np.cumsum(arrays[5], dtype=np.int64) + (len(blob) - int(arrays[5].sum(dtype=np.int64)))
+            texts += [blob[a:b] for a, b in zip((ends - arrays[5]).tolist(), ends.tolist(), strict=True)]
+            meta.append(arrays)
+        joined = [np.concatenate(x) for x in zip(*meta, strict=True)] if meta else [np.zeros(0, dtype=kind) for kind in META]
+        order = np.lexsort((joined[3], joined[1], joined[0], joined[2]))
+        return cls([x[order] for x in joined], [texts[i] for i in order.tolist()])
+
+    def spans(self, which: np.ndarray, start: np.ndarray, end: np.ndarray) -> list[np.ndarray]:
+        """SPAN arrays of unit ranges in pieces."""
+        return [self.meta[0][which], self.meta[1][which], self.meta[2][which], start, end]
+
+
+class Local:
+    """Repeats within a group. take() gets runs in the order of their documents; the rest is what the buckets must see."""
+
+    def take(self, document: tuple, h: int, hot: bool, first: int, windows: int, text: bytes) -> None:
+        """document: (id or 0, key, whether the id is null); h: the run's minimiser hash."""
+        raise NotImplementedError
+
+    def finish(self) -> tuple[np.ndarray, Pieces, list[np.ndarray]]:
+        """Hashes to deal by with the pieces left, and the SPAN arrays settled."""
+        raise NotImplementedError
+
+
+def ranges(flags: np.ndarray, breaks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and end places of maximal runs of true flags that don't reach over breaks (places where a new run must begin)."""
+    edge = flags.copy()
+    edge[1:] &= ~flags[:-1]
+    edge[breaks[breaks < len(flags)]] |= flags[breaks[breaks < len(flags)]]
+    first = np.flatnonzero(edge)
+    stop = np.ones(len(flags) + 1, dtype=bool)
+    stop[:-1] = ~flags
+    stop[breaks] = True
+    stops = np.flatnonzero(stop)
+    return first, stops[np.searchsorted(stops, first, side="right")] if len(first) else first
+
+
+def ordered(keys: np.ndarray, have: int, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """Suffix order by prefix doubling: (order, rank) of the places by their first `depth` units.
+
+    keys: numbers in the order of the places' first `have` units. Equal prefixes have equal ranks, the
+    place of the first of them in the order. Only places that are tied so far are sorted again.
+    """
+    n = len(keys)
+    order = np.argsort(keys, kind="stable")
+    new = np.ones(n, dtype=bool)
+    new[1:] = keys[order[1:]] != keys[order[:-1]]
+    rank = np.empty(n, dtype=np.int64)
+    rank[order] = np.maximum.accumulate(np.where(new, np.arange(n), 0))
+    while have < depth:
+        step = min(have, depth - have)
+        alone = new.copy()
+        alone[:-1] &= new[1:]
+        tied = np.flatnonzero(~alone)
+        if not len(tied):
+            break
+        part = order[tied]
+        after = part + step
+        second = np.where(after < n, rank[np.minimum(after, n - 1)], -1) + 1
+        key = rank[part] * (n + 1) + second
+        by = np.argsort(key, kind="stable")
+        key, part = key[by], part[by]
+        order[tied] = part
+        fresh = np.ones(len(part), dtype=bool)
+        fresh[1:] = key[1:] != key[:-1]
+        new[tied] = fresh
+        rank[part] = np.maximum.accumulate(np.where(fresh, tied, 0))
+        have += step
+    return order, rank
 
 
 # ---- the passes --------------------------------------------------------------------------------
@@ -164,7 +259,7 @@ def _texts(packs: list[bytes]) -> list[bytes]:
     return [opened.decompress(x) if x else b"" for x in packs]
 
 
-def _pack(keys: np.ndarray):
+def _pack(deal: Deal):
     """(dkey, doc_id, text) -> (g, dkey, doc_id, pack): the group by dkey, the text compressed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -173,29 +268,39 @@ def _pack(keys: np.ndarray):
             for a in range(0, batch.num_rows, 4 * CHUNK):
                 part = batch.slice(a, 4 * CHUNK)
                 packs = [closed.compress(x.encode("utf-8", "replace")) if x else b"" for x in part.column(2).to_pylist()]
-                g = _dealt(keys, np.asarray(part.column(0).to_numpy(zero_copy_only=False), dtype=np.int64).view(np.uint64))
+                g = deal(np.asarray(part.column(0).to_numpy(zero_copy_only=False), dtype=np.int64).view(np.uint64))
                 yield pa.record_batch([pa.array(g), *part.columns[:2], pa.array(packs, pa.binary())], names=["g", "dkey", "doc_id", "pack"])
 
     return run
 
 
-def _dealt(keys: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    """For each hash the key of its group or bucket."""
-    return keys[(hashes % np.uint64(len(keys))).astype(np.int64)]
+class Deal:
+    """For each hash the key of its group or bucket. keys: the keys, or their number where they are 0 and on."""
+
+    def __init__(self, keys: np.ndarray | int):
+        self.keys, self.size = keys, keys if isinstance(keys, int) else len(keys)
 
+    def __call__(self, hashes: np.ndarray) -> np.ndarray:
+        place = (hashes % np.uint64(self.size)).astype(np.int32)
+        return place if isinstance(self.keys, int) else self.keys[place]
 
-def partition_keys(spark: SparkSession, width: int) -> np.ndarray:
-    """For each of width hash partitions an integer that Spark deals to it: one group or bucket a partition, none left empty."""
-    found, size = {}, 16 * width
-    while len(found) < width:
-        place = F.pmod(F.hash(F.col("id").cast("int")), F.lit(width)).alias("place")
-        found = {r["place"]: r["key"] for r in spark.range(size).select(F.col("id").cast("int").alias("id")).groupBy(place).agg(F.min("id").alias("key")).collect()}  # width rows at most
-        size *= 2
-    return np.array([found[i] for i in range(width)], dtype=np.int32)
 
+def deal_of(spark: SparkSession, size: int, width: int) -> Deal:
+    """size keys over width hash partitions: up to 16 a partition exactly as many in each, more by chance."""
+    if size > 16 * width:
+        return Deal(size)
+    each, found, reach = -(-size // width), [], 16 * size
+    place = F.pmod(F.hash(F.col("id").cast("int")), F.lit(width)).alias("place")
+    while len(found) < each * width:
+        first = Window.partitionBy("place").orderBy("id")
+        numbered = spark.range(reach).select(F.col("id").cast("int").alias("id"), place).withColumn("n", F.row_number().over(first))
+        found = numbered.filter(F.col("n") <= each).collect()  # 17 * width rows at most
+        reach *= 2
+    return Deal(np.array([r["id"] for r in sorted(found, key=lambda r: (r["n"], r["place"]))], dtype=np.int32)[:size])
 
-def _send_anchors(units: Units, keys: np.ndarray):
-    """(g, dkey, doc_id, pack) -> (bucket, g, blob of distinct hashes and how often each stands, up to 255)."""
+
+def _send_anchors(units: Units, deal: Deal):
+    """(g, dkey, doc_id, pack) -> (bucket, g, blob of distinct hashes, in how many places each stands and with how many variants, up to 255)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -207,21 +312,29 @@ def _send_anchors(units: Units, keys: np.ndarray):
             cuts = np.flatnonzero(np.diff(groups[order])) + 1
             for rows in np.split(order, cuts):
                 chunks = (_texts(packs.take(pa.array(rows[a : a + CHUNK])).to_pylist()) for a in range(0, len(rows), CHUNK))
-                found = [r.hashes for texts in chunks for _, r in runs_of(units, texts)]
+                found = [(r.hashes, r.variant) for texts in chunks for _, r in runs_of(units, texts)]
                 if not found:
                     continue
-                hashes, count = np.unique(np.concatenate(found), return_counts=True)
-                bucket = _dealt(keys, hashes)
+                hashes, variants = (np.concatenate(x) for x in zip(*found, strict=True))
+                by = np.lexsort((variants, hashes))
+                hashes, variants = hashes[by], variants[by]
+                new = np.concatenate([[True], hashes[1:] != hashes[:-1]])
+                first = np.flatnonzero(new)
+                kinds = np.add.reduceat(np.concatenate([[True], variants[1:] != variants[:-1]]) | new, first, dtype=np.int64)
+                count = np.diff(np.concatenate([first, [len(hashes)]]))
+                hashes = hashes[first]
+                bucket = deal(hashes)
                 by = np.argsort(bucket, kind="stable")
-                hashes, often, bucket = hashes[by], np.minimum(count[by], 255).astype(np.uint8), bucket[by]
+                arrays = (hashes[by], np.minimum(count[by], 255).astype(np.uint8), np.minimum(kinds[by], 255).astype(np.uint8))
+                bucket = bucket[by]
                 edges = np.concatenate([[0], np.flatnonzero(np.diff(bucket)) + 1, [len(bucket)]])
-                blobs = [packed(hashes[a:b], often[a:b]) for a, b in zip(edges[:-1], edges[1:], strict=True)]
+                blobs = [packed(*(x[a:b] for x in arrays)) for a, b in zip(edges[:-1], edges[1:], strict=True)]
                 yield _row(bucket=bucket[edges[:-1]].astype(np.int32), g=np.full(len(blobs), groups[rows[0]], dtype=np.int32), blob=blobs)
 
     return run
 
 
-def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple[int, bytes]]]]:
+def by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple[int, bytes]]]]:
     """Rows (bucket, number, blob) sorted by bucket, as (bucket, rows)."""
     now, held = None, []
     for batch in batches:
@@ -237,28 +350,25 @@ def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tu
 
 def _answer_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(bucket, g, blob) sorted by bucket -> (g, blob of the hashes of g that stand in more than one place, and whether each is hot)."""
-    for _, rows in _by_bucket(batches):
-        arrays = [unpacked(blob, "<u8", "u1") for _, blob in rows]
-        hashes, often = (np.concatenate(x) for x in zip(*arrays, strict=True))
+    for _, rows in by_bucket(batches):
+        arrays = [unpacked(blob, "<u8", "u1", "u1") for _, blob in rows]
+        hashes, often, kinds = (np.concatenate(x) for x in zip(*arrays, strict=True))
         _, at = np.unique(hashes, return_inverse=True)
-        places = np.bincount(at, weights=often)[at]
+        places, variants, groups = (np.bincount(at, weights=x) for x in (often, kinds, None))
+        hot = (variants > HOT_VARIANTS) & (variants > 4 * groups)
         start, gs, blobs = 0, [], []
-        for (g, _), (own, _) in zip(rows, arrays, strict=True):
-            here = places[start : start + len(own)]
+        for (g, _), (own, *_) in zip(rows, arrays, strict=True):
+            here = at[start : start + len(own)]
             start += len(own)
-            more = here > 1
+            more = places[here] > 1
             if more.any():
                 gs.append(g)
-                blobs.append(packed(own[more], (here[more] > HOT_MINIMISER).astype(np.uint8)))
+                blobs.append(packed(own[more], hot[here][more].astype(np.uint8)))
         if gs:
             yield _row(g=gs, blob=blobs)
 
 
-_META = ("<u8", "<i8", "<i8", "u1", "<i8", "<i4", "<i4")  # hash, doc_id, dkey, doc_id is null, first unit, windows, text length
-_SPAN = ("<i8", "<i8", "u1", "<i8", "<i8")  # doc_id, dkey, doc_id is null, start, end
-
-
-def _joined_spans(ids: np.ndarray, keys: np.ndarray, none: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, ...]:
+def joined_spans(ids: np.ndarray, keys: np.ndarray, none: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, ...]:
     """Spans sorted by document, with those that touch made one."""
     if not len(ids):
         return ids, keys, none, start, end
@@ -272,113 +382,56 @@ def _joined_spans(ids: np.ndarray, keys: np.ndarray, none: np.ndarray, start: np
     return ids[first], keys[first], none[first].astype(np.uint8), start[first], reach[last]
 
 
-def _messages(units: Units, text: bytes, run: Run, hit: np.ndarray, hot: np.ndarray) -> Iterator[tuple[int, int, int, int, bytes]]:
-    """(hash to deal by, document, first unit, windows, text) of the runs hit.
-
-    A run with a hot minimiser gives its windows one by one, dealt by their own hashes: near copies
-    by the thousand share most windows, which then travel once a group and to many buckets.
-    """
-    columns = (x[hit].tolist() for x in (run.hashes, run.document, run.first, run.windows, run.start, run.end))
-    for h, d, first, windows, a, b, split in zip(*columns, hot.tolist(), strict=True):
-        if not split:
-            yield h, d, first, windows, text[a:b]
-            continue
-        for i, piece in enumerate(units.windows(text[a:b])):
-            yield xxhash.xxh64_intdigest(piece), d, first + i, 1, piece
-
-
-def _send_texts(units: Units, keys: np.ndarray):
-    """A group's documents and its answers -> (bucket, kind, blob): kind 1 super-k-mers for the bucket, kind 0 spans already known, with the group for bucket."""
+def _send_pieces(units: Units, deal: Deal, batches: int):
+    """A group's documents and its answers -> (batch, bucket, kind, blob): kind 1 pieces for the bucket, kind 0 spans already known, with the group for bucket."""
 
     def run(key, documents: pa.Table, answers: pa.Table) -> pa.Table:
-        out: list[tuple[int, int, bytes]] = []
+        out: list[tuple[int, int, int, bytes]] = []
         blobs = answers.column("blob").to_pylist()
         known, hot = (np.concatenate(x) for x in zip(*(unpacked(x, "<u8", "u1") for x in blobs), strict=True)) if blobs else (np.zeros(0, dtype=np.uint64),) * 2
         order = np.argsort(known)
         known, hot = known[order], hot[order]
         rows = sorted({(i is None, i or 0, k): n for n, (k, i) in enumerate(zip(documents.column("dkey").to_pylist(), documents.column("doc_id").to_pylist(), strict=True))}.items()) if len(known) else []
-        closed = zstandard.ZstdCompressor(level=3)
-        seen: set[bytes] = set()
-        spans = [array("q") for _ in _SPAN]
-        sent: dict[int, tuple[list[array], list[bytes]]] = {}
-        packs, width = documents.column("pack"), len(keys)
-        size = units.window - 1
+        packs, local = documents.column("pack"), units.local()
         for part in range(0, len(rows), CHUNK):  # in the documents' order, so that a text's first place is met first
             chosen = rows[part : part + CHUNK]
             for text, run in runs_of(units, _texts(packs.take(pa.array([n for _, n in chosen])).to_pylist())):
                 at = np.minimum(np.searchsorted(known, run.hashes), len(known) - 1)
                 hit = np.flatnonzero(known[at] == run.hashes)
-                for h, d, first, windows, piece in _messages(units, text, run, hit, hot[at[hit]]):
+                columns = (x[hit].tolist() for x in (run.hashes, run.document, run.first, run.windows, run.start, run.end))
+                for h, d, first, windows, a, b, split in zip(*columns, hot[at[hit]].tolist(), strict=True):
                     (none, i, k), _ = chosen[d]
-                    if piece in seen:
-                        for column, value in zip(spans, (i, k, none, first, first + windows + size), strict=True):
-                            column.append(value)
-                        continue
-                    seen.add(piece)
-                    place = h % width
-                    if place not in sent:
-                        sent[place] = [array("Q"), *(array("q") for _ in _META[1:])], []
-                    columns_, pieces = sent[place]
-                    for column, value in zip(columns_, (h, i, k, none, first, windows, len(piece)), strict=True):
-                        column.append(value)
-                    pieces.append(piece)
-        for place, (meta, pieces) in sent.items():
-            blob = packed(*(np.array(x, dtype=kind) for x, kind in zip(meta, _META, strict=True))) + b"".join(pieces)
-            out.append((int(keys[place]), 1, closed.compress(blob)))
-        if len(spans[0]):
-            merged = _joined_spans(*(np.array(x, dtype=kind) for x, kind in zip(spans, _SPAN, strict=True)))
-            out.append((key[0].as_py(), 0, packed(*merged)))
-        return pa.table([pa.array(x, t) for x, t in zip(zip(*out, strict=True) if out else ([], [], []), (pa.int32(), pa.int32(), pa.binary()), strict=True)], names=["bucket", "kind", "blob"])
+                    local.take((i, k, none), h, bool(split), first, windows, text[a:b])
+        g = key[0].as_py()
+        if rows:
+            hashes, pieces, spans = local.finish()
+            closed = zstandard.ZstdCompressor(level=3)
+            bucket = deal(hashes)
+            by = np.argsort(bucket, kind="stable")
+            for part in np.split(by, np.flatnonzero(np.diff(bucket[by])) + 1) if len(by) else []:
+                blob = packed(*(np.asarray(x[part], dtype=kind) for x, kind in zip(pieces.meta, META, strict=True))) + b"".join([pieces.texts[i] for i in part.tolist()])
+                out.append((g % batches, int(bucket[part[0]]), 1, closed.compress(blob)))
+            if len(spans[0]):
+                out.append((g % batches, g, 0, packed(*joined_spans(*spans))))
+        kinds = (pa.int32(), pa.int32(), pa.int32(), pa.binary())
+        return pa.table([pa.array(x, t) for x, t in zip(zip(*out, strict=True) if out else ([],) * 4, kinds, strict=True)], names=["batch", "bucket", "kind", "blob"])
 
     return run
 
 
-def _resolve(units: Units, resolver: Callable[[], Callable[[list[bytes]], list[np.ndarray]]], keys: np.ndarray):
-    """(bucket, kind, blob) sorted by bucket -> (g, blob of spans)."""
+def one_by_one(units: Units, text: bytes, first: int) -> Iterator[tuple[int, int, bytes]]:
+    """The windows of a hot run: (hash to deal by, first unit, text) of each."""
+    for i, piece in enumerate(units.windows(text)):
+        yield xxhash.xxh64_intdigest(piece), first + i, piece
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        opened = zstandard.ZstdDecompressor()
-        for bucket, rows in _by_bucket(batches):
-            for kind, blob in rows:
-                if kind == 0:
-                    yield _row(g=[bucket], blob=[blob])
-            blobs = [opened.decompress(blob) for kind, blob in rows if kind == 1]
-            if not blobs:
-                continue
-            meta, pieces = [], []
-            for blob in blobs:
-                arrays = unpacked(blob, *_META)
-                at = len(blob) - int(arrays[6].sum())
-                for n in arrays[6].tolist():
-                    pieces.append(blob[at : at + n])
-                    at += n
-                meta.append(arrays)
-            hashes, ids, dkeys, none, first, windows, _ = (np.concatenate(x) for x in zip(*meta, strict=True))
-            number: dict[bytes, int] = {}
-            order = np.lexsort((first, dkeys, ids, none))
-            again = np.zeros(len(order), dtype=bool)  # texts that came before: covered whole
-            for i in order.tolist():
-                again[i] = number.setdefault(pieces[i], i) != i
-            fresh = order[~again[order]]  # the first places of distinct texts, in order
-            rows_, starts, ends = [np.flatnonzero(again)], [first[again]], [first[again] + windows[again] + units.window - 1]
-            _, at, count = np.unique(hashes[fresh], return_inverse=True, return_counts=True)
-            mixed_up = fresh[count[at] > 1].tolist()
-            if mixed_up:
-                for i, flags in zip(mixed_up, resolver()([pieces[i] for i in mixed_up]), strict=True):
-                    step = np.diff(np.concatenate([[0], flags.astype(np.int8), [0]]))
-                    a, b = np.flatnonzero(step == 1), np.flatnonzero(step == -1)
-                    if len(a):
-                        rows_.append(np.full(len(a), i))
-                        starts.append(first[i] + a)
-                        ends.append(first[i] + b + units.window - 1)
-            which = np.concatenate(rows_)
-            if len(which):
-                merged = _joined_spans(ids[which], dkeys[which], none[which], np.concatenate(starts), np.concatenate(ends))
-                g = _dealt(keys, merged[1].view(np.uint64))
-                for one in np.unique(g).tolist():
-                    yield _row(g=[one], blob=[packed(*(x[g == one] for x in merged))])
 
-    return run
+def span_rows(deal: Deal, spans: list[np.ndarray]) -> Iterator[tuple[int, bytes]]:
+    """(group, blob) of SPAN arrays."""
+    if len(spans[0]):
+        merged = joined_spans(*spans)
+        g = deal(merged[1].view(np.uint64))
+        for one in np.unique(g).tolist():
+            yield one, packed(*(x[g == one] for x in merged))
 
 
 def _cut(cut: Callable[[bytes, list[tuple[int, int]]], tuple[int, bytes]]):
@@ -388,7 +441,7 @@ def _cut(cut: Callable[[bytes, list[tuple[int, int]]], tuple[int, bytes]]):
         by: dict[tuple, list[tuple[int, int]]] = {}
         blobs = answers.column("blob").to_pylist()
         if blobs:
-            merged = _joined_spans(*(np.concatenate(x) for x in zip(*(unpacked(b, *_SPAN) for b in blobs), strict=True)))
+            merged = joined_spans(*(np.concatenate(x) for x in zip(*(unpacked(b, *SPAN) for b in blobs), strict=True)))
             for i, k, none, a, b in zip(*(x.tolist() for x in merged), strict=True):
                 by.setdefault((None if none else i, k), []).append((a, b))
         ids = documents.column("doc_id").to_pylist()
@@ -407,23 +460,34 @@ def _cut(cut: Callable[[bytes, list[tuple[int, int]]], tuple[int, bytes]]):
     return run
 
 
-def without_repeats(docs: DataFrame, units: Units, resolver, cut) -> DataFrame:
-    """(doc_id, n_units, spans, kept) of each row: the units covered by windows that also start earlier, as joined spans, and the text without them.
-
-    resolver() makes a function that takes distinct texts in order and gives, for each, which of its
-    windows also stand earlier in it or in the texts before; cut(raw, spans) gives a document's units
-    and what is left of it.
-    """
-    width = shuffle_width(docs.sparkSession)
-    keys = partition_keys(docs.sparkSession, width)
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    keyed = source.select(F.xxhash64("doc_id", "text").alias("dkey"), "doc_id", "text")
-    # One deal of the texts, which all three passes over them share.
-    dealt = keyed.mapInArrow(_pack(keys), "g int, dkey long, doc_id long, pack binary").repartition(width, "g")
-    anchors = dealt.mapInArrow(_send_anchors(units, keys), "bucket int, g int, blob binary")
-    answers = anchors.repartition(width, "bucket").sortWithinPartitions("bucket").mapInArrow(_answer_anchors, "g int, blob binary")
-    answers = answers.repartition(width, "g")
-    texts = dealt.groupBy("g").cogroup(answers.groupBy("g")).applyInArrow(_send_texts(units, keys), "bucket int, kind int, blob binary")
-    spans = texts.repartition(width, "bucket").sortWithinPartitions("bucket").mapInArrow(_resolve(units, resolver, keys), "g int, blob binary")
-    spans = spans.repartition(width, "g")
-    return dealt.groupBy("g").cogroup(spans.groupBy("g")).applyInArrow(_cut(cut), "doc_id long, n_units long, spans array<struct<start:long,end:long>>, kept binary")
+class Corpus:
+    """Documents dealt into groups, with the deal that groups and buckets share."""
+
+    def __init__(self, docs: DataFrame, units: Units, group_bytes: int = GROUP_BYTES):
+        spark = docs.sparkSession
+        self.units, self.width = units, shuffle_width(spark)
+        source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+        size = source.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()[0]
+        self.deal = deal_of(spark, max(self.width, -(-size // group_bytes)), self.width)
+        self.keyed = source.select(F.xxhash64("doc_id", "text").alias("dkey"), "doc_id", "text")
+
+    def dealt(self) -> DataFrame:
+        """(g, dkey, doc_id, pack) by g."""
+        return self.keyed.mapInArrow(_pack(self.deal), "g int, dkey long, doc_id long, pack binary").repartition(self.width, "g")
+
+    def pieces(self, batches: int = 1) -> Table:
+        """(bucket, blob) by kind and batch: pieces for the buckets (kind 1) and spans already known (kind 0), groups dealt into batches."""
+        dealt = self.dealt()  # one deal of the texts, which both passes over them share
+        anchors = dealt.mapInArrow(_send_anchors(self.units, self.deal), "bucket int, g int, blob binary")
+        answers = anchors.repartition(self.width, "bucket").sortWithinPartitions("bucket").mapInArrow(_answer_anchors, "g int, blob binary")
+        answers = answers.repartition(self.width, "g")
+        found = dealt.groupBy("g").cogroup(answers.groupBy("g")).applyInArrow(_send_pieces(self.units, self.deal, batches), "batch int, bucket int, kind int, blob binary")
+        return Table(found, "pieces", by=("kind", "batch"))
+
+    def cut(self, spans: DataFrame, cut: Callable[[bytes, list[tuple[int, int]]], tuple[int, bytes]]) -> DataFrame:
+        """(doc_id, n_units, spans, kept) of each row, from spans (bucket, blob) with groups for buckets; cut(raw, spans) gives a document's units and what is left of it."""
+        spans = spans.select(F.col("bucket").alias("g"), "blob").repartition(self.width, "g")
+        return self.dealt().groupBy("g").cogroup(spans.groupBy("g")).applyInArrow(_cut(cut), "doc_id long, n_units long, spans array<struct<start:long,end:long>>, kept binary")
+
+    def by_bucket(self, rows: DataFrame, *order: str) -> DataFrame:
+        return rows.repartition(self.width, "bucket").sortWithinPartitions("bucket", *order)

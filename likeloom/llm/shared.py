@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import sys
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -13,29 +11,54 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
+from ..storage import release, store_of, workspace
+
 # Workers get these functions by value, so they need not have the package on their path.
 cloudpickle.register_pickle_by_value(sys.modules[__name__.split(".")[0]])
 
+__all__ = ["Table", "arrow_pass", "blocks", "packed", "release", "shuffle_width", "stage", "texts_of", "unpacked", "unused"]
+
 #: Documents are worked on in blocks of about this many bytes, however many rows an Arrow batch has.
 BLOCK_BYTES = 4 << 20
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; in local mode a fresh one if unset."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        folder = tempfile.mkdtemp(prefix="likeloom-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+class Table:
+    """df written once to the shared folder: cuts lineage, survives lost executors.
+
+    The shuffle files of the write go as soon as the table is there; the table itself when the
+    application ends, or with drop(). by: columns that the table has folders for.
+    """
+
+    def __init__(self, df: DataFrame, label: str, by: tuple[str, ...] = ()):
+        self.spark, self.by = df.sparkSession, by
+        self.path, before = workspace(self.spark, label), self.spark.conf.get(FREE_SHUFFLES)
+        self.schema = T.StructType([f for f in df.schema.fields if f.name not in by])
+        self.spark.conf.set(FREE_SHUFFLES, "true")
+        try:
+            df.write.mode("overwrite").partitionBy(*by).parquet(self.path)
+        finally:
+            self.spark.conf.set(FREE_SHUFFLES, before)
+
+    def folder(self, *values: int) -> str:
+        return "/".join([self.path, *(f"{name}={value}" for name, value in zip(self.by, values, strict=False))])
+
+    def read(self, *values: int) -> DataFrame:
+        """The rows whose first `by` columns have these values, without the `by` columns."""
+        store, at = store_of(self.spark, self.folder(*values))
+        if not store.exists(at):
+            return self.spark.createDataFrame([], self.schema)
+        return self.spark.read.schema(self.schema).parquet(self.folder(*values))
+
+    def drop(self, *values: int) -> None:
+        release(self.spark, self.folder(*values))
 
 
 def stage(df: DataFrame, label: str) -> DataFrame:
-    """Writes df once to the shared folder and reads it back: cuts lineage, survives lost executors."""
-    path = f"{shared_folder(df.sparkSession)}/likeloom-{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """df as a Table, read back."""
+    return Table(df, label).read()
 
 
 def arrow_pass(df: DataFrame, work: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema: str | T.StructType) -> DataFrame:

@@ -1,11 +1,18 @@
 """Suffix-array dedup with a logarithmic index family.
 
 The bytes of a document that a WINDOW-byte string covers which also starts earlier are removed.
-repeats.py finds, bucket by bucket, the texts in which such strings can lie; here, a bucket's texts
-come in batches. A batch gets its suffix array (suffixes ordered by their first WINDOW bytes, one of
-each), is merge-scanned against the arrays of the levels there are, and becomes a level; levels of
-about equal size merge, so that a suffix is merged a logarithmic number of times and there are
-logarithmically many levels to scan.
+
+Groups of documents (repeats.py) are dealt into batches, and the family takes in batch after batch:
+ * each group of a batch gets the suffix array of its texts, as far as their minimisers stand more
+   than once in the corpus (suffixes by their first WINDOW bytes, by prefix doubling). Neighbours with
+   WINDOW bytes in common are repeats: the earliest stays, the others are covered; the distinct
+   suffixes left go, as texts, to the buckets of their minimisers;
+ * a bucket of the batch gets the suffix array of what its groups sent, and is merge-scanned against
+   the same bucket's sorted array of every level there is; of two equal windows the later is covered;
+ * what is left becomes a level, a table in the shared folder with a sorted array for each bucket.
+   Levels that hold equally many batches are merged into one as binary digits carry: after n
+   batches there are log2(n) + 1 levels at most, and a suffix is merged log2(n) times.
+The last batch's level isn't written, as nothing is scanned against it.
 
 Edge cases: a null text counts as empty; a text shorter than a window loses nothing; repeats within
 a document count, overlapping ones too; rows equal in doc_id and text are one document, each gets
@@ -15,15 +22,24 @@ its result; an empty table gives an empty result.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
+import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from .repeats import BYTE_HASH, PART_UNITS, Units, without_repeats
+from .repeats import BYTE_HASH, META, PART_UNITS, SPAN, Corpus, Deal, Local, Pieces, Units, one_by_one, ordered, ranges, span_rows
+from .shared import Table, packed, unpacked
 
 WINDOW, ANCHOR = 100, 32
-#: Suffixes of a batch; a merge-scan holds the windows of so many suffixes of a level at once.
-BATCH = 1 << 17
+#: Batches that the corpus comes in.
+BATCHES = 4
+#: Bytes of text that one suffix array within a group is made for.
+BATCH_BYTES = 4 << 20
+#: A merge-scan holds the windows of so many suffixes of a level at once.
+SCAN = 1 << 17
 
 
 class ByteUnits(Units):
@@ -41,95 +57,291 @@ class ByteUnits(Units):
     def windows(self, text: bytes) -> list[bytes]:
         return [text[i : i + WINDOW] for i in range(len(text) - WINDOW + 1)]
 
+    def local(self) -> Local:
+        return GroupArrays(self)
+
+
+# ---- suffix arrays -------------------------------------------------------------------------------
+
+
+def window_ranks(text: np.ndarray) -> np.ndarray:
+    """The rank of each place's suffix by its first WINDOW bytes; places nearer to the end than that have ranks of no use."""
+    keys, have = np.concatenate([text, np.zeros(8, dtype=np.uint8)]).astype(np.uint64), 1
+    while have < 8:
+        keys = (keys[: len(keys) - have] << np.uint64(8 * have)) | keys[have:]
+        have *= 2
+    return ordered(keys[: len(text)], 8, WINDOW)[1]
+
+
+def first_of_equals(text: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of the windows at ascending starts: which are the first of their content, and those in the order of the suffix array."""
+    rank = window_ranks(text)[starts]
+    _, index = np.unique(rank, return_index=True)
+    fresh = np.zeros(len(starts), dtype=bool)
+    fresh[index] = True
+    return fresh, index
+
+
+def window_starts(lengths: np.ndarray, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For texts one after the other: the places of all their windows, and the number of the first window of each text."""
+    offsets = np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)[:-1]])
+    before = np.concatenate([[0], np.cumsum(windows, dtype=np.int64)])
+    return np.arange(before[-1]) + np.repeat(offsets - before[:-1], windows), before[:-1]
+
+
+class GroupArrays(Local):
+    """A group's suffix arrays, one for each BATCH_BYTES of runs; runs that follow each other share their text."""
+
+    def __init__(self, units: Units):
+        self.units, self.hashes, self.meta, self.texts, self.covered = units, [], [], [], []
+        self._clear()
+
+    def _clear(self) -> None:
+        self.runs: list[tuple] = []
+        self.text, self.end = bytearray(), None
+
+    def take(self, document: tuple, h: int, hot: bool, first: int, windows: int, text: bytes) -> None:
+        if len(self.text) + len(text) > BATCH_BYTES and self.runs:
+            self._settle()
+        if self.end == (document, first):
+            at = len(self.text) - WINDOW + 1
+            self.text += text[WINDOW - 1 :]
+        else:
+            at = len(self.text)
+            self.text += text
+        self.end = (document, first + windows)
+        self.runs.append((h, hot, *document, first, windows, at))
+
+    def _settle(self) -> None:
+        h, hot, ids, keys, none, first, windows, at = zip(*self.runs, strict=True)
+        ids, keys, none, first, windows, at = (np.array(x, dtype=np.int64) for x in (ids, keys, none, first, windows, at))
+        before = np.concatenate([[0], np.cumsum(windows)])
+        starts = np.arange(before[-1]) + np.repeat(at - before[:-1], windows)
+        text = bytes(self.text)
+        fresh, _ = first_of_equals(np.frombuffer(text, dtype=np.uint8), starts)
+        owner = np.repeat(np.arange(len(windows)), windows)
+        for flags, own in ((~fresh, False), (fresh, True)):
+            a, b = ranges(flags, before)
+            run = owner[a]
+            start = first[run] + a - before[run]
+            if not own:
+                self.covered.append([ids[run], keys[run], none[run], start, start + b - a + WINDOW - 1])
+                continue
+            offset = starts[a]
+            for i, r, p, n, o in zip(range(len(a)), run.tolist(), start.tolist(), (b - a).tolist(), offset.tolist(), strict=True):
+                piece = text[o : o + n + WINDOW - 1]
+                each = one_by_one(self.units, piece, p) if hot[r] else ((h[r], p, piece),)
+                for key, place, part in each:
+                    self.hashes.append(key)
+                    self.meta.append((ids[r], keys[r], none[r], place, len(part) - WINDOW + 1, len(part), 1))
+                    self.texts.append(part)
+        self._clear()
+
+    def finish(self) -> tuple[np.ndarray, Pieces, list[np.ndarray]]:
+        if self.runs:
+            self._settle()
+        meta = [np.array(x, dtype=kind) for x, kind in zip(zip(*self.meta, strict=True) if self.meta else ([],) * len(META), META, strict=True)]
+        spans = [np.concatenate(x) if x else np.zeros(0, dtype=np.int64) for x in (zip(*self.covered, strict=True) if self.covered else ([],) * len(SPAN))]
+        return np.array(self.hashes, dtype=np.uint64), Pieces(meta, self.texts), [x.astype(kind) for x, kind in zip(spans, SPAN, strict=True)]
+
+
+# ---- levels --------------------------------------------------------------------------------------
+
 
 class Level:
-    """A suffix array: the text and the ascending places of its suffixes, one for each distinct window."""
+    """A bucket's sorted array of distinct windows: pieces of text one after the other, with their places, and the windows' places in the text in their order."""
+
+    KINDS = ("<i8", "<i8", "u1", "<i8", "<i8", "<i4")  # of each piece: id, key, whether the id is null, first byte, place in the text; then the order
+
+    def __init__(self, text: np.ndarray, pieces: list[np.ndarray], order: np.ndarray):
+        self.text, self.pieces, self.order = text, pieces, order
+
+    @classmethod
+    def read(cls, blob: bytes) -> Level:
+        raw = zstandard.ZstdDecompressor().decompress(blob)
+        *pieces, order = unpacked(raw, *cls.KINDS)
+        head = 4 * (len(cls.KINDS) + 1) + sum(x.nbytes for x in (*pieces, order))
+        return cls(np.frombuffer(raw, dtype=np.uint8, offset=head), pieces, order)
 
-    def __init__(self, text: np.ndarray, places: np.ndarray):
-        self.text, self.places = text, places
+    def blob(self) -> bytes:
+        arrays = (np.asarray(x, dtype=kind) for x, kind in zip((*self.pieces, self.order), self.KINDS, strict=True))
+        return zstandard.ZstdCompressor(level=1).compress(packed(*arrays) + self.text.tobytes())
 
     def windows(self, a: int, b: int) -> np.ndarray:
-        """The windows of places a to b as fixed-width byte strings, which numpy orders as bytes."""
+        """The windows a to b of the order as fixed-width byte strings, which numpy orders as bytes."""
         if b <= a:
             return np.zeros(0, dtype=f"S{WINDOW}")
         view = np.lib.stride_tricks.sliding_window_view(self.text, WINDOW)
-        return np.ascontiguousarray(view[self.places[a:b]]).view(f"S{WINDOW}").ravel()
-
-
-class SuffixFamily:
-    """Levels of suffix arrays, the older ones larger."""
-
-    def __init__(self) -> None:
-        self.levels: list[Level] = []
-
-    def _scan(self, level: Level, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Merge-scan of ascending windows against a level: where each belongs in it, and whether it is there."""
-        where, there = np.zeros(len(own), dtype=np.int64), np.zeros(len(own), dtype=bool)
-        at = 0
-        for a in range(0, len(level.places), BATCH):
-            chunk = level.windows(a, min(a + BATCH, len(level.places)))
-            last = a + len(chunk) == len(level.places)
-            end = len(own) if last else int(np.searchsorted(own, chunk[-1], side="right"))
-            found = np.searchsorted(chunk, own[at:end])
-            where[at:end] = a + found
-            there[at:end] = chunk[np.minimum(found, len(chunk) - 1)] == own[at:end]
-            at = end
-        return where, there
-
-    def add(self, text: np.ndarray, places: np.ndarray) -> np.ndarray:
-        """Takes in the suffixes at places, in order; which of them begin with a window met before."""
-        batch = Level(text, places)
-        windows = batch.windows(0, len(places))
-        order = np.argsort(windows, kind="stable")
-        windows = windows[order]
-        again = np.concatenate([[False], windows[1:] == windows[:-1]])
-        known = np.zeros(len(places), dtype=bool)
-        known[order[again]] = True
-        order, windows = order[~again], windows[~again]
-        for level in self.levels:
-            _, there = self._scan(level, windows)
-            known[order[there]] = True
-            order, windows = order[~there], windows[~there]
-        if len(order):
-            self.levels.append(Level(text, places[order]))
-        while len(self.levels) > 1 and len(self.levels[-2].places) <= 2 * len(self.levels[-1].places):
-            new, old = self.levels.pop(), self.levels.pop()
-            self.levels.append(self._merged(old, new))
-        return known
-
-    def _merged(self, old: Level, new: Level) -> Level:
-        where = np.concatenate([self._scan(old, new.windows(a, min(a + BATCH, len(new.places))))[0] for a in range(0, len(new.places), BATCH)])
-        places = np.insert(old.places, where, new.places + len(old.text))
-        return Level(np.concatenate([old.text, new.text]), places)
-
-
-def earlier_windows(texts: list[bytes]) -> list[np.ndarray]:
-    """For each text, in order, which of its windows stand earlier in it or in the texts before."""
-    family, out = SuffixFamily(), []
-    for a, b in _batches(texts):
-        text = np.frombuffer(b"".join(texts[a:b]), dtype=np.uint8)
-        counts = np.array([len(x) for x in texts[a:b]])
-        starts = np.concatenate([[0], np.cumsum(counts)[:-1]])
-        n = np.maximum(counts - WINDOW + 1, 0)
-        cuts = np.cumsum(n)[:-1]
-        places = np.arange(int(n.sum())) - np.repeat(np.concatenate([[0], cuts]), n) + np.repeat(starts, n)
-        out += np.split(family.add(text, places), cuts)
+        return np.ascontiguousarray(view[self.order[a:b]]).view(f"S{WINDOW}").ravel()
+
+    def places(self, which: np.ndarray) -> tuple[np.ndarray, ...]:
+        """(null id, id, key, first byte) of windows by their numbers in the order."""
+        at = self.order[which].astype(np.int64)
+        piece = np.searchsorted(self.pieces[4], at, side="right") - 1
+        return self.pieces[2][piece], self.pieces[0][piece], self.pieces[1][piece], self.pieces[3][piece] + at - self.pieces[4][piece]
+
+    def without(self, gone: np.ndarray) -> Level:
+        return Level(self.text, self.pieces, np.delete(self.order, gone)) if len(gone) else self
+
+
+def scan(level: Level, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Merge-scan of ascending windows against a level: where each belongs in it, and whether it is there."""
+    where, there = np.zeros(len(own), dtype=np.int64), np.zeros(len(own), dtype=bool)
+    at, size = 0, len(level.order)
+    for a in range(0, size, SCAN):
+        chunk = level.windows(a, min(a + SCAN, size))
+        end = len(own) if a + len(chunk) == size else int(np.searchsorted(own, chunk[-1], side="right"))
+        found = np.searchsorted(chunk, own[at:end])
+        where[at:end] = a + found
+        there[at:end] = chunk[np.minimum(found, len(chunk) - 1)] == own[at:end]
+        at = end
+    return where, there
+
+
+def earlier(a: tuple[np.ndarray, ...], b: tuple[np.ndarray, ...]) -> np.ndarray:
+    """Whether places a come before places b."""
+    out, same = np.zeros(len(a[0]), dtype=bool), np.ones(len(a[0]), dtype=bool)
+    for x, y in zip(a, b, strict=True):
+        out |= same & (x < y)
+        same &= x == y
     return out
 
 
-def _batches(texts: list[bytes]) -> Iterator[tuple[int, int]]:
-    a = size = 0
-    for i, x in enumerate(texts):
-        if i > a and size + len(x) > BATCH:
-            yield a, i
-            a, size = i, 0
-        size += len(x)
-    if a < len(texts):
-        yield a, len(texts)
+def matched(new: Level, level: Level) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Numbers of equal windows in both, and whether the new one is the earlier."""
+    mine, other = [], []
+    for a in range(0, len(new.order), SCAN):
+        where, there = scan(level, new.windows(a, min(a + SCAN, len(new.order))))
+        mine.append(a + np.flatnonzero(there))
+        other.append(where[there])
+    i, j = (np.concatenate(x) if x else np.zeros(0, dtype=np.int64) for x in (mine, other))
+    return i, j, earlier(new.places(i), level.places(j))
+
+
+def merged(old: Level, new: Level) -> Level:
+    """Both as one; of equal windows the earlier stays."""
+    if not len(old.order) or not len(new.order):
+        return old if len(old.order) else new
+    i, j, first = matched(new, old)
+    new, old = new.without(i[~first]), old.without(j[first])
+    where = [scan(old, new.windows(a, min(a + SCAN, len(new.order))))[0] for a in range(0, len(new.order), SCAN)] if len(old.order) else [np.zeros(len(new.order), dtype=np.int64)]
+    order = np.insert(old.order.astype(np.int64), np.concatenate(where) if where else [], new.order + len(old.text))
+    pieces = [np.concatenate([x, y]) for x, y in zip(old.pieces[:4], new.pieces[:4], strict=True)]
+    return Level(np.concatenate([old.text, new.text]), [*pieces, np.concatenate([old.pieces[4], new.pieces[4] + len(old.text)])], order)
+
+
+def array_of(pieces: Pieces) -> tuple[Level, list[np.ndarray]]:
+    """The suffix array of a batch's pieces, in the order of their places, as a level; and the spans of windows that stand in them before."""
+    ids, keys, none, first, windows, lengths, _ = pieces.meta
+    text = np.frombuffer(b"".join(pieces.texts), dtype=np.uint8)
+    starts, before = window_starts(lengths, windows)
+    fresh, index = first_of_equals(text, starts)
+    owner = np.repeat(np.arange(len(windows)), windows)
+    a, b = ranges(~fresh, before)
+    run = owner[a]
+    start = first[run] + a - before[run]
+    level = Level(text, [ids, keys, none, first, starts[before] if len(before) else before], starts[index])
+    return level, pieces.spans(run, start, start + b - a + WINDOW - 1)
+
+
+def taken_in(new: Pieces, levels: dict[int, Level], absorbed: set[int], keep: bool) -> tuple[Level | None, list[np.ndarray]]:
+    """A bucket's step: the level that new and the absorbed levels become, if it is to be kept, and the spans covered."""
+    level, spans = array_of(new) if len(new.texts) else (None, [np.zeros(0, dtype=kind) for kind in SPAN])
+    covered = [spans]
+
+    def cover(places: tuple[np.ndarray, ...]) -> None:
+        none, ids, keys, first = places
+        covered.append([ids, keys, none, first, first + WINDOW])
+
+    for old in levels.values():
+        if level is None or not len(level.order):
+            break
+        i, j, first = matched(level, old)
+        cover(level.places(i[~first]))
+        cover(old.places(j[first]))
+        level = level.without(i[~first])
+    out = None
+    if keep:
+        parts = [*(levels[n] for n in sorted(absorbed) if n in levels), *([compact(level)] if level is not None else [])]
+        out = reduce(merged, parts) if parts else None
+    return out, [np.concatenate(x).astype(kind) for x, kind in zip(zip(*covered, strict=True), SPAN, strict=True)]
+
+
+def compact(level: Level) -> Level:
+    """The same windows over no more text than they need."""
+    size = len(level.text)
+    live = np.zeros(size, dtype=bool)
+    live[level.order] = True
+    a, b = ranges(live, level.pieces[4].astype(np.int64))
+    if not len(a):
+        return Level(level.text[:0], [x[:0] for x in level.pieces], level.order[:0])
+    piece = np.searchsorted(level.pieces[4], a, side="right") - 1
+    lengths = b - a + WINDOW - 1
+    offsets = np.concatenate([[0], np.cumsum(lengths)[:-1]])
+    text = level.text[np.arange(int(lengths.sum())) + np.repeat(a - offsets, lengths)]
+    moved = np.searchsorted(a, level.order, side="right") - 1
+    first = level.pieces[3][piece] + a - level.pieces[4][piece]
+    return Level(text, [*(x[piece] for x in level.pieces[:3]), first, offsets], level.order - a[moved] + offsets[moved])
+
+
+# ---- the family ----------------------------------------------------------------------------------
+
+
+def _step(deal: Deal, absorbed: set[int], keep: bool):
+    """(bucket, level, blob) sorted by bucket, level -1 for the batch -> (bucket, blob, kind): the new level's arrays (kind 1), spans by group (kind 0)."""
+
+    def one(bucket: int, rows: list[tuple[int, bytes]]) -> Iterator[tuple[int, bytes, int]]:
+        new = Pieces.read([blob for n, blob in rows if n < 0])
+        levels = {n: Level.read(blob) for n, blob in rows if n >= 0}
+        level, spans = taken_in(new, levels, absorbed, keep)
+        if level is not None and len(level.order):
+            yield bucket, level.blob(), 1
+        for g, blob in span_rows(deal, spans):
+            yield g, blob, 0
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+
+        def rows() -> Iterator[pa.RecordBatch]:
+            for bucket, blob, kind in one(now, held) if held else ():
+                yield pa.record_batch([pa.array([bucket], pa.int32()), pa.array([blob], pa.binary()), pa.array([kind], pa.int32())], names=["bucket", "blob", "kind"])
+
+        for batch in batches:
+            for bucket, n, blob in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+                if bucket != now:
+                    yield from rows()
+                    now, held = bucket, []
+                held.append((n, blob))
+        yield from rows()
+
+    return run
 
 
-def _resolver():
-    return earlier_windows
+class SuffixFamily:
+    """Levels of sorted suffix arrays, as tables; each holds a power of two batches."""
+
+    def __init__(self, corpus: Corpus):
+        self.corpus, self.spans = corpus, []
+        self.levels: list[tuple[int, Table]] = []  # batches and table of each, the oldest first
+
+    def add(self, batch: DataFrame, last: bool = False) -> None:
+        """Takes in a batch (bucket, blob) of pieces. After the last one nothing is scanned, so its level isn't made."""
+        size, absorbed = 1, []
+        for n in range(len(self.levels) - 1, -1, -1):
+            if self.levels[n][0] != size:
+                break
+            absorbed.append(n)
+            size *= 2
+        rows = [batch.select("bucket", F.lit(-1).alias("level"), "blob")]
+        rows += [table.read(1).select("bucket", F.lit(n).alias("level"), "blob") for n, (_, table) in enumerate(self.levels)]
+        together = self.corpus.by_bucket(reduce(DataFrame.unionByName, rows), "level")
+        work = _step(self.corpus.deal, set() if last else set(absorbed), not last)
+        found = Table(together.mapInArrow(work, "bucket int, blob binary, kind int"), "level", by=("kind",))
+        self.spans.append(found.read(0))
+        spent = range(len(self.levels)) if last else absorbed
+        for n in spent:
+            self.levels[n][1].drop(1)
+        self.levels = [x for n, x in enumerate(self.levels) if n not in spent] + ([] if last else [(size, found)])
 
 
 def cut_bytes(raw: bytes, spans: list[tuple[int, int]]) -> tuple[int, bytes]:
@@ -140,6 +352,13 @@ def cut_bytes(raw: bytes, spans: list[tuple[int, int]]) -> tuple[int, bytes]:
     return len(raw), b"".join([*out, raw[at:]])
 
 
-def remove_repeated_strings(docs: DataFrame) -> DataFrame:
+def remove_repeated_strings(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
     """(doc_id, n_units, spans, kept) of each row: bytes, the spans removed, and the bytes left."""
-    return without_repeats(docs, ByteUnits(), _resolver, cut_bytes)
+    corpus = Corpus(docs, ByteUnits())
+    pieces = corpus.pieces(batches)
+    family = SuffixFamily(corpus)
+    for b in range(batches):
+        family.add(pieces.read(1, b), last=b == batches - 1)
+        pieces.drop(1, b)
+    known = [pieces.read(0, b) for b in range(batches)]
+    return corpus.cut(reduce(DataFrame.unionByName, [*known, *family.spans]), cut_bytes)

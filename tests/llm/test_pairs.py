@@ -257,7 +257,9 @@ def test_removed_words(spark, copies):
 
 
 def test_hot_minimisers_are_split(spark, copies, monkeypatch):
-    monkeypatch.setattr(repeats, "HOT_MINIMISER", 3)
+    monkeypatch.setattr(repeats, "HOT_VARIANTS", -1)
+    monkeypatch.setattr(repeats, "GROUP_BYTES", 3000)
+    monkeypatch.setattr(repeats.Corpus.__init__, "__defaults__", (3000,))
     check_removed(spark, copies, suffixes.remove_repeated_strings, suffixes.WINDOW, bytes_of)
     check_removed(spark, copies, superkmers.remove_repeated_words, superkmers.WINDOW, words_of)
 
@@ -266,7 +268,8 @@ def test_long_documents_in_parts(spark, copies, monkeypatch):
     monkeypatch.setattr(suffixes, "PART_UNITS", 150)
     monkeypatch.setattr(superkmers, "PART_UNITS", 150)
     monkeypatch.setattr(repeats, "HASH_BLOCK", 700)
-    monkeypatch.setattr(suffixes, "BATCH", 500)
+    monkeypatch.setattr(suffixes, "BATCH_BYTES", 500)
+    monkeypatch.setattr(suffixes, "SCAN", 50)
     rows = copies[:25]
     for operator, window, units in ((suffixes.remove_repeated_strings, suffixes.WINDOW, bytes_of), (superkmers.remove_repeated_words, superkmers.WINDOW, words_of)):
         check_removed(spark, rows, operator, window, units)
@@ -281,18 +284,75 @@ def test_repeats_awkward(awkward, nothing, awkward_rows, spark):
         assert operator(awkward).count() == len(awkward_rows)
 
 
-def test_suffix_family_merges_geometrically(monkeypatch):
-    rng = np.random.default_rng(1)
-    family = suffixes.SuffixFamily()
-    texts = [bytes(rng.integers(97, 100, 400, dtype=np.uint8)) for _ in range(40)]
-    for t in texts:
-        raw = np.frombuffer(t, dtype=np.uint8)
-        family.add(raw, np.arange(len(raw) - suffixes.WINDOW + 1))
-    sizes = [len(x.places) for x in family.levels]
-    assert sizes == sorted(sizes, reverse=True) and len(sizes) <= 6
-    for level in family.levels:
-        windows = level.windows(0, len(level.places))
-        assert (windows[1:] > windows[:-1]).all()
+def test_repeats_come_from_levels_of_several_batches(spark, copies, monkeypatch):
+    """Sixteen batches: every one after the first finds repeats in the levels, of which there are never more than a logarithm."""
+    steps = []
+    plain = suffixes.SuffixFamily.add
+
+    def add(self, batch, last=False):
+        plain(self, batch, last)
+        steps.append(([n for n, _ in self.levels], self.spans[-1].count()))
+        for n, table in self.levels:
+            windows = [suffixes.Level.read(r["blob"]) for r in table.read(1).collect()]
+            assert all((w[1:] > w[:-1]).all() for w in (x.windows(0, len(x.order)) for x in windows)), n
+
+    monkeypatch.setattr(suffixes.SuffixFamily, "add", add)
+    monkeypatch.setattr(repeats.Corpus.__init__, "__defaults__", (1000,))
+    rows = [(i, t[:900]) for i, t in copies[:60]]
+    check_removed(spark, rows, lambda docs: suffixes.remove_repeated_strings(docs, batches=16), suffixes.WINDOW, bytes_of)
+    assert [n for n, _ in steps[:-1]] == [[1], [2], [2, 1], [4], [4, 1], [4, 2], [4, 2, 1], [8], [8, 1], [8, 2], [8, 2, 1], [8, 4], [8, 4, 1], [8, 4, 2], [8, 4, 2, 1]]
+    assert sum(found > 0 for _, found in steps[1:]) >= 5
+
+
+def texts_with_repeats(rng, n):
+    base = [bytes(rng.integers(97, 101, 300, dtype=np.uint8)) for _ in range(4)]
+    return [base[rng.integers(4)][rng.integers(60) :] + bytes(rng.integers(97, 99, int(rng.integers(120)), dtype=np.uint8)) for _ in range(n)]
+
+
+def test_levels_take_in_batches_in_any_order():
+    """Buckets' steps against a plain table of windows, with the batches' places out of order and levels absorbed or not."""
+    rng = np.random.default_rng(4)
+    texts = texts_with_repeats(rng, 60)
+    where = rng.permutation(60)
+    first, covered, want = {}, set(), set()
+    levels, size = {}, suffixes.WINDOW
+    for step in range(12):
+        own = sorted(range(5 * step, 5 * step + 5), key=lambda i: where[i])
+        meta = [np.array(x, dtype=k) for x, k in zip([[where[i] for i in own], [0] * 5, [0] * 5, [0] * 5, [len(texts[i]) - size + 1 for i in own], [len(texts[i]) for i in own], [1] * 5], repeats.META, strict=True)]
+        absorbed = {n for n in levels if rng.random() < 0.5}
+        level, spans = suffixes.taken_in(repeats.Pieces(meta, [texts[i] for i in own]), levels, absorbed, True)
+        levels = {n: x for n, x in levels.items() if n not in absorbed} | {step: suffixes.Level.read(level.blob())}
+        covered |= {(i, p) for i, a, b in zip(spans[0].tolist(), spans[3].tolist(), spans[4].tolist(), strict=True) for p in range(a, b - size + 1)}
+        for i in own:
+            for p in range(len(texts[i]) - size + 1):
+                first.setdefault(texts[i][p : p + size], []).append((int(where[i]), p))
+    for places in first.values():
+        want |= set(sorted(places)[1:])
+    # A covered span can be longer than its windows only by windows that are covered too.
+    assert covered == want
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.integers(0, 2), min_size=1, max_size=60), st.integers(1, 20))
+def test_prefix_doubling_orders_suffixes(units, depth):
+    order, rank = repeats.ordered(np.array(units, dtype=np.int64) + 1, 1, depth)
+    prefixes = [tuple(x + 1 for x in units[i : i + depth]) for i in range(len(units))]
+    assert [prefixes[i] for i in order] == sorted(prefixes)
+    assert all((rank[i] == rank[j]) == (prefixes[i] == prefixes[j]) for i in range(len(units)) for j in range(len(units)))
+
+
+def test_windows_are_counted_exactly():
+    rng = random.Random(5)
+    texts = [" ".join(rng.choice("ab") for _ in range(30)).encode() for _ in range(30)]
+    copies = [rng.randrange(1, 4) for _ in texts]
+    meta = [np.array(x, dtype=k) for x, k in zip([range(30), [0] * 30, [0] * 30, [0] * 30, [11] * 30, [59] * 30, copies], repeats.META, strict=True)]
+    owner, inside, count, first = superkmers.counted(repeats.Pieces(meta, texts))
+    windows = [tuple(texts[o].split()[i : i + 20]) for o, i in zip(owner, inside, strict=True)]
+    want = Counter()
+    for w, o in zip(windows, owner, strict=True):
+        want[w] += copies[o]
+    assert [want[w] for w in windows] == count.tolist()
+    assert [w not in windows[:n] for n, w in enumerate(windows)] == first.tolist()
 
 
 @settings(max_examples=60, deadline=None)
@@ -312,10 +372,11 @@ def test_joint_hash_depends_on_content_alone(n):
     assert len(got) == 200 - n + 1 and (got[: 100 - n + 1] == got[100 : 200 - n + 1]).all() and len(set(got[:100].tolist())) == 100
 
 
-def test_partition_keys(spark):
-    keys = repeats.partition_keys(spark, 13)
+def test_deals_are_even(spark):
+    keys = repeats.deal_of(spark, 26, 13).keys
     df = spark.createDataFrame([(int(k),) for k in keys], "g int").repartition(13, "g").select(F.spark_partition_id().alias("p"))
-    assert sorted(r["p"] for r in df.collect()) == list(range(13))
+    assert sorted(r["p"] for r in df.collect()) == sorted([*range(13)] * 2)
+    assert repeats.deal_of(spark, 1000, 4)(np.array([1003], dtype=np.uint64)).tolist() == [3]
 
 
 def test_op7_and_op8_equal_brute_force(spark, sf_dir):
