@@ -6,13 +6,18 @@ at its place and the pair before it, and removes the pair of the swallowed symbo
 updates, each along one path to the root. The tree is worked until no mergeable pair remains.
 
 Many distinct words are worked in lockstep: one tree a row, so that each step is a handful of numpy
-operations. Words recur, so encodings are kept in a bounded memory per worker.
+operations. Words of more than LONG bytes share one tree over all their pairs, parted by gaps: the root
+yields the lowest rank, and all places of that rank are merged in one step, from the left. That is
+the same as one by one where no merge makes a pair of a lower rank, which is checked when the file is
+read; else only the leftmost is merged. So a step costs a rank, not a merge, and a word of a megabyte
+takes seconds. Words recur, so encodings of shorter ones are kept in a bounded memory per worker.
 
 The tokenizer file's own normaliser steps and split pattern are read from the file. decode() is the
 library's for a model without a decoder: the tokens joined by one space.
 
 Edge cases: a null text counts as empty (no ids, empty decoding); special-token strings in a text
-give their ids, as the library does; repeated rows are encoded each on its own.
+give their ids, as the library does; repeated rows are encoded each on its own; texts without any
+white space take time in proportion to their length, but for a logarithm.
 """
 
 from __future__ import annotations
@@ -36,6 +41,8 @@ _SEPARATORS = re.compile("[\x1c-\x1f]")
 NO_PAIR = np.int64(1) << 62
 #: Encoded words kept per worker; the older half goes when it is full.
 KEPT_WORDS = 600_000
+#: Words of more bytes than this share a tree; their encodings aren't kept.
+LONG = 64
 
 
 def byte_alphabet() -> dict[int, str]:
@@ -65,6 +72,11 @@ class Bpe:
         self.pairs = np.array(sorted(pairs), dtype=np.int64)
         self.ranks = np.array([pairs[k][0] for k in self.pairs.tolist()], dtype=np.int64)
         self.merged = np.array([pairs[k][1] for k in self.pairs.tolist()], dtype=np.int64)
+        #: Whether each merge comes after those that make its parts, so that no merge gives a pair of a lower rank.
+        made: dict[int, int] = {}
+        for rank, token in pairs.values():
+            made[token] = max(rank, made.get(token, rank))
+        self.rising = all(rank > max(made.get(key >> 20, -1), made.get(key & 0xFFFFF, -1)) for key, (rank, _) in pairs.items())
         self.special = {x["content"]: x["id"] for x in spec["added_tokens"]}
         self.tokens |= {i: t for t, i in self.special.items()}
         self.split_special = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
@@ -139,12 +151,67 @@ class Bpe:
             live = live[tree[live, 1] < NO_PAIR]
         return symbols[:, :-1]
 
+    def _merge_long(self, symbols: np.ndarray) -> np.ndarray:
+        """Symbols of words with -1 between them, merged in one tree; swallowed places are -1."""
+        n = len(symbols)
+        leaves = 1 << max(1, (n - 1).bit_length())
+        tree = np.full(2 * leaves, NO_PAIR, dtype=np.int64)
+        tree[leaves : leaves + n - 1] = self._lookup(symbols[:-1], symbols[1:])[0]
+        level = leaves
+        while level > 1:
+            level //= 2
+            tree[level : 2 * level] = np.minimum(tree[2 * level : 4 * level : 2], tree[2 * level + 1 : 4 * level : 2])
+        after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+        symbols = np.append(symbols, -1)  # place n is never a symbol
+        while tree[1] < NO_PAIR:
+            at = np.ones(1, dtype=np.int64)
+            while at[0] < leaves:  # down to all leaves of the root's rank, from left to right
+                at = np.repeat(2 * at, 2)
+                at[1::2] += 1
+                at = at[tree[at] == tree[1]]
+            at -= leaves
+            if not self.rising:
+                at = at[:1]
+            elif len(at) > 1:  # of places that overlap (a pair of equal symbols in a run) every other one
+                linked = np.append(False, after[at[:-1]] == at[1:])
+                start = np.maximum.accumulate(np.where(linked, 0, np.arange(len(at))))
+                at = at[(np.arange(len(at)) - start) % 2 == 0]
+            gone = after[at]
+            _, entry = self._lookup(symbols[at], symbols[gone])
+            symbols[at], symbols[gone] = self.merged[entry], -1
+            beyond = after[gone]
+            after[at] = beyond
+            before[beyond[beyond < n]] = at[beyond < n]
+            left = before[at]
+            again = np.concatenate([at, left[left >= 0]])
+            tree[gone + leaves] = NO_PAIR
+            tree[again + leaves] = self._lookup(symbols[again], symbols[after[again]])[0]
+            nodes = np.unique(np.concatenate([again, gone]) + leaves)
+            while nodes[0] > 1:
+                nodes = nodes >> 1
+                nodes = nodes[np.append(True, nodes[1:] != nodes[:-1])]
+                tree[nodes] = np.minimum(tree[2 * nodes], tree[2 * nodes + 1])
+        return symbols[:-1]
+
+    def _encode_long(self, words: list[bytes]) -> list[list[int]]:
+        gaps = np.cumsum([len(w) + 1 for w in words])
+        flat = np.frombuffer(b" ".join([*words, b""]), dtype=np.uint8)
+        symbols = self.first[flat]
+        symbols[gaps - 2] = self.last[flat[gaps - 2]]
+        symbols[gaps - 1] = -1
+        symbols = self._merge_long(symbols)
+        return [x[x >= 0].tolist() for x in np.split(symbols, gaps[:-1])]
+
     def encode_words(self, words: list[str]) -> list[list[int]]:
         """The ids of each word (a piece of the split, not empty)."""
         raw = [w.encode("utf-8", "replace") for w in words]
         out: list[list[int]] = [[]] * len(words)
         order = sorted(range(len(raw)), key=lambda i: len(raw[i]))
         start = 0
+        if long := [i for i in order if len(raw[i]) > LONG]:
+            order = order[: len(order) - len(long)]
+            for i, ids in zip(long, self._encode_long([raw[i] for i in long]), strict=True):
+                out[i] = ids
         while start < len(order):
             width = len(raw[order[start]])
             # Rows are as wide as the widest word among them: at most a quarter wider than the narrowest, some MB of tree.
@@ -210,6 +277,7 @@ class Coder:
         for w, parts in zip(found, split, strict=True):
             ids = [i for x in parts for i in known[x]] if w[0] != " " else [bpe.special[w[1:]]]
             new[w] = (" ".join(map(str, ids)), " ".join([bpe.tokens[i] for i in ids]))
+        self.long = [w for w in found if len(w) > LONG]
 
     def coded(self, texts: list[str]) -> Iterator[tuple[int, str, str]]:
         """Of each text: number of ids, the decimal ids joined by one space, the decoded text."""
@@ -221,6 +289,8 @@ class Coder:
                 items = [new[w] for w in words]
                 ids = " ".join([x[0] for x in items])
                 yield ids.count(" ") + 1 if ids else 0, ids, " ".join([x[1] for x in items])
+            for w in self.long:
+                del new[w]
 
 
 def encode_decode(docs: DataFrame, path: str) -> DataFrame:

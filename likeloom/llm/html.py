@@ -14,16 +14,18 @@ Rules of parsing: character references are decoded; white space within a block i
 comments, scripts, styles and templates have no text; <br> is white space; end tags that HTML lets
 authors leave out are implied.
 
-Edge cases: a null or empty page has empty text; text without any tag is one block; a tag that
-never ends is text from its "<"; pages are labelled each on its own, so repeated rows give equal
+Edge cases: a null or empty page has empty text; a page without any tag is its own main text; a tag that
+never ends is text from its "<"; pages of any length, however broken, take time in proportion to it; pages are labelled each on its own, so repeated rows give equal
 results; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import html as references
+import random
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -54,7 +56,11 @@ IMPLIED = {
 #: Block-level elements that end an open paragraph.
 ENDS_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 
-_MARKUP = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""", re.S)
+#: A tag's inside ends at a "<" outside quotes too, and its parts are taken whole, so that a failed match reads no character twice.
+_TAG = re.compile(r"""<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^<>"']++|"[^"]*+"|'[^']*+')*+)>""")
+#: Elements open at once; those further down aren't kept in paths, as in browsers.
+MOST_OPEN = 256
+_ENDS = {name: re.compile(rf"</{name}\s*+>", re.I) for name in SILENT}
 _NAMES = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.I)
 _PARTS = re.compile(r"[A-Za-z]+")
 
@@ -72,6 +78,7 @@ def page_blocks(page: str) -> list[Block]:
     """The leaf blocks of a page in its order, without those that have no text."""
     out: list[Block] = []
     tags: list[str] = []
+    opened: Counter[str] = Counter()
     path: list[tuple] = []
     parts: list[str] = []
     linked = anchors = at = 0
@@ -90,23 +97,41 @@ def page_blocks(page: str) -> list[Block]:
         while tags:
             top = tags.pop()
             path.pop()
+            opened[top] -= 1
             if top == name:
                 return
 
-    end = len(page)
-    while at < end:
-        m = _MARKUP.search(page, at)
-        stop = m.start() if m else end
+    def text(stop: int) -> None:
+        nonlocal at, linked
         if stop > at:
             parts.append(page[at:stop])
             linked += (stop - at) * (anchors > 0)
-        if not m:
+        at = stop
+
+    end, last, sought = len(page), page.rfind(">"), 0
+    while at < end:
+        start = page.find("<", sought)
+        if start < 0 or start > last:
+            # Comments alone may end without a ">".
+            start = page.find("<!--", max(sought, start)) if start >= 0 else -1
+            text(start if start >= 0 else end)
             break
-        at = m.end()
-        name = m.group(2)
-        if not name:
+        if page.startswith("<!--", start):
+            text(start)
+            close_at = page.find("-->", start + 4)
+            at = sought = close_at + 3 if close_at >= 0 else end
+            continue
+        if page[start + 1 : start + 2] in ("!", "?"):
+            text(start)
+            at = sought = page.find(">", start) + 1
             continue
-        name = name.lower()
+        m = _TAG.match(page, start)
+        if not m:
+            sought = start + 1
+            continue
+        text(start)
+        at = sought = m.end()
+        name = m.group(2).lower()
         if name in INLINE:
             if name == "a":
                 anchors = max(0, anchors + (-1 if m.group(1) else 1))
@@ -116,16 +141,16 @@ def page_blocks(page: str) -> list[Block]:
         if name in SILENT and not m.group(1):
             if m.group(3).endswith("/"):
                 continue
-            done = re.compile(rf"</{name}\s*>", re.I).search(page, at)
-            at = done.end() if done else end
+            done = _ENDS[name].search(page, at)
+            at = sought = done.end() if done else end
             continue
         flush()
         anchors = 0
         if m.group(1):
-            if name in tags:
+            if opened[name]:
                 close(name)
             continue
-        if name in ENDS_P and "p" in tags:
+        if name in ENDS_P and opened["p"]:
             close("p")
         if name in IMPLIED:
             ends, bounds = IMPLIED[name]
@@ -133,12 +158,14 @@ def page_blocks(page: str) -> list[Block]:
                 if tags[depth] in bounds:
                     break
                 if tags[depth] in ends:
+                    opened.subtract(tags[depth:])
                     del tags[depth:], path[depth:]
                     break
-        if name in VOID or m.group(3).endswith("/"):
+        if name in VOID or m.group(3).endswith("/") or len(tags) >= MOST_OPEN:
             continue
         words = [w.lower() for x in _NAMES.finditer(m.group(3)) for w in _PARTS.findall(x.group(2) or x.group(3) or x.group(4) or "")] if m.group(3) else ()
         tags.append(name)
+        opened[name] += 1
         path.append((name, *words))
     flush()
     return out
@@ -296,7 +323,7 @@ def padded(pages: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 
 # ---- training ----------------------------------------------------------------------------------
 
-TRAINING_PAGES, EPOCHS, BATCH, RATE = 600, 14, 20, 0.02
+TRAINING_PAGES, EPOCHS, BATCH, RATE = 600, 16, 60, 0.03
 
 #: How the parts of a page are marked up in the layouts that are trained on.
 MAIN = ('<article>', '<main>', '<main><article>', '<div class="content">', '<div id="content">', '<div class="post-body">', '<section class="story">', '<article class="post">', '<div class="entry-content">', '<div class="article-text">', '<body-text>')
@@ -313,19 +340,18 @@ COMMENTS = ('<section class="comments">', '<div id="comments">', '<div class="co
 class _Writer:
     """A page as it is written: its HTML, and the label of each text that will be a block."""
 
-    def __init__(self, rng: np.random.Generator):
+    def __init__(self, rng: random.Random):
         self.rng, self.html, self.labels = rng, [], []
 
     def one(self, of: tuple | list) -> str:
-        return of[int(self.rng.integers(len(of)))]
+        return self.rng.choice(of)
 
     def often(self, chance: float) -> bool:
-        return bool(self.rng.random() < chance)
+        return self.rng.random() < chance
 
     def words(self, low: int, high: int) -> str:
-        n = int(self.rng.integers(low, high + 1))
-        words = ["".join(self.one(_SYLLABLES) for _ in range(int(self.rng.integers(1, 5)))) for _ in range(n)]
-        text = " ".join(words).capitalize()
+        n = self.rng.randint(low, high)
+        text = " ".join(self.rng.choices(_vocabulary(), k=n)).capitalize()
         noise = self.rng.random()
         if noise < 0.1:
             text = " &amp; ".join(text.split(" "))
@@ -355,7 +381,7 @@ class _Writer:
         self.labels.append(main)
 
     def boilerplate(self, kind: int) -> None:
-        rng, n = self.rng, int(self.rng.integers(1, 7))
+        rng, n = self.rng, self.rng.randrange(1, 7)
         if kind == 0:
             self.inside(self.one(MENUS), lambda: [self.text("li", False, 1, 3, self.often(0.8)) for _ in range(n)])
             return
@@ -376,7 +402,7 @@ class _Writer:
                 self.inside("<header>", lambda: self.text("h1", True, 2, 14))
             else:
                 self.text(self.one(("h1", "h1", "h2")), True, 2, 14)
-        for _ in range(int(self.rng.integers(1, 16))):
+        for _ in range(self.rng.randrange(1, 16)):
             kind = self.rng.random()
             if kind < 0.72:
                 self.text("p", True, 1, 120, self.often(0.8))
@@ -395,7 +421,14 @@ class _Writer:
 _SYLLABLES = ("th", "er", "an", "in", "re", "on", "at", "ti", "es", "or", "le", "ou", "en", "ch", "ai", "ung", "de", "la", "ment", "ción")
 
 
-def synthetic_page(rng: np.random.Generator) -> tuple[str, list[bool]]:
+@lru_cache(maxsize=1)
+def _vocabulary() -> list[str]:
+    """Words of one to four syllables."""
+    rng = random.Random(3)
+    return ["".join(rng.choices(_SYLLABLES, k=rng.randrange(1, 5))) for _ in range(5000)]
+
+
+def synthetic_page(rng: random.Random) -> tuple[str, list[bool]]:
     """A page of a random layout, and whether each of its blocks is main text."""
     page = _Writer(rng)
     page.html.append("<!DOCTYPE html><html><head>")
@@ -404,17 +437,27 @@ def synthetic_page(rng: np.random.Generator) -> tuple[str, list[bool]]:
     page.html.append('<style>p{margin:0}</style><script>var t="</p>";</script></head><body>')
     wrap = page.often(0.4)
     page.html.append(page.one(('<div class="wrapper">', '<div id="page">', '<div class="container">')) if wrap else "")
-    for _ in range(int(rng.integers(0, 4))):
+    for _ in range(rng.randrange(4)):
         page.boilerplate(page.one((0, 0, 1, 3, 4, 5, 6)))
-    page.inside(page.one(MAIN), page.article)
-    for _ in range(int(rng.integers(0, 4))):
+    layout = rng.random()
+    if layout < 0.08:  # columns of a table
+        page.html.append("<table><tr><td>")
+        page.boilerplate(0)
+        page.html.append(page.one(("</td><td>", '</td><td class="main">', "</td></tr><tr><td>")))
+        page.article()
+        page.html.append("</td></tr></table>")
+    elif layout < 0.16:
+        page.article()
+    else:
+        page.inside(page.one(MAIN), page.article)
+    for _ in range(rng.randrange(4)):
         page.boilerplate(page.one((0, 2, 2, 3, 4, 5, 6, 7, 7)))
     page.html.append(("</div>" if wrap else "") + ("</body></html>" if page.often(0.8) else ""))
     return "".join(page.html), page.labels
 
 
 def training_set(seed: int, pages: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    rng, x, y = np.random.default_rng(seed), [], []
+    rng, x, y = random.Random(seed), [], []
     paths: dict[tuple, np.ndarray] = {}
     while len(x) < pages:
         text, labels = synthetic_page(rng)
@@ -464,7 +507,9 @@ def extract_text(pages: DataFrame, model: Labeller | None = None) -> DataFrame:
         for a, b in blocks([len(x) for x in pages]):
             found = [page_blocks(x) for x in pages[a:b]]
             main = model.main_blocks([page_vectors(x, paths) for x in found])
-            out += [" ".join([x.text for x, ok in zip(page, labels, strict=True) if ok]) for page, labels in zip(found, main, strict=True)]
+            for page, labels in zip(found, main, strict=True):
+                plain = len(page) == 1 and not page[0].path  # there is no layout to read
+                out.append(" ".join([x.text for x, ok in zip(page, labels, strict=True) if ok or plain]))
         yield pa.record_batch([batch.column(0), batch.column(1), pa.array(out, pa.string())], names=["page_id", "url", "text"])
 
     source = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string"))

@@ -4,8 +4,10 @@ A text is folded to its words (A-Z lowered), joined by one space. A notice that
 characters is split into k + 1 pieces; by the pigeonhole principle one piece stands unchanged in
 every occurrence within k edits, so exact searches for the pieces find all places to look at. At
 each, the regex library's bounded-error matching verifies the notice in the part of the text where
-it can lie and reports its span and its edits. The exact phrases are notices with no edits: their
-only piece is the whole phrase.
+it can lie and reports its span of whole words and its edits. A license is told from its neighbours by
+a word or two, which a match must have nearly unchanged (Notice.telling), so that the edits can't be
+spent on making another license of it. The exact phrases are notices with no edits: their only piece
+is the whole phrase.
 
 Whole texts are searched; nothing is shuffled, and memory is bounded by an Arrow batch.
 
@@ -29,12 +31,13 @@ from .shared import arrow_pass, texts_of
 
 @dataclass(frozen=True)
 class Notice:
-    """Words that tell a license; errors: how many characters may differ; telling: a word of them that has one edit at most, or only letters put in."""
+    """Words that tell a license; errors: how many characters may differ; telling: words of them that a match has with `told` edits at most, or with letters put in alone."""
 
     phrase: str
     label: str
     errors: int = 0
     telling: str = ""
+    told: int = 1
 
 
 #: The base: exact phrases.
@@ -47,17 +50,17 @@ PHRASES = (
 #: Short notices of the licenses' own texts, searched with errors.
 NOTICES = (
     Notice("gnu general public license", "gpl", 3, "gnu"),
-    Notice("this program is free software you can redistribute it and or modify it under the terms of", "gpl", 8),
-    Notice("gnu lesser general public license", "lgpl", 3),
-    Notice("gnu affero general public license", "agpl", 3),
-    Notice("licensed under the apache license version 2 0", "apache", 4),
-    Notice("creative commons attribution", "cc-by", 3),
-    Notice("licensed under cc by", "cc-by", 2),
+    Notice("this program is free software you can redistribute it and or modify it under the terms of the gnu general public license", "gpl", 8, "gnu general", 2),
+    Notice("gnu lesser general public license", "lgpl", 3, "lesser"),
+    Notice("gnu affero general public license", "agpl", 3, "affero"),
+    Notice("licensed under the apache license version 2 0", "apache", 4, "apache"),
+    Notice("creative commons attribution", "cc-by", 3, "attribution"),
+    Notice("licensed under cc by", "cc-by", 2, "cc by", 0),
     Notice("released under the mit license", "mit", 3, "mit"),
-    Notice("permission is hereby granted free of charge to any person obtaining a copy", "mit", 7),
+    Notice("permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", "mit", 7, "software"),
     Notice("redistribution and use in source and binary forms with or without modification", "bsd", 7),
-    Notice("mozilla public license", "mpl", 2),
-    Notice("eclipse public license", "epl", 2),
+    Notice("mozilla public license", "mpl", 2, "mozilla"),
+    Notice("eclipse public license", "epl", 2, "eclipse"),
     Notice("permission to use copy modify and or distribute this software for any purpose", "isc", 7),
     Notice("this is free and unencumbered software released into the public domain", "unlicense", 6),
 )
@@ -78,17 +81,30 @@ def pieces(phrase: str, errors: int) -> list[tuple[int, bytes]]:
     return [(a, raw[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
-def pattern_of(x: Notice) -> regex.Pattern:
-    """The notice within its errors; with a telling word each part has its own, so that all of them may be more than errors."""
+def patterns_of(x: Notice) -> tuple[regex.Pattern, regex.Pattern]:
+    """Whole words that are the notice within its errors: for the leftmost match, and for the best within it."""
+    source = rb"(?<= )(?:%s){e<=%d}(?= )" % (regex.escape(x.phrase.encode(), literal_spaces=True), x.errors)
+    return regex.compile(source), regex.compile(source, regex.BESTMATCH)
 
-    def part(words: str, kind: str, n: int) -> bytes:
-        return rb"(?:%s){%s<=%d}" % (regex.escape(words.encode(), literal_spaces=True), kind.encode(), n) if words else b""
 
-    if not x.telling:
-        return regex.compile(part(x.phrase, "e", x.errors), regex.BESTMATCH)
-    head, tail = x.phrase.split(x.telling, 1)
-    told = rb"(?:%s|%s)" % (part(x.telling, "e", min(x.errors, 1)), part(x.telling, "i", x.errors))
-    return regex.compile(part(head, "e", x.errors) + told + part(tail, "e", x.errors), regex.BESTMATCH)
+class Telling:
+    """The words of a notice that tell its license."""
+
+    def __init__(self, notice: Notice):
+        self.size, self.none = notice.telling.count(" ") + 1, not notice.telling
+        escaped = regex.escape(notice.telling.encode(), literal_spaces=True)
+        self.near = regex.compile(rb"(?:%s){e<=%d}" % (escaped, notice.told))
+        self.longer = regex.compile(rb"(?:%s){i<=%d}" % (escaped, notice.errors if notice.told else 0))
+
+    def among(self, matched: bytes) -> bool:
+        words = matched.split(b" ")
+
+        def parts(n: int) -> Iterator[bytes]:
+            return (b" ".join(words[i : i + n]) for i in range(len(words) - n + 1))
+
+        # A blank put in or left out changes the number of words; letters put in don't.
+        near = (x for n in {self.size, max(1, self.size - 1), self.size + 1} for x in parts(n))
+        return self.none or any(map(self.near.fullmatch, near)) or any(map(self.longer.fullmatch, parts(self.size)))
 
 
 def places(text: bytes, seed: bytes) -> Iterator[int]:
@@ -104,7 +120,7 @@ class Scanner:
     def __init__(self, phrases: tuple[Notice, ...] = PHRASES, notices: tuple[Notice, ...] = NOTICES):
         self.phrases, self.notices = phrases, []
         for x in notices:
-            self.notices.append((x, pieces(x.phrase, x.errors), pattern_of(x)))
+            self.notices.append((x, pieces(x.phrase, x.errors), *patterns_of(x), Telling(x)))
 
     def exact(self, text: bytes) -> list[tuple[int, str]]:
         """(place, label) of each phrase's occurrences as whole words; the place is of the first word's first byte."""
@@ -113,7 +129,7 @@ class Scanner:
     def fuzzy(self, text: bytes) -> list[tuple[int, int, str, int]]:
         """(start, end, label, edits) of the notices within their errors, bytes of the folded text; none overlaps another of its notice."""
         out = []
-        for notice, parts, pattern in self.notices:
+        for notice, parts, *checks in self.notices:
             size, most = len(notice.phrase), notice.errors
             # Where a piece stands the notice starts at most `errors` bytes off.
             starts = sorted({at - offset for offset, seed in parts for at in places(text, seed)})
@@ -122,27 +138,29 @@ class Scanner:
                 if group and s - group[-1] <= 2 * most:
                     group.append(s)
                     continue
-                end = self._verify(text, group, size, most, pattern, notice, end, out)
+                end = self._verify(text, group, size, most, checks, notice, end, out)
                 group = [s]
-            self._verify(text, group, size, most, pattern, notice, end, out)
+            self._verify(text, group, size, most, checks, notice, end, out)
         return sorted(out)
 
     @staticmethod
-    def _verify(text: bytes, group: list[int], size: int, most: int, pattern, notice: Notice, end: int, out: list) -> int:
+    def _verify(text: bytes, group: list[int], size: int, most: int, checks: list, notice: Notice, end: int, out: list) -> int:
         """Adds what the window around group's starts holds; returns the end of the last span added."""
         if not group:
             return end
-        lo, hi = max(0, end, group[0] - most), group[-1] + size + 2 * most
-        while (m := pattern.search(text, lo, min(hi, len(text)))) is not None:
-            # The best match comes first: where it has too many edits, all have.
-            if m.end() <= m.start() or sum(m.fuzzy_counts) > most:
-                break
-            out.append((m.start(), m.end(), notice.label, sum(m.fuzzy_counts)))
-            end = lo = m.end()
+        pattern, best, telling = checks
+        # A byte before the first word and one after the last are their borders.
+        lo, hi = max(0, end, group[0] - most - 1), min(len(text), group[-1] + size + 2 * most + 1)
+        while (m := pattern.search(text, lo, hi)) is not None:
+            start, m = m.start(), best.search(text, m.start(), m.end() + 1) or m
+            if m.end() > m.start() and telling.among(m.group()):
+                out.append((m.start(), m.end(), notice.label, sum(m.fuzzy_counts)))
+                end = lo = m.end()
+            else:
+                lo = start + 1
         return end
 
 
-
 def scan_licenses(docs: DataFrame, phrases: tuple[Notice, ...] = PHRASES, notices: tuple[Notice, ...] = NOTICES) -> DataFrame:
     """(doc_id, n_words, places, spans) of each row.
 

@@ -1,16 +1,24 @@
 """Quality rules by weak supervision.
 
-Rules vote good (1), bad (-1) or abstain (0) on each document. How often each rule is right is not
-known: expectation-maximisation estimates, for every rule, the chance of each vote given a good
-and given a bad document, with the share of good documents, from the votes alone. A document's
-posterior probability of being good then decides, not the agreement of all rules.
+Rules vote good (1), bad (-1) or abstain (0) on each document: bad beyond a threshold, good well
+within it, nothing between the two or where a rule doesn't apply. How far a rule can be trusted is not
+known: expectation-maximisation estimates, from the votes alone, how often each rule accuses a bad and
+a good document when it votes, and the share of good documents. A document's posterior probability of
+being good then decides, not the agreement of all rules: a rule that accuses often by mistake counts
+little, and a document that it accuses is kept where the others speak for it.
+
+Abstentions say nothing (they depend on a text's length and form). No two rules look at the same
+characters, so they may count as independent. The estimate goes on until the likelihood stands still;
+its prior is PSEUDO votes a rule, so it is the documents that count. What votes alone can't tell is
+a defect that a single rule sees and that has nothing to do with the others' from that rule's mistakes.
 
 Votes are counted by pattern before anything leaves the executors. There are at most
 3 ** len(RULES) patterns however many documents there are, so the estimation on the driver is
 bounded; the posterior is a table lookup by pattern with the same bound.
 
-Edge cases: a null text has no words; documents without words fail the base rule; repeated rows
-are judged each on its own; an empty table gives an empty result.
+Edge cases: a null text has no words; documents without words fail the base rule; texts of any length
+are judged by ratios alone; repeated rows are judged each on its own; an empty table gives an empty
+result; documents without any vote have the share of good documents as their probability.
 """
 
 from __future__ import annotations
@@ -96,71 +104,72 @@ def base_failed(prefix: str = "") -> Column:
     return (n < 50) | (100 * repeats > 50 * n)
 
 
-def _vote(bad: Column, good: Column | None = None) -> Column:
-    """Bad, good or, where neither is sure, no vote. Lack of one defect is no sign of quality, so most rules don't vote good."""
-    vote = F.when(bad, -1)
-    return (vote if good is None else vote.when(good, 1)).otherwise(0)
+def _vote(of: Column, good: float, bad: float, applies: Column | None = None) -> Column:
+    """A vote on a ratio: good up to one bound, bad beyond the other; the other way round where good is the larger."""
+    vote = F.when(of > bad, -1).when(of <= good, 1) if good < bad else F.when(of < bad, -1).when(of >= good, 1)
+    return (vote if applies is None else F.when(applies, vote)).cast("int")
 
 
 def rules(prefix: str = "") -> dict[str, Column]:
     """The rules by name, as votes over with_measures()."""
 
     def c(name: str) -> Column:
-        return F.col(prefix + name)
-
-    n = F.greatest(c("n_words"), F.lit(1))
-    chars, lines = F.greatest(c("word_chars"), F.lit(1)), F.greatest(c("n_lines"), F.lit(1))
-    letters = F.greatest(c("n_letters"), F.lit(1))
-    return {
-        "symbols": _vote(c("n_symbols") > 0.1 * n),
-        "repeats": _vote(c("n_repeat_words") > 0.3 * n),
-        "lines": _vote((c("n_dup_lines") > 0.35 * lines) & (lines >= 4)),
-        "shouting": _vote(c("n_upper") > 0.3 * letters),
-        "marks": _vote(c("n_marks") > 0.2 * n),
-        "punctuation": _vote(c("n_punct") > 0.06 * chars, c("n_punct") <= 0.04 * chars),
-        "digits": _vote(c("n_digits") > 0.3 * chars),
-        "variety": _vote((c("n_distinct") < 0.2 * n) & (n >= 30) & (n < 20_000), (c("n_distinct") >= 0.5 * n) & (n >= 30)),
-        "word_length": _vote((chars > 15 * n) | (chars < 2 * n), (chars >= 4 * n) & (chars <= 9 * n)),
-        "endings": _vote((c("n_ended") < 0.2 * lines) & (lines >= 4), c("n_ended") >= 0.8 * lines),
+        return F.col(prefix + name).cast("double")
+
+    n = F.greatest(c("n_words"), F.lit(1.0))
+    chars, lines = F.greatest(c("word_chars"), F.lit(1.0)), F.greatest(c("n_lines"), F.lit(1.0))
+    letters = F.greatest(c("n_letters"), F.lit(1.0))
+    votes = {
+        "symbols": _vote(c("n_symbols") / n, 0.02, 0.1),
+        "repeats": _vote(c("n_repeat_words") / n, 0.1, 0.3),
+        "lines": _vote(c("n_dup_lines") / lines, 0.1, 0.35, lines >= 4),
+        "shouting": _vote(c("n_upper") / letters, 0.1, 0.3),
+        "marks": _vote(c("n_marks") / n, 0.05, 0.2),
+        "punctuation": _vote((c("n_punct") - c("n_symbols") - c("n_marks")) / chars, 0.045, 0.08),
+        "digits": _vote(c("n_digits") / chars, 0.1, 0.3),
+        # Distinct words by a power of all words, as a text's vocabulary grows.
+        "variety": _vote(F.log(F.greatest(c("n_distinct"), F.lit(1.0))) / F.log(F.greatest(n, F.lit(2.0))), 0.8, 0.6, n >= 30),
+        "word_length": _vote(F.abs(F.log(chars / n / 5.2)), 0.2, 0.35),
+        "endings": _vote(c("n_ended") / lines, 0.97, 0.9),
     }
+    return {name: F.coalesce(vote, F.lit(0)) for name, vote in votes.items()}
 
 
-#: Before any document is seen: the chances of voting bad, nothing and good, given a bad and given a good document.
-#: A bad document has one or two of the defects, a good one next to none.
-PRIOR = ((0.25, 0.40, 0.35), (0.002, 0.448, 0.55))
+#: Before any document is seen: how often a rule accuses a bad and a good document, as so many votes; and the share of good documents.
+PRIOR, PSEUDO, GOOD = (0.3, 0.02), 4.0, 0.8
 
 
-def fit(votes: np.ndarray, counts: np.ndarray, rounds: int = 50, share: float = 0.8) -> tuple[float, np.ndarray]:
+def fit(votes: np.ndarray, counts: np.ndarray, tolerance: float = 1e-12) -> tuple[float, np.ndarray]:
     """EM over vote patterns (patterns x rules, -1/0/1) with their counts.
 
-    Returns the share of good documents and chances[class, rule, vote + 1]; class 0 is bad. PRIOR is
-    the start, and goes on as pseudo-votes: a few for the bad class, whose kinds of badness the votes
-    tell, and as many as documents for the good class. Votes alone can't tell a rule that is often
-    wrong from a defect that no other rule sees; that the rules seldom accuse a good document is known beforehand.
+    Returns the share of good documents and accuse[class, rule], the chance that a rule that votes
+    votes bad; class 0 is bad. Ends where the likelihood, with the prior, grows by no more than tolerance of itself.
     """
-    prior = np.array(PRIOR)[:, None, :].repeat(votes.shape[1], axis=1)
-    chances, weight = prior.copy(), 4.0
-    hot = np.stack([votes == v for v in (-1, 0, 1)], axis=2).astype(float)
-    for _ in range(rounds):
-        good = posterior(votes, share, chances)
-        mass = np.stack([(1 - good) * counts, good * counts])
-        seen = np.einsum("cp,prv->crv", mass, hot) + weight * prior
-        chances = seen / seen.sum(axis=2, keepdims=True)
-        # The good class's chance of accusing is shrunk towards the prior; the rest keeps its proportions.
-        accused = np.einsum("p,pr->r", mass[1], hot[:, :, 0])
-        wrong = (accused + counts.sum() * prior[1, :, 0]) / (mass[1].sum() + counts.sum())
-        rest = np.maximum(chances[1, :, 1:], 1e-12)
-        chances[1] = np.concatenate([wrong[:, None], (1 - wrong)[:, None] * rest / rest.sum(axis=1, keepdims=True)], axis=1)
-        share = float((mass[1].sum() + 8) / (counts.sum() + 10))
-    return share, chances
-
-
-def posterior(votes: np.ndarray, share: float, chances: np.ndarray) -> np.ndarray:
+    prior, bad, voted = np.array(PRIOR)[:, None], (votes == -1).astype(float), (votes != 0).astype(float)
+    share, accuse, before = GOOD, np.repeat(prior, votes.shape[1], axis=1), -np.inf
+    while True:
+        score = _scores(votes, share, accuse)
+        top = score.max(axis=0)
+        whole = top + np.log(np.exp(score - top).sum(axis=0))
+        likely = float(counts @ whole + PSEUDO * (prior * np.log(accuse) + (1 - prior) * np.log1p(-accuse)).sum() + PSEUDO * (GOOD * np.log(share) + (1 - GOOD) * np.log1p(-share)))
+        if likely - before <= tolerance * abs(likely):
+            return share, accuse
+        before = likely
+        mass = np.exp(score - whole) * counts
+        accuse = np.clip((mass @ bad + PSEUDO * prior) / (mass @ voted + PSEUDO), 1e-12, 1 - 1e-12)
+        share = float((mass[1].sum() + PSEUDO * GOOD) / (counts.sum() + PSEUDO))
+
+
+def _scores(votes: np.ndarray, share: float, accuse: np.ndarray) -> np.ndarray:
+    """Log probabilities (class, pattern) of a class and its votes."""
+    bad, good = (votes == -1).astype(float), (votes == 1).astype(float)
+    return np.log([[1 - share], [share]]) + np.log(accuse) @ bad.T + np.log1p(-accuse) @ good.T
+
+
+def posterior(votes: np.ndarray, share: float, accuse: np.ndarray) -> np.ndarray:
     """Of each pattern: the probability that a document with these votes is good."""
-    index = votes + 1
-    score = np.log(chances[:, np.arange(votes.shape[1]), index])
-    odds = np.log(share) - np.log1p(-share) + (score[1] - score[0]).sum(axis=1)
-    return 1 / (1 + np.exp(-np.clip(odds, -500, 500)))
+    score = _scores(votes, share, accuse)
+    return 1 / (1 + np.exp(np.clip(score[0] - score[1], -500, 500)))
 
 
 def votes_code(prefix: str = "") -> Column:
@@ -180,8 +189,8 @@ def qualities(measured: DataFrame, prefix: str = "") -> DataFrame:
         return spark.createDataFrame([], "votes int, quality double")
     codes = np.array([r["votes"] for r in seen], dtype=np.int64)
     patterns = np.stack([codes // 3**i % 3 - 1 for i in range(len(rules()))], axis=1)
-    share, chances = fit(patterns, np.array([r["count"] for r in seen], dtype=float))
-    return spark.createDataFrame(list(zip(codes.tolist(), posterior(patterns, share, chances).tolist(), strict=True)), "votes int, quality double")
+    share, accuse = fit(patterns, np.array([r["count"] for r in seen], dtype=float))
+    return spark.createDataFrame(list(zip(codes.tolist(), posterior(patterns, share, accuse).tolist(), strict=True)), "votes int, quality double")
 
 
 def quality_report(docs: DataFrame, least: float = 0.5) -> DataFrame:

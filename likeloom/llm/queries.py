@@ -90,23 +90,38 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+#: The rules as the SQL has them, written apart from the operator: kind, what stands before a match, the match, the group that must be long enough (1 is the whole match), and its least length.
+SECRETS = (
+    ("assign", "", r"""(?i:(password|passwd|secret|token|api_?key)["\']?\x20*[:=]\x20*["\']?([A-Za-z0-9+/_.=-]+))""", 3, 6),
+    ("access", "", r"AKIA[A-Z0-9]+", 1, 20),
+    ("hex", "", r"[0-9a-f]{24,}", 1, 24),
+    ("github", "", r"gh[pousr]_[A-Za-z0-9]{36,}", 1, 0),
+    ("slack", "", r"xox[abprs]-[A-Za-z0-9-]{10,}", 1, 0),
+    ("google", "", r"AIza[0-9A-Za-z_-]{35}", 1, 0),
+    ("stripe", "", r"[rs]k_(live|test)_[0-9A-Za-z]{16,}", 1, 0),
+    ("npm", "", r"npm_[A-Za-z0-9]{36}", 1, 0),
+    ("jwt", r"^|[^A-Za-z0-9_-]", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", 1, 0),
+    ("pem", "", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", 1, 0),
+    ("bearer", "", r"(?i:bearer\x20+[A-Za-z0-9._~+/=-]{16,})", 1, 0),
+    ("login", r"^|[^a-z0-9+.-]", r"[a-z][a-z0-9+.-]*://[^\x00-\x20/:@]+:[^\x00-\x20/@]+@", 1, 0),
+)
+
+
 def secrets_sql() -> str:
     """Each rule's matches have their places from the lengths of what stands between them."""
     parts = []
-    for rank, rule in enumerate(secrets.RULES):
-        pattern = rule.pattern.replace("'", "''")
-        if rule.kind == "hex":  # the same matches: a run of fewer characters is dropped
-            pattern = f"[0-9a-f]{{{rule.least},}}"
+    for rank, (kind, before, match, group, least) in enumerate(SECRETS):
+        pattern = f"({before})({match})".replace("\\'", "'").replace("'", "''")
         parts.append(
-            f"SELECT doc_id, {rank} AS rank, '{rule.kind}' AS kind, {rule.group} AS grp, {rule.least} AS least, '{pattern}' AS pattern, "
-            f"regexp_extract_all(t, '{pattern}') AS hits, string_split_regex(t, '{pattern}') AS gaps, regexp_extract_all(t, '{pattern}', {rule.group}) AS groups FROM d"
+            f"SELECT doc_id, {rank} AS rank, '{kind}' AS kind, {least} AS least, regexp_extract_all(t, '{pattern}') AS hits, string_split_regex(t, '{pattern}') AS gaps, "
+            f"regexp_extract_all(t, '{pattern}', 1) AS before, regexp_extract_all(t, '{pattern}', {group + 1}) AS groups FROM d"
         )
     return f"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 found AS ({" UNION ALL ".join(parts)}),
-each AS (SELECT doc_id, rank, kind, least, hits, gaps, groups, unnest(range(1, len(hits) + 1)) AS i FROM found WHERE len(hits) > 0),
+each AS (SELECT doc_id, rank, kind, least, hits, gaps, before, groups, unnest(range(1, len(hits) + 1)) AS i FROM found WHERE len(hits) > 0),
 placed AS (
-  SELECT doc_id, rank, kind, CAST(list_sum(list_transform(gaps[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(hits[1:i - 1], lambda x: length(x))), 0) AS BIGINT) AS s, length(hits[i]) AS n
+  SELECT doc_id, rank, kind, CAST(list_sum(list_transform(gaps[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(hits[1:i - 1], lambda x: length(x))), 0) + length(before[i]) AS BIGINT) AS s, length(hits[i]) - length(before[i]) AS n
   FROM each WHERE length(groups[i]) >= least),
 spans AS (SELECT doc_id, rank, s, kind || ':' || s || ':' || (s + n) AS span FROM placed)
 SELECT d.doc_id, count(*) FILTER (rank = 0) AS n_assign, count(*) FILTER (rank = 1) AS n_access, count(*) FILTER (rank = 2) AS n_hex,
@@ -129,14 +144,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 def mixing_sql() -> str:
-    """The raking unrolled, one common table for each step."""
-    margins = mixing.MARGINS
-    steps, last = [], "scaled"
-    for r in range(mixing.ROUNDS):
+    """A hundred rounds of raking, which is more than it takes; written apart from the operator."""
+    margins, powers = ("source", "lang", "topic"), {"source": 0.5, "lang": 0.7, "topic": 0.7}
+
+    def raking(source: str) -> str:
         for m in margins:
-            name = f"x{r}_{m}"
-            steps.append(f"{name} AS (SELECT * REPLACE (x * to_{m} / sum(x) OVER (PARTITION BY {m}) AS x) FROM {last})")
-            last = name
+            source = f"SELECT * REPLACE (x * to_{m} / sum(x) OVER (PARTITION BY {m}) AS x) FROM ({source})"
+        return source
 
     def often(*marks: str) -> str:
         left = "t"
@@ -144,19 +158,19 @@ def mixing_sql() -> str:
             left = f"replace({left}, '{x}', '')"
         return f"10 * (length(t) - length({left})) > n_tokens"
 
-    powers = ", ".join(f"pow(sum(x) OVER (PARTITION BY {m}), {mixing.TEMPERATURES[m]}) AS p_{m}, count(*) OVER (PARTITION BY {m}) AS n_{m}" for m in margins)
+    tempered = ", ".join(f"pow(sum(x) OVER (PARTITION BY {m}), {powers[m]}) AS p_{m}, count(*) OVER (PARTITION BY {m}) AS n_{m}" for m in margins)
     scaled = ", ".join(f"p_{m} * (sum(x) OVER () / sum(p_{m} / n_{m}) OVER ()) AS to_{m}" for m in margins)
     return f"""
-WITH d AS (SELECT doc_id, coalesce(text, '') AS t, coalesce(source, '') AS source, coalesce(lang, '') AS lang,
-  CAST(len(regexp_extract_all(coalesce(text, ''), '{mixing.WORD}')) AS BIGINT) AS n_tokens FROM documents),
+WITH RECURSIVE d AS (SELECT doc_id, coalesce(text, '') AS t, coalesce(source, '') AS source, coalesce(lang, '') AS lang,
+  CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS n_tokens FROM documents),
 rows_ AS (SELECT doc_id, source, lang, n_tokens, CASE WHEN regexp_matches(t, '[Ll][Ii][Cc][Ee][Nn][Ss][Ee]') THEN 'legal' WHEN {often("|")} THEN 'tables'
   WHEN {often("#", "*", "$", "%", "&")} THEN 'markup' WHEN n_tokens >= 500 THEN 'essay' ELSE 'note' END AS topic FROM d),
 cells AS (SELECT source, lang, topic, CAST(sum(n_tokens) AS DOUBLE) AS tokens, CAST(sum(n_tokens) AS DOUBLE) AS x FROM rows_ WHERE n_tokens > 0 GROUP BY ALL),
-powers AS (SELECT *, {powers} FROM cells),
+powers AS (SELECT *, {tempered} FROM cells),
 scaled AS (SELECT source, lang, topic, tokens, x, {scaled} FROM powers),
-{", ".join(steps)},
-factors AS (SELECT source, lang, topic, tokens, x / tokens AS factor FROM {last}),
-sums AS (SELECT *, {mixing.BUDGET} * sum(tokens) OVER () - coalesce(sum(tokens) OVER o, 0) AS want,
+rounds AS (SELECT * FROM (SELECT *, 0 AS r FROM scaled) UNION ALL {raking("SELECT * REPLACE (r + 1 AS r) FROM rounds WHERE r < 100")}),
+factors AS (SELECT source, lang, topic, tokens, x / tokens AS factor FROM rounds WHERE r = 100),
+sums AS (SELECT *, 0.5 * sum(tokens) OVER () - coalesce(sum(tokens) OVER o, 0) AS want,
   sum(tokens * factor) OVER () - coalesce(sum(tokens * factor) OVER o, 0) AS rest
   FROM factors WINDOW o AS (ORDER BY factor DESC, source, lang, topic ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 scale AS (SELECT arg_max(want / rest, factor) AS c FROM sums WHERE want / rest * factor < 1),
@@ -164,7 +178,7 @@ chances AS (SELECT source, lang, topic, factor, least(1.0, factor * (SELECT c FR
 joined AS (SELECT r.doc_id, r.source, r.lang, r.topic, r.n_tokens, coalesce(c.factor, 0.0) AS factor, CASE WHEN n_tokens > 0 THEN c.probability ELSE 0.0 END AS probability
   FROM rows_ r LEFT JOIN chances c USING (source, lang, topic))
 SELECT doc_id, source, lang, topic, n_tokens, round(factor, 6) AS factor, round(probability, 6) AS probability,
-  CAST('0x' || substr(md5('{mixing.SEED}:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) / 4294967296.0 < probability AS sampled
+  CAST('0x' || substr(md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) / 4294967296.0 < probability AS sampled
 FROM joined"""
 
 

@@ -63,6 +63,32 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
+_BASE = 0xD1342543DE82EF95
+_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """_BASE to the powers 0 to n - 1 and their inverses, mod 2 ** 64."""
+    size = max(1 << 16, 1 << n.bit_length())
+    if size not in _POWERS:
+        both = []
+        for base in (_BASE, pow(_BASE, -1, 1 << 64)):
+            steps = np.full(size, np.uint64(base))
+            steps[0] = 1
+            both.append(np.multiply.accumulate(steps))
+        _POWERS.clear()
+        _POWERS[size] = tuple(both)
+    return _POWERS[size]
+
+
+def polynomial(h: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A hash of each stretch of units from a start to an end, from the units' hashes and their order alone."""
+    power, inverse = _powers(len(h))
+    sums = np.zeros(len(h) + 1, dtype=np.uint64)
+    np.cumsum(h * power[: len(h)], out=sums[1:])
+    return mixed((sums[ends] - sums[starts]) * inverse[starts])
+
+
 def joint(h: np.ndarray, n: int) -> np.ndarray:
     """Hash of n neighbours at each place, from the places' own hashes."""
     out, done, power, have = None, 0, h, 1
@@ -100,6 +126,10 @@ class Units:
         """The parts as one text, with the units' hashes and, unless units are bytes, their first and end bytes."""
         raise NotImplementedError
 
+    def anchors(self, unit_hash: np.ndarray) -> np.ndarray:
+        """The hash of the anchor at each unit."""
+        return joint(unit_hash, self.anchor)
+
     def windows(self, text: bytes) -> list[bytes]:
         """The texts of all windows of a run's text."""
         raise NotImplementedError
@@ -133,7 +163,7 @@ def _block_runs(units: Units, part: list[tuple[int, int, int, bytes]]) -> tuple[
     text, unit_hash, unit_start, unit_end = units.block([x[3] for x in part])
     counts = np.array([x[2] for x in part], dtype=np.int64)
     starts = np.concatenate([[0], np.cumsum(counts)[:-1]])
-    hashes = joint(unit_hash, units.anchor)
+    hashes = units.anchors(unit_hash)
     keys = (mixed(hashes) & ~_PLACE) | np.arange(len(hashes), dtype=np.uint64)
     minimiser = (sliding_least(keys, units.window - units.anchor + 1) & _PLACE).astype(np.int64)
     edge = np.zeros(len(minimiser) + 1, dtype=np.int8)
@@ -182,6 +212,12 @@ class Pieces:
         order = np.lexsort((joined[3], joined[1], joined[0], joined[2]))
         return cls([x[order] for x in joined], [texts[i] for i in order.tolist()])
 
+    def parts(self, most: int) -> list[Pieces]:
+        """The pieces in stretches of about `most` windows; a longer piece stands alone."""
+        part = np.cumsum(self.meta[4], dtype=np.int64) // most
+        cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(part)]
+        return [Pieces([x[a:b] for x in self.meta], self.texts[a:b]) for a, b in zip(cuts, cuts[1:], strict=False) if b > a]
+
     def spans(self, which: np.ndarray, start: np.ndarray, end: np.ndarray) -> list[np.ndarray]:
         """SPAN arrays of unit ranges in pieces."""
         return [self.meta[0][which], self.meta[1][which], self.meta[2][which], start, end]

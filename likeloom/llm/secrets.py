@@ -9,7 +9,8 @@ say) has the query TRUE and is verified on every document of the block.
 An index lives as long as its block (shared.BLOCK_BYTES of text, or one longer document), so
 memory is bounded, nothing is shuffled, and a lost executor only repeats its blocks.
 
-Edge cases: a null text counts as empty and has no spans; repeated rows are scanned each on its
+Edge cases: a null text counts as empty and has no spans; very long texts are a block of their own and
+take linear time, hostile ones too (runs that look like the start of a rule); repeated rows are scanned each on its
 own; an empty table gives an empty result; other columns are ignored by scan_secrets() and kept by
 redact_secrets().
 """
@@ -144,6 +145,8 @@ class Rule:
     group: int = 0
 
 
+#: A rule that begins with a long run of characters begins at the run's start: each run is read once,
+#: so that a text takes time in proportion to its length whatever stands in it.
 #: The first three are the base rules; spans that start together are listed in this order.
 RULES = (
     Rule("assign", r"""(?i:(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+))""", 6, 2),
@@ -154,10 +157,10 @@ RULES = (
     Rule("google", r"AIza[0-9A-Za-z_-]{35}"),
     Rule("stripe", r"[rs]k_(live|test)_[0-9A-Za-z]{16,}"),
     Rule("npm", r"npm_[A-Za-z0-9]{36}"),
-    Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
+    Rule("jwt", r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
     Rule("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
     Rule("bearer", r"(?i:bearer\x20+[A-Za-z0-9._~+/=-]{16,})"),
-    Rule("login", r"[a-z][a-z0-9+.-]*://[^\x00-\x20/:@]+:[^\x00-\x20/@]+@"),
+    Rule("login", r"(?<![a-z0-9+.-])[a-z][a-z0-9+.-]*://[^\x00-\x20/:@]+:[^\x00-\x20/@]+@"),
 )
 
 

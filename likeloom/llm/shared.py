@@ -16,7 +16,7 @@ from ..storage import release, store_of, workspace
 # Workers get these functions by value, so they need not have the package on their path.
 cloudpickle.register_pickle_by_value(sys.modules[__name__.split(".")[0]])
 
-__all__ = ["Table", "arrow_pass", "blocks", "packed", "release", "shuffle_width", "stage", "texts_of", "unpacked", "unused"]
+__all__ = ["Table", "arrow_pass", "blocks", "packed", "release", "shuffle_width", "stage", "texts_of", "unpacked", "unused", "workspace"]
 
 #: Documents are worked on in blocks of about this many bytes, however many rows an Arrow batch has.
 BLOCK_BYTES = 4 << 20

@@ -258,15 +258,25 @@ def classes(prints: DataFrame) -> DataFrame:
     return rooted.select("fingerprint", "root").join(least, "root").select("fingerprint", "first")
 
 
+def row_hash(docs: DataFrame) -> Column:
+    """A hash of all columns of a row, nulls told apart; maps, which have no hash, as text."""
+    plain = [F.to_json(F.struct(F.col(f"`{f.name}`"))) if "map<" in f.dataType.simpleString() else F.col(f"`{f.name}`") for f in docs.schema.fields]
+    empty = F.concat(*(F.when(F.col(f"`{x}`").isNull(), "1").otherwise("0") for x in docs.columns))
+    return F.xxhash64(empty, *plain)
+
+
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """The rows of docs, all columns, that are the first of their component: smallest doc_id (null last), then hash of text; of equal rows one."""
-    key, row, own = unused(docs, "_key", "_row", "_own")
-    named = docs.withColumn(key, F.xxhash64(F.coalesce("text", F.lit(""))))
-    order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("hash").alias("hash"))
-    rows = stage(fingerprints(named.select("doc_id", F.col(key).alias("hash"), "text"), "doc_id", "hash"), "fingerprints")
+    """The rows of docs, all columns, that are the first of their component: smallest doc_id (null last), then hash of text, then hash of the row; of equal rows one.
+
+    Components are made of the fingerprints alone. Texts are shuffled once, to meet the rows that stay.
+    """
+    key, row, own, place = unused(docs, "_key", "_row", "_own", "_place")
+    named = docs.withColumns({key: F.xxhash64(F.coalesce("text", F.lit(""))), row: row_hash(docs), own: F.coalesce(F.col("doc_id").cast("long"), F.lit(0))})
+    order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("hash").alias("hash"), F.col("row").alias("row"))
+    rows = stage(fingerprints(named.select("doc_id", F.col(key).alias("hash"), F.col(row).alias("row"), "text"), "doc_id", "hash", "row"), "fingerprints")
     first = classes(rows.groupBy("fingerprint").agg(F.min(order).alias("first"))).select("first").distinct()
-    kept = first.select(F.col("first.id").alias(own), F.col("first.hash").alias(row))
-    left = named.join(kept, F.col("doc_id").eqNullSafe(F.col(own)) & (F.col(key) == F.col(row)), "left_semi")
-    # Equal rows are side by side after the join; one of them stays.
-    numbered = left.withColumn(row, F.row_number().over(Window.partitionBy("doc_id", key).orderBy(key)))
-    return numbered.filter(F.col(row) == 1).drop(key, row)
+    kept = first.select(F.col("first.row").alias(row), F.coalesce("first.id", F.lit(0)).alias(own))
+    left = named.join(kept, [row, own], "left_semi")
+    # The join has brought rows with these keys together: equal rows are numbered without a further shuffle, and one of them stays.
+    numbered = left.withColumn(place, F.row_number().over(Window.partitionBy(row, own).orderBy(key)))
+    return numbered.filter(F.col(place) == 1).select(*(F.col(f"`{x}`") for x in docs.columns))

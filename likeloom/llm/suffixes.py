@@ -4,8 +4,8 @@ The bytes of a document that a WINDOW-byte string covers which also starts earli
 
 Groups of documents (repeats.py) are dealt into batches, and the family takes in batch after batch:
  * each group of a batch gets the suffix array of its texts, as far as their minimisers stand more
-   than once in the corpus (suffixes by their first WINDOW bytes, by prefix doubling). Neighbours with
-   WINDOW bytes in common are repeats: the earliest stays, the others are covered; the distinct
+   than once in the corpus (suffixes by their first WINDOW bytes). Neighbours with WINDOW bytes in
+   common are repeats: the earliest stays, the others are covered; the distinct
    suffixes left go, as texts, to the buckets of their minimisers;
  * a bucket of the batch gets the suffix array of what its groups sent, and is merge-scanned against
    the same bucket's sorted array of every level there is; of two equal windows the later is covered;
@@ -21,7 +21,7 @@ its result; an empty table gives an empty result.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -30,16 +30,16 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .repeats import BYTE_HASH, META, PART_UNITS, SPAN, Corpus, Deal, Local, Pieces, Units, one_by_one, ordered, ranges, span_rows
+from .repeats import BYTE_HASH, META, PART_UNITS, SPAN, Corpus, Deal, Local, Pieces, Units, one_by_one, polynomial, ranges, span_rows
 from .shared import Table, packed, unpacked
 
 WINDOW, ANCHOR = 100, 32
 #: Batches that the corpus comes in.
 BATCHES = 4
-#: Bytes of text that one suffix array within a group is made for.
-BATCH_BYTES = 4 << 20
+#: Bytes of text that one suffix array within a group is made for, and windows of one within a bucket.
+BATCH_BYTES, PART = 2 << 20, 1 << 20
 #: A merge-scan holds the windows of so many suffixes of a level at once.
-SCAN = 1 << 17
+SCAN = 1 << 16
 
 
 class ByteUnits(Units):
@@ -54,6 +54,10 @@ class ByteUnits(Units):
         text = b"".join(parts)
         return text, BYTE_HASH[np.frombuffer(text, dtype=np.uint8)], None, None
 
+    def anchors(self, unit_hash: np.ndarray) -> np.ndarray:
+        at = np.arange(len(unit_hash) - ANCHOR + 1)
+        return polynomial(unit_hash, at, at + ANCHOR)
+
     def windows(self, text: bytes) -> list[bytes]:
         return [text[i : i + WINDOW] for i in range(len(text) - WINDOW + 1)]
 
@@ -64,19 +68,22 @@ class ByteUnits(Units):
 # ---- suffix arrays -------------------------------------------------------------------------------
 
 
-def window_ranks(text: np.ndarray) -> np.ndarray:
-    """The rank of each place's suffix by its first WINDOW bytes; places nearer to the end than that have ranks of no use."""
-    keys, have = np.concatenate([text, np.zeros(8, dtype=np.uint8)]).astype(np.uint64), 1
-    while have < 8:
-        keys = (keys[: len(keys) - have] << np.uint64(8 * have)) | keys[have:]
-        have *= 2
-    return ordered(keys[: len(text)], 8, WINDOW)[1]
+def windows_at(text: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """The windows at places of a text as fixed-width byte strings, which numpy orders as bytes."""
+    if not len(starts):
+        return np.zeros(0, dtype=f"S{WINDOW}")
+    view = np.lib.stride_tricks.sliding_window_view(text, WINDOW)
+    return np.ascontiguousarray(view[starts]).view(f"S{WINDOW}").ravel()
 
 
-def first_of_equals(text: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of the windows at ascending starts: which are the first of their content, and those in the order of the suffix array."""
-    rank = window_ranks(text)[starts]
-    _, index = np.unique(rank, return_index=True)
+def suffix_array(text: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The suffixes at ascending starts ordered by their first WINDOW bytes, which is as far as a repeat must reach: which are the first of their content, and those by number in their order."""
+    windows = windows_at(text, starts)
+    order = np.argsort(windows, kind="stable")  # of equal ones the earliest comes first
+    windows = windows[order]
+    new = np.ones(len(order), dtype=bool)
+    new[1:] = windows[1:] != windows[:-1]
+    index = order[new]
     fresh = np.zeros(len(starts), dtype=bool)
     fresh[index] = True
     return fresh, index
@@ -118,7 +125,7 @@ class GroupArrays(Local):
         before = np.concatenate([[0], np.cumsum(windows)])
         starts = np.arange(before[-1]) + np.repeat(at - before[:-1], windows)
         text = bytes(self.text)
-        fresh, _ = first_of_equals(np.frombuffer(text, dtype=np.uint8), starts)
+        fresh, _ = suffix_array(np.frombuffer(text, dtype=np.uint8), starts)
         owner = np.repeat(np.arange(len(windows)), windows)
         for flags, own in ((~fresh, False), (fresh, True)):
             a, b = ranges(flags, before)
@@ -168,11 +175,17 @@ class Level:
         return zstandard.ZstdCompressor(level=1).compress(packed(*arrays) + self.text.tobytes())
 
     def windows(self, a: int, b: int) -> np.ndarray:
-        """The windows a to b of the order as fixed-width byte strings, which numpy orders as bytes."""
-        if b <= a:
-            return np.zeros(0, dtype=f"S{WINDOW}")
-        view = np.lib.stride_tricks.sliding_window_view(self.text, WINDOW)
-        return np.ascontiguousarray(view[self.order[a:b]]).view(f"S{WINDOW}").ravel()
+        """The windows a to b of the order."""
+        return windows_at(self.text, self.order[a:b])
+
+    def reach(self, window: bytes, after: bool) -> int:
+        """How many windows come before one, or, with `after`, before or equal to it."""
+        low, high = 0, len(self.order)
+        while low < high:
+            middle = (low + high) // 2
+            one = self.windows(middle, middle + 1)[0]
+            low, high = (middle + 1, high) if one < window or (after and one == window) else (low, middle)
+        return low
 
     def places(self, which: np.ndarray) -> tuple[np.ndarray, ...]:
         """(null id, id, key, first byte) of windows by their numbers in the order."""
@@ -185,12 +198,15 @@ class Level:
 
 
 def scan(level: Level, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Merge-scan of ascending windows against a level: where each belongs in it, and whether it is there."""
+    """Merge-scan of ascending windows against a level: where each belongs in it, and whether it is there. Only the part of the level between the first and the last is read."""
     where, there = np.zeros(len(own), dtype=np.int64), np.zeros(len(own), dtype=bool)
-    at, size = 0, len(level.order)
-    for a in range(0, size, SCAN):
-        chunk = level.windows(a, min(a + SCAN, size))
-        end = len(own) if a + len(chunk) == size else int(np.searchsorted(own, chunk[-1], side="right"))
+    if not len(own):
+        return where, there
+    at, start, stop = 0, level.reach(own[0], False), level.reach(own[-1], True)
+    where[:] = start
+    for a in range(start, stop, SCAN):
+        chunk = level.windows(a, min(a + SCAN, stop))
+        end = len(own) if a + len(chunk) == stop else int(np.searchsorted(own, chunk[-1], side="right"))
         found = np.searchsorted(chunk, own[at:end])
         where[at:end] = a + found
         there[at:end] = chunk[np.minimum(found, len(chunk) - 1)] == own[at:end]
@@ -198,6 +214,12 @@ def scan(level: Level, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return where, there
 
 
+def scanned(new: Level, level: Level) -> tuple[np.ndarray, np.ndarray]:
+    """scan() of a level's windows against another's."""
+    parts = [scan(level, new.windows(a, min(a + SCAN, len(new.order)))) for a in range(0, len(new.order), SCAN)]
+    return tuple(np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, dtype=np.int64), np.zeros(0, dtype=bool))
+
+
 def earlier(a: tuple[np.ndarray, ...], b: tuple[np.ndarray, ...]) -> np.ndarray:
     """Whether places a come before places b."""
     out, same = np.zeros(len(a[0]), dtype=bool), np.ones(len(a[0]), dtype=bool)
@@ -207,25 +229,29 @@ def earlier(a: tuple[np.ndarray, ...], b: tuple[np.ndarray, ...]) -> np.ndarray:
     return out
 
 
-def matched(new: Level, level: Level) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Numbers of equal windows in both, and whether the new one is the earlier."""
-    mine, other = [], []
-    for a in range(0, len(new.order), SCAN):
-        where, there = scan(level, new.windows(a, min(a + SCAN, len(new.order))))
-        mine.append(a + np.flatnonzero(there))
-        other.append(where[there])
-    i, j = (np.concatenate(x) if x else np.zeros(0, dtype=np.int64) for x in (mine, other))
-    return i, j, earlier(new.places(i), level.places(j))
+Cover = Callable[[tuple[np.ndarray, ...]], None]
 
 
-def merged(old: Level, new: Level) -> Level:
+def beaten(new: Level, old: Level, there: np.ndarray, where: np.ndarray, cover: Cover) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of new and of old windows that stand in the other before, which cover() is told of."""
+    i = np.flatnonzero(there)
+    j = where[i]
+    mine, theirs = new.places(i), old.places(j)
+    first = earlier(mine, theirs)
+    cover(tuple(x[~first] for x in mine))
+    cover(tuple(x[first] for x in theirs))
+    return i[~first], j[first]
+
+
+def merged(old: Level, new: Level, cover: Cover) -> Level:
     """Both as one; of equal windows the earlier stays."""
     if not len(old.order) or not len(new.order):
         return old if len(old.order) else new
-    i, j, first = matched(new, old)
-    new, old = new.without(i[~first]), old.without(j[first])
-    where = [scan(old, new.windows(a, min(a + SCAN, len(new.order))))[0] for a in range(0, len(new.order), SCAN)] if len(old.order) else [np.zeros(len(new.order), dtype=np.int64)]
-    order = np.insert(old.order.astype(np.int64), np.concatenate(where) if where else [], new.order + len(old.text))
+    where, there = scanned(new, old)
+    lost, gone = beaten(new, old, there, where, cover)
+    where = np.delete(where, lost) - np.searchsorted(gone, np.delete(where, lost))
+    new, old = new.without(lost), old.without(gone)
+    order = np.insert(old.order.astype(np.int64), where, new.order + len(old.text))
     pieces = [np.concatenate([x, y]) for x, y in zip(old.pieces[:4], new.pieces[:4], strict=True)]
     return Level(np.concatenate([old.text, new.text]), [*pieces, np.concatenate([old.pieces[4], new.pieces[4] + len(old.text)])], order)
 
@@ -235,7 +261,7 @@ def array_of(pieces: Pieces) -> tuple[Level, list[np.ndarray]]:
     ids, keys, none, first, windows, lengths, _ = pieces.meta
     text = np.frombuffer(b"".join(pieces.texts), dtype=np.uint8)
     starts, before = window_starts(lengths, windows)
-    fresh, index = first_of_equals(text, starts)
+    fresh, index = suffix_array(text, starts)
     owner = np.repeat(np.arange(len(windows)), windows)
     a, b = ranges(~fresh, before)
     run = owner[a]
@@ -245,26 +271,34 @@ def array_of(pieces: Pieces) -> tuple[Level, list[np.ndarray]]:
 
 
 def taken_in(new: Pieces, levels: dict[int, Level], absorbed: set[int], keep: bool) -> tuple[Level | None, list[np.ndarray]]:
-    """A bucket's step: the level that new and the absorbed levels become, if it is to be kept, and the spans covered."""
-    level, spans = array_of(new) if len(new.texts) else (None, [np.zeros(0, dtype=kind) for kind in SPAN])
-    covered = [spans]
+    """A bucket's step: the level that new and the absorbed levels become, if it is to be kept, and the spans covered.
+
+    A batch with more windows in the bucket than PART comes in parts, in the order of places; those
+    before a part are a level of their own to it.
+    """
+    covered: list[list[np.ndarray]] = [[np.zeros(0, dtype=kind) for kind in SPAN]]
+    own: Level | None = None
 
     def cover(places: tuple[np.ndarray, ...]) -> None:
         none, ids, keys, first = places
         covered.append([ids, keys, none, first, first + WINDOW])
 
-    for old in levels.values():
-        if level is None or not len(level.order):
-            break
-        i, j, first = matched(level, old)
-        cover(level.places(i[~first]))
-        cover(old.places(j[first]))
-        level = level.without(i[~first])
-    out = None
-    if keep:
-        parts = [*(levels[n] for n in sorted(absorbed) if n in levels), *([compact(level)] if level is not None else [])]
-        out = reduce(merged, parts) if parts else None
-    return out, [np.concatenate(x).astype(kind) for x, kind in zip(zip(*covered, strict=True), SPAN, strict=True)]
+    parts = new.parts(PART)
+    for n, part in enumerate(parts):
+        level, spans = array_of(part)
+        covered.append(spans)
+        for name, old in levels.items():
+            if name not in absorbed:
+                where, there = scanned(level, old)
+                level = level.without(beaten(level, old, there, where, cover)[0])
+        if keep or absorbed or n < len(parts) - 1:
+            own = compact(level) if own is None else merged(own, compact(level), cover)
+        elif own is not None:
+            beaten(level, own, *reversed(scanned(level, own)), cover)
+    for name in sorted(absorbed, reverse=True):  # the newest and smallest first
+        if name in levels:
+            own = levels[name] if own is None else merged(levels[name], own, cover)
+    return own if keep else None, [np.concatenate(x).astype(kind) for x, kind in zip(zip(*covered, strict=True), SPAN, strict=True)]
 
 
 def compact(level: Level) -> Level:

@@ -20,28 +20,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .repeats import BYTE_HASH, META, PART_UNITS, SPAN, Corpus, Deal, Local, Pieces, Units, by_bucket, mixed, one_by_one, ordered, ranges, span_rows
+from .repeats import BYTE_HASH, META, PART_UNITS, SPAN, Corpus, Deal, Local, Pieces, Units, by_bucket, one_by_one, ordered, polynomial, ranges, span_rows
 
 WINDOW, ANCHOR = 20, 6
 
-_BASE = 0xD1342543DE82EF95
-_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """_BASE to the powers 0 to n - 1 and their inverses, mod 2 ** 64."""
-    size = max(1 << 16, 1 << n.bit_length())
-    if size not in _POWERS:
-        both = []
-        for base in (_BASE, pow(_BASE, -1, 1 << 64)):
-            steps = np.full(size, np.uint64(base))
-            steps[0] = 1
-            both.append(np.multiply.accumulate(steps))
-        _POWERS.clear()
-        _POWERS[size] = tuple(both)
-    return _POWERS[size]
-
-
 class WordUnits(Units):
     window, anchor = WINDOW, ANCHOR
 
@@ -55,9 +37,7 @@ class WordUnits(Units):
         codes = np.frombuffer(text, dtype=np.uint8)
         ends = np.concatenate([np.flatnonzero(codes == 32), [len(codes)]])
         starts = np.concatenate([[0], ends[:-1] + 1])
-        power, inverse = _powers(len(codes))
-        sums = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(BYTE_HASH[codes] * power[: len(codes)], dtype=np.uint64)])
-        return text, mixed((sums[ends] - sums[starts]) * inverse[starts]), starts, ends
+        return text, polynomial(BYTE_HASH[codes], starts, ends), starts, ends
 
     def windows(self, text: bytes) -> list[bytes]:
         return windows_of(text)

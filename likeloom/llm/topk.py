@@ -1,14 +1,18 @@
 """Exact top-k search by inner product with multi-resolution segment statistics.
 
-A vector is cut into equal segments, coarse to fine. With each segment's mean and deviation,
+A vector is cut into segments, coarse to fine. With each segment's mean and deviation,
 Cauchy-Schwarz bounds what two segments can add to the inner product:
   sum(q * x) <= m * (mean(q) * mean(x) + dev(q) * dev(x))   for m components,
 which, with the vectors' norms, is the same as a lower bound of their distance. Each level bounds
 the survivors of the level before; those whose bound stays below the query's k-th best score so
-far go, and the rest get their exact integer score.
+far go. The last level has pairs of components and single ones in turn. Of what survives it, each
+query's most promising candidates get their exact integer scores first, which raises the k-th best
+for the rest.
 
-Queries are worked in blocks of a fixed size, which are the only thing that is broadcast; each
-task keeps the k best per query of what it has seen, so k rows a query and task are shuffled.
+Queries are put down as a table in blocks of about QUERY_BLOCK. Block by block they come to the driver,
+go to the tasks of one pass over the vectors, and leave again when that pass's answers are written, so
+neither the driver's memory nor a plan grows with the queries. A task keeps the k best per query of
+what it has seen, so k rows a query and task are shuffled.
 
 Scores are exact: components are integers floor(scale * x), and products are summed in doubles
 only where they stay below 2 ** 53, else in Python integers. Scores beyond a long are put as its
@@ -23,21 +27,20 @@ and such a query is its first vector in ascending order; queries without candida
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .shared import Table, workspace
+
 #: Queries broadcast and searched at once: with 64 components, 1 MB.
 QUERY_BLOCK = 2048
 #: Candidates compared with a query block at once.
 TILE = 512
-#: Segments of the levels, coarse to fine.
-LEVELS = (1, 4, 16)
-#: Where more than this part of a tile survives, a level is worked densely.
-DENSE = 0.2
+#: Pairs of a query and a candidate that are scored at once.
+PAIRS = 1 << 16
 
 LONG = (-(1 << 63), (1 << 63) - 1)
 
@@ -55,24 +58,34 @@ def integers(rows: list[list[float]], scale: float, width: int) -> np.ndarray:
     return np.floor(out * scale)
 
 
+def levels(width: int) -> list[np.ndarray]:
+    """The first components of the segments at each level: 1, 4, 16... segments, then pairs, then pairs and single components in turn."""
+    counts = [4**i for i in range(16) if 4**i < width / 2] or [1]
+    out = [np.unique(np.arange(n) * width // n) for n in counts]
+    if width > 2:
+        pairs = np.arange(0, width, 2)
+        out += [pairs, np.union1d(pairs, np.arange(1, width, 4))]
+    return out
+
+
 class Block:
     """Queries with their statistics at each level."""
 
     def __init__(self, ids: list[int], vectors: np.ndarray, k: int):
         self.ids, self.vectors, self.k = np.array(ids, dtype=np.int64), vectors, k
-        self.stats = [statistics(vectors, n) for n in LEVELS]
+        self.levels = levels(max(1, vectors.shape[1]))
+        self.stats = [statistics(vectors, starts) for starts in self.levels]
 
 
-def statistics(vectors: np.ndarray, segments: int) -> np.ndarray:
-    """sqrt(m) * (mean, deviation) of each segment, side by side; the dot product of two rows is the bound."""
+def statistics(vectors: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """sqrt(m) * (mean, deviation) of each segment, side by side; the dot product of two rows is the bound. Single components have no deviation."""
     n, width = vectors.shape
-    m = -(-width // segments) if width else 1
-    cut = np.zeros((n, m * segments))
-    cut[:, :width] = vectors
-    cut = cut.reshape(n, segments, m)
-    mean = cut.mean(axis=2)
-    deviation = np.sqrt(np.maximum(((cut - mean[:, :, None]) ** 2).mean(axis=2), 0))
-    return np.sqrt(m) * np.hstack([mean, deviation])
+    if not width:
+        return np.zeros((n, 1))
+    m = np.diff(np.append(starts, width))
+    mean = np.add.reduceat(vectors, starts, axis=1) / m
+    square = np.add.reduceat((vectors - np.repeat(mean, m, axis=1)) ** 2, starts, axis=1)
+    return np.hstack([np.sqrt(m) * mean, np.sqrt(square[:, m > 1])])
 
 
 def exact_scores(left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -90,6 +103,8 @@ class Best:
     def __init__(self, block: Block):
         n = len(block.ids)
         self.block = block
+        #: Pairs of a query and a candidate met, and scored exactly.
+        self.met = self.scored = 0
         self.scores = np.full((n, block.k), LONG[0], dtype=np.int64)
         self.ids = np.full((n, block.k), LONG[1], dtype=np.int64)
         self.filled = np.zeros((n, block.k), dtype=bool)
@@ -115,37 +130,32 @@ class Best:
     def search(self, ids: np.ndarray, vectors: np.ndarray) -> None:
         """Takes in candidates, at most TILE of them."""
         block, least = self.block, self.least()
-        slack = 1e-9 * (1 + np.abs(np.where(np.isfinite(least), least, 0)))
-        pairs = None
-        for level, queries in zip(LEVELS, block.stats, strict=True):
-            stats = statistics(vectors, level)
-            # Rounding of the bound itself, in proportion to the norms.
+        rows, columns = np.arange(len(block.ids)), np.arange(len(ids))
+        alive = block.ids[:, None] != ids
+        self.met += int(alive.sum())
+        for starts, queries in zip(block.levels, block.stats, strict=True):
+            stats = statistics(vectors[columns], starts)
+            bound = queries[rows] @ stats.T
+            # Rounding of the bound itself, in proportion to the norms, and of the score.
             error = 1e-9 * (1 + np.sqrt((queries**2).sum(axis=1).max(initial=0) * (stats**2).sum(axis=1).max(initial=0)))
-            floor = least - slack - error
-            if pairs is None:
-                alive = queries @ stats.T >= floor[:, None]
-                alive &= block.ids[:, None] != ids
-                if alive.sum() > DENSE * alive.size:
-                    continue  # a finer level over the whole tile costs less than over its pairs
-                pairs = np.nonzero(alive)
-            else:
-                bound = np.einsum("ij,ij->i", queries[pairs[0]], stats[pairs[1]])
-                ok = bound >= floor[pairs[0]]
-                pairs = pairs[0][ok], pairs[1][ok]
-        big = max(np.abs(block.vectors).max(initial=0), np.abs(vectors).max(initial=0))
-        if pairs is None and big**2 * max(vectors.shape[1], 1) < 2**53:
-            scores = block.vectors @ vectors.T
-            pairs = np.nonzero((block.ids[:, None] != ids) & (scores >= floor_of(least)[:, None]))
-            found = scores[pairs].astype(np.int64)
-        else:
-            pairs = np.nonzero(block.ids[:, None] != ids) if pairs is None else pairs
-            found = exact_scores(block.vectors[pairs[0]], vectors[pairs[1]])
-        self.add(pairs[0], found, ids[pairs[1]])
-
-
-def floor_of(least: np.ndarray) -> np.ndarray:
-    """Doubles that no exact score worth keeping is below."""
-    return np.where(np.isfinite(least), least - 1 - 1e-9 * np.abs(np.where(np.isfinite(least), least, 0)), -np.inf)
+            bound += error + 1e-9 * (1 + np.abs(np.where(np.isfinite(least[rows]), least[rows], 0)))[:, None]
+            alive &= bound >= least[rows][:, None]
+            kept, left = alive.any(axis=1), alive.any(axis=0)  # what no pair is left of goes before the next level
+            rows, columns, alive, bound = rows[kept], columns[left], alive[np.ix_(kept, left)], bound[np.ix_(kept, left)]
+        if not alive.size:
+            return
+        first, some = np.zeros_like(alive), min(2 * block.k, alive.shape[1])
+        best = np.argpartition(np.where(alive, -bound, np.inf), some - 1, axis=1)[:, :some]
+        np.put_along_axis(first, best, True, axis=1)
+        self._score(rows, columns, alive & first, ids, vectors)
+        self._score(rows, columns, alive & ~first & (bound >= self.least()[rows][:, None]), ids, vectors)
+
+    def _score(self, rows: np.ndarray, columns: np.ndarray, chosen: np.ndarray, ids: np.ndarray, vectors: np.ndarray) -> None:
+        i, j = np.nonzero(chosen)
+        self.scored += len(i)
+        for a in range(0, len(i), PAIRS):
+            query, candidate = rows[i[a : a + PAIRS]], columns[j[a : a + PAIRS]]
+            self.add(query, exact_scores(self.block.vectors[query], vectors[candidate]), ids[candidate])
 
 
 def _search(block: Block, scale: float):
@@ -164,28 +174,21 @@ def _search(block: Block, scale: float):
 
 
 def top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: float = 256.0) -> DataFrame:
-    """(query_id, rank, vec_id, score) of the k best candidates of each query. vectors: (vec_id, embedding).
-
-    A driver loop runs over blocks of QUERY_BLOCK queries; each block is one pass over the vectors.
-    """
-    spark = vectors.sparkSession
+    """(query_id, rank, vec_id, score) of the k best candidates of each query. vectors: (vec_id, embedding)."""
+    spark, width = vectors.sparkSession, "query_id long, rank int, vec_id long, score long"
     clean = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"), is_query.alias("_query"))
     clean = clean.filter(F.col("vec_id").isNotNull() & _clean(F.col("embedding")))
     queries = clean.filter("_query").groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
-    total = queries.count()
-    blocks = max(1, -(-total // QUERY_BLOCK))
-    found = []
-    numbered = queries.withColumn("_block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)))
-    for b in range(blocks):
-        # About QUERY_BLOCK rows: their number is set by the count above, not by the table.
-        rows = numbered.filter(F.col("_block") == b).select("vec_id", "embedding").toArrow().to_pydict()
-        if not rows["vec_id"]:
-            continue
-        width = max(map(len, rows["embedding"]))
-        block = Block(rows["vec_id"], integers(rows["embedding"], scale, width), k)
-        found.append(clean.select("vec_id", "embedding").mapInArrow(_search(block, scale), "query_id long, vec_id long, score long"))
-    if not found:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    blocks = max(1, -(-clean.filter("_query").count() // QUERY_BLOCK))
+    asked = Table(queries.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int")), "queries", by=("block",))
+    answers = workspace(spark, "nearest")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    ranked = reduce(DataFrame.unionByName, found).withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
-    return ranked.select("query_id", "rank", "vec_id", "score")
+    for b in range(blocks):
+        rows = asked.read(b).toArrow().to_pydict()  # about QUERY_BLOCK rows, whatever the table's size
+        if rows["vec_id"]:
+            block = Block(rows["vec_id"], integers(rows["embedding"], scale, max(map(len, rows["embedding"]))), k)
+            found = clean.select("vec_id", "embedding").mapInArrow(_search(block, scale), "query_id long, vec_id long, score long")
+            ranked = found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
+            ranked.select("query_id", "rank", "vec_id", "score").write.parquet(f"{answers}/block={b}")
+        asked.drop(b)
+    return spark.read.schema(f"{width}, block int").parquet(answers).drop("block")

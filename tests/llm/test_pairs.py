@@ -8,6 +8,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 import xxhash
 from hypothesis import given, settings
@@ -114,6 +115,16 @@ def test_simhash_awkward(awkward, nothing, awkward_rows):
     assert kept.columns == awkward.columns and kept.count() == len(set(roots.values()))
 
 
+def test_the_row_that_stays_does_not_depend_on_partitions(spark):
+    text = "one two three four five six"
+    rows = [(1, text, f"s{i}", None if i else 3) for i in range(4)] + [(2, text, "s9", 1), (None, text, "s", 1), (1, text, "s3", None)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string, n int").withColumn("more", F.create_map(F.lit("k"), F.col("source")))
+    kept = {tuple(map(str, r)) for n in (1, 2, 5) for r in simhash.drop_near_duplicates(df.repartition(n)).collect()}
+    assert len(kept) == 1
+    same = spark.createDataFrame([(1, text, "s", 1)] * 5, "doc_id bigint, text string, source string, n int")
+    assert simhash.drop_near_duplicates(same.repartition(3)).count() == 1
+
+
 def test_op2_equals_brute_force(spark, sf_dir):
     docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
     prints = {i: plain_print(t) for i, t in docs.items()}
@@ -166,13 +177,27 @@ def test_topk_awkward(spark):
     assert topk.top_k(one, F.lit(True)).collect() == []
 
 
-def test_bounds_hold():
+@pytest.mark.parametrize("width", [1, 2, 3, 37, 64])
+def test_bounds_hold(width):
     rng = np.random.default_rng(0)
-    x, y = np.floor(rng.normal(size=(40, 37)) * 100), np.floor(rng.normal(size=(50, 37)) * 100)
+    x, y = np.floor(rng.normal(size=(40, width)) * 100), np.floor(rng.normal(size=(50, width)) * 100)
     exact = x @ y.T
-    for a, b in itertools.pairwise(topk.LEVELS):
-        coarse, fine = (topk.statistics(x, n) @ topk.statistics(y, n).T for n in (a, b))
-        assert (coarse >= exact - 1e-6).all() and (fine >= exact - 1e-6).all() and fine.mean() <= coarse.mean()
+    bounds = [topk.statistics(x, starts) @ topk.statistics(y, starts).T for starts in topk.levels(width)]
+    assert all((b >= exact - 1e-6).all() for b in bounds)
+    assert all(fine.mean() <= coarse.mean() for coarse, fine in itertools.pairwise(bounds))
+
+
+@pytest.mark.parametrize("sf", ["0.01", "0.1"])
+def test_bounds_spare_most_exact_scores(sf):
+    """On the given embeddings, which have no structure, under half of the pairs are scored."""
+    rows = pq.read_table(f"/root/testdata/sf{sf}/embeddings.parquet").to_pydict()
+    ids, vectors = np.array(rows["vec_id"]), topk.integers(rows["embedding"], 256.0, 64)
+    asked = ids % 50 == 0
+    best = topk.Best(topk.Block(ids[asked].tolist(), vectors[asked], 5))
+    for a in range(0, len(ids), topk.TILE):
+        best.search(ids[a : a + topk.TILE], vectors[a : a + topk.TILE])
+    assert best.met == asked.sum() * (len(ids) - 1) and 0 < best.scored < 0.5 * best.met
+    print(best.scored / best.met)
 
 
 def test_op5_equals_sql(same):
@@ -270,6 +295,7 @@ def test_long_documents_in_parts(spark, copies, monkeypatch):
     monkeypatch.setattr(repeats, "HASH_BLOCK", 700)
     monkeypatch.setattr(suffixes, "BATCH_BYTES", 500)
     monkeypatch.setattr(suffixes, "SCAN", 50)
+    monkeypatch.setattr(suffixes, "PART", 200)
     rows = copies[:25]
     for operator, window, units in ((suffixes.remove_repeated_strings, suffixes.WINDOW, bytes_of), (superkmers.remove_repeated_words, superkmers.WINDOW, words_of)):
         check_removed(spark, rows, operator, window, units)
@@ -309,8 +335,10 @@ def texts_with_repeats(rng, n):
     return [base[rng.integers(4)][rng.integers(60) :] + bytes(rng.integers(97, 99, int(rng.integers(120)), dtype=np.uint8)) for _ in range(n)]
 
 
-def test_levels_take_in_batches_in_any_order():
+@pytest.mark.parametrize("part", [150, 1 << 20])
+def test_levels_take_in_batches_in_any_order(part, monkeypatch):
     """Buckets' steps against a plain table of windows, with the batches' places out of order and levels absorbed or not."""
+    monkeypatch.setattr(suffixes, "PART", part)
     rng = np.random.default_rng(4)
     texts = texts_with_repeats(rng, 60)
     where = rng.permutation(60)
