@@ -57,17 +57,30 @@ def arms(observations: DataFrame, space: dict[str, tuple[tuple[int, ...], int]]
     return counts.select("algo_id", "param", "value", alpha.alias("alpha"), beta.alias("beta"), (alpha / (alpha + beta)).alias("win_rate"))
 
 
+def drawn_samples(bandit: DataFrame) -> DataFrame:
+    """bandit (…, seed) with sample, a draw from each arm's Beta."""
+
+    @F.pandas_udf("double")
+    def draw(seed: pd.Series, key: pd.Series, alpha: pd.Series, beta: pd.Series) -> pd.Series:
+        return pd.Series([np.random.default_rng([s, k & 0xFFFFFFFF, k >> 32 & 0xFFFFFFFF]).beta(a, b) for s, k, a, b in zip(seed, key, alpha, beta, strict=True)])
+
+    return bandit.withColumn("sample", draw("seed", F.xxhash64("algo_id", "param", "value"), "alpha", "beta"))
+
+
+def draw_moments(bandit: DataFrame, draws: int) -> DataFrame:
+    """(algo_id, param, value, mean, variance) of so many draws of each arm, with what they are expected to be."""
+    each = drawn_samples(bandit.withColumn("seed", F.explode(F.sequence(F.lit(0), F.lit(draws - 1)))))
+    whole = F.col("alpha") + F.col("beta")
+    found = each.groupBy("algo_id", "param", "value", "alpha", "beta").agg(F.avg("sample").alias("mean"), F.var_samp("sample").alias("variance"))
+    return found.select("algo_id", "param", "value", "mean", "variance", (F.col("alpha") / whole).alias("expected_mean"), (F.col("alpha") * F.col("beta") / (whole * whole * (whole + 1))).alias("expected_variance"))
+
+
 def thompson_draw(bandit: DataFrame, seed: int) -> DataFrame:
     """(algo_id, param, value, sample): the arm of each feed and parameter with the highest draw from its Beta; equal draws go to the smaller value.
 
     An arm's draw depends on the seed and the arm alone, so partitioning doesn't change it.
     """
-
-    @F.pandas_udf("double")
-    def draw(key: pd.Series, alpha: pd.Series, beta: pd.Series) -> pd.Series:
-        return pd.Series([np.random.default_rng([seed, k & 0xFFFFFFFF, k >> 32 & 0xFFFFFFFF]).beta(a, b) for k, a, b in zip(key, alpha, beta, strict=True)])
-
-    sampled = bandit.withColumn("sample", draw(F.xxhash64("algo_id", "param", "value"), "alpha", "beta"))
+    sampled = drawn_samples(bandit.withColumn("seed", F.lit(seed)))
     best = sampled.groupBy("algo_id", "param").agg(F.max_by(F.struct("value", "sample"), F.struct("sample", -F.col("value"))).alias("best"))
     return best.select("algo_id", "param", "best.value", "best.sample")
 

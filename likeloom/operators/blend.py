@@ -31,6 +31,13 @@ def random_page(candidates: DataFrame, limit: int, seed: str) -> DataFrame:
     return top(candidates, limit, ["algo_id"], seeded(seed, F.col("uri")), F.col("uri"), name="place").select("algo_id", "uri", "place")
 
 
+def first_page(tranche: DataFrame, candidates: DataFrame, limit: int, seed: str, excluded: DataFrame | None = None, n_excluded: int = 0) -> DataFrame:
+    """(algo_id, uri, place): each feed's first page of a ranked list; feeds whose list gives none get seeded random candidates (algo_id, uri)."""
+    page = tranche_page(tranche, limit, 0, excluded, n_excluded)
+    without = candidates.join(page.select("algo_id").distinct(), "algo_id", "left_anti")
+    return page.unionByName(random_page(without, limit, seed))
+
+
 def fallback_blend(tranches: DataFrame, limit: int, p: BlendParams = BlendParams(), offset: int = 0, excluded: DataFrame | None = None, n_excluded: int = 0) -> DataFrame:
     """(algo_id, uri, tranche, pos): the lists' shares of a page, a URI in its first list only, in turns.
 

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.expressions import paths_boost, popularity_penalty, seeded_unit, top
+from ..functions.expressions import hash16, paths_boost, popularity_penalty, seeded_unit, top
 from ..params import RankParams
 from . import colikers, graph, ranker
 
@@ -78,6 +78,55 @@ def walk_counts(likes: DataFrame, candidates: DataFrame, counts: DataFrame, like
     return out.fillna(0)
 
 
+def sample_likes(liked: DataFrame, window: DataFrame, n: int = 20) -> DataFrame:
+    """(user_id, post_id, like_ts, place, other_likers): each user's n latest likes used, with how many others had liked the post by then."""
+    by_then = Window.partitionBy("post_id").orderBy("like_ts").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    counted = window.withColumn("other_likers", F.count("*").over(by_then) - 1).select("user_id", "post_id", "other_likers")
+    return top(liked, n, ["user_id"], F.desc("like_ts"), F.col("post_id"), name="place").join(counted, ["user_id", "post_id"])
+
+
+def sample_colikers(weights: DataFrame, edges: DataFrame, liked: DataFrame, n: int = 20, shared: int = 5) -> DataFrame:
+    """(user_id, source_id, weight, place, shared, sample): each user's n best co-likers, the number of posts shared, and the latest of them.
+
+    sample: array of (like_ts, post_id, source_ts), the user's latest likes first.
+    """
+    best = top(weights, n, ["user_id"], F.desc("weight"), F.col("source_id"), name="place")
+    posts = edges.join(best.select("user_id", "source_id"), ["user_id", "source_id"], "left_semi").join(liked, ["user_id", "post_id"])
+    latest = Window.partitionBy("user_id", "source_id").orderBy(F.desc("like_ts"), "post_id")
+    numbered = posts.withColumn("n", F.row_number().over(latest))
+    each = F.when(F.col("n") <= shared, F.struct("n", "like_ts", "post_id", "source_ts"))
+    lists = numbered.groupBy("user_id", "source_id").agg(F.count("*").alias("shared"), F.array_sort(F.collect_list(each)).alias("sample"))
+    short = F.transform("sample", lambda x: F.struct(x["like_ts"].alias("like_ts"), x["post_id"].alias("post_id"), x["source_ts"].alias("source_ts")))
+    return best.join(lists, ["user_id", "source_id"]).withColumn("sample", short)
+
+
+def sample_posts(paths: DataFrame, scores: DataFrame, p: RankParams, n: int = 20, contributors: int = 10) -> DataFrame:
+    """The n best posts of each feed and user with the score's breakdown and the paths that add most to it."""
+    best = ranker.cut(scores, n)
+    theirs = paths.join(best.select("algo_id", "user_id", "post_id"), ["algo_id", "user_id", "post_id"], "left_semi")
+    return breakdown(best, top_contributors(theirs, contributors), p)
+
+
+#: What the sources of a page's posts count as.
+KINDS = {"post": "personal", "author": "personal", "popular": "fallback", "velocity": "fallback", "discovery": "fallback", "trending": "fallback", "pinned": "special", "rotating": "special", "sponsored": "special"}
+
+
+def audit_records(requests: DataFrame, pages: DataFrame) -> DataFrame:
+    """One record for each audited request (request_id, algo_id, user_id): its page's posts in order, and how many were personal, fallback and special.
+
+    pages: (algo_id, user_id, pos, uri, source). A request without a page has an empty list.
+    """
+    kind = F.element_at(F.create_map(*(F.lit(x) for pair in KINDS.items() for x in pair)), F.col("source"))
+    lists = pages.withColumn("kind", kind).groupBy("algo_id", "user_id").agg(
+        F.array_sort(F.collect_list(F.struct("pos", "uri", "source"))).alias("posts"),
+        *(F.count_if(F.col("kind") == k).alias(f"n_{k}") for k in dict.fromkeys(KINDS.values())),
+    )
+    found = requests.join(lists, ["algo_id", "user_id"], "left").withColumn("user", F.substring(hash16(F.col("user_id").cast("string")), 1, 12))
+    none = F.array().cast("array<struct<pos:int,uri:string,source:string>>")
+    posts = F.coalesce(F.col("posts").cast("array<struct<pos:int,uri:string,source:string>>"), none)
+    return found.select("request_id", "algo_id", "user", posts.alias("posts"), *(F.coalesce(f"n_{k}", F.lit(0)).alias(f"n_{k}") for k in dict.fromkeys(KINDS.values())))
+
+
 def feed_status(candidates: DataFrame, meta: DataFrame, tranches: DataFrame, now: int, ttl: int) -> DataFrame:
     """By feed of meta (algo_id, last_sync) or candidates: posts, tranche sizes, age of the sync, health and a diagnosis."""
     posts = candidates.groupBy("algo_id").agg(F.count("*").alias("posts"))

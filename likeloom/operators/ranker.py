@@ -190,6 +190,18 @@ def legacy_page(ranked: DataFrame, score: float, n: int, cached: bool, by: tuple
     return top(left, n + 1, list(by), F.desc("score"), F.col("post_id"), name="_place").filter("_place > 1").drop("_place")
 
 
+def cached_likers(cached: DataFrame, window: DataFrame, posts: DataFrame, n: int, now: int) -> DataFrame:
+    """(post_id, user_id, like_ts, hit): the n latest likers of posts (post_id), from the cache (…, expires_at) where it has the post and isn't stale, else made anew.
+
+    What is made anew is put in the cache by appending it with its expiry.
+    """
+    asked = posts.select("post_id").distinct()
+    live = fresh(cached, now, 0).join(asked, "post_id", "left_semi").select("post_id", "user_id", "like_ts")
+    missing = asked.join(live.select("post_id").distinct(), "post_id", "left_anti")
+    made = candidate_likers(window, missing, n).select("post_id", "user_id", "like_ts")
+    return live.withColumn("hit", F.lit(True)).unionByName(made.withColumn("hit", F.lit(False)))
+
+
 def fresh(cached: DataFrame, now: int, least: int = 60) -> DataFrame:
     """Rows of a result cache (…, expires_at) with more than `least` seconds left."""
     return cached.filter(F.col("expires_at") - now > least)

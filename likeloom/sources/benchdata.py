@@ -15,6 +15,7 @@ from ..functions.expressions import unix_seconds
 from ..operators import graph, tranches
 from ..params import DAY, HOUR
 from ..schema import POST_COLLECTION, SEEN_EVENT
+from ..storage import staged
 
 #: 2000-06-30 23:59:59 UTC, inside the data.
 NOW = 962_409_599
@@ -110,11 +111,11 @@ class Graph:
     def tranches(self) -> DataFrame:
         """(algo_id, tranche, uri, rank) for the assembly operators: all days count.
 
-        Kept, as the lists are stored tables where feeds are served: some hundred rows a feed.
+        Written once, as the lists are stored tables where feeds are served: some hundred rows a feed.
         """
         p = BENCH_TRANCHES
         lists = tranches.all_tranches(self.candidates, self.likes, self.posts, NOW, p).join(self.posts.select("post_id", "uri"), "post_id").select("algo_id", "tranche", "uri", "rank")
-        return lists.persist()
+        return staged(lists, "tranches")
 
 
 #: Half-lives to the data's scale; days of the data are counted whole.
