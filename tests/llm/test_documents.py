@@ -181,7 +181,8 @@ def test_some_accused_documents_are_kept(spark):
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
     measured = quality.document_measures(docs).filter(~quality.base_failed()).withColumn("votes", quality.votes_code())
     judged = measured.select("votes").join(quality.qualities(measured.drop("votes")), "votes")
-    accused = [r["quality"] for r in judged.collect() if any(r["votes"] // 3**i % 3 == 0 for i in range(len(quality.rules())))]
+    n = len(quality.rules())
+    accused = [r["quality"] for r in judged.collect() if any(r["votes"] // 3**i % 3 == 0 for i in range(n))]
     assert 0 < sum(q >= 0.5 for q in accused) < 0.2 * len(accused)
 
 
@@ -190,7 +191,8 @@ def test_quality_equals_plain_parts(spark, sf_dir):
     docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
     rows = [(i, *quality.measures(t)) for i, t in docs.items()]
     df = spark.createDataFrame(rows, ["doc_id", *quality.COUNTS, *quality.MORE])
-    votes = {r["doc_id"]: [r["v"] // 3**i % 3 - 1 for i in range(len(quality.rules()))] for r in df.filter(~quality.base_failed()).select("doc_id", quality.votes_code().alias("v")).collect()}
+    n = len(quality.rules())
+    votes = {r["doc_id"]: [r["v"] // 3**i % 3 - 1 for i in range(n)] for r in df.filter(~quality.base_failed()).select("doc_id", quality.votes_code().alias("v")).collect()}
     _, _, good = plain_em(np.array(list(votes.values())))
     kept = {i for i, g in zip(votes, good, strict=True) if g >= 0.5}
     assert {r["doc_id"] for r in Q.op6_quality(spark, sf_dir).collect() if r["kept"]} == kept
