@@ -37,7 +37,7 @@ WINDOW, ANCHOR = 100, 32
 #: Batches that the corpus comes in.
 BATCHES = 4
 #: Bytes of text that one suffix array within a group is made for, and windows of one within a bucket.
-BATCH_BYTES, PART = 2 << 20, 1 << 20
+BATCH_BYTES, PART = 1 << 20, 1 << 20
 #: A merge-scan holds the windows of so many suffixes of a level at once.
 SCAN = 1 << 16
 
