@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expressions import decay, top
@@ -48,10 +48,29 @@ def walk_weights(edges: DataFrame, liked: DataFrame, counts: DataFrame, now: int
 
 
 def weights(liked: DataFrame, likers: DataFrame, counts: DataFrame, now: int, p: RankParams) -> DataFrame:
-    edges = earlier_likers(liked, likers)
-    if not p.normalized:
-        return plain_weights(edges, now, p.half_life, p.max_total_sources)
-    return walk_weights(edges, liked, counts, now, p.half_life, p.max_total_sources, p.cap)
+    """plain_weights() or walk_weights() of the likes' earlier likers.
+
+    A like's sources go to the user's partition as two arrays, one row a like, with all that the weight
+    takes; there they are summed and cut, so that no edge is dealt out again.
+    """
+    share = decay(F.col("like_ts"), now, p.half_life, LN2)
+    if p.normalized:
+        known = likers.select("post_id", "user_id", "like_ts").join(counts.select("user_id", "like_count"), "user_id", "left")
+        likers = known.withColumn("share", share / F.greatest(F.coalesce("like_count", F.lit(1)), F.lit(1)))
+        liked = liked.withColumn("n_liked", F.count("*").over(Window.partitionBy("user_id")))
+    else:
+        likers, liked = likers.withColumn("share", share), liked.withColumn("n_liked", F.lit(1))
+    source = F.struct(F.col("user_id").alias("source_id"), F.col("like_ts").alias("source_ts"), "share")
+    lists = likers.groupBy("post_id").agg(F.collect_list(source).alias("likers"))
+    earlier = F.filter("likers", lambda x: (x["source_ts"] < F.col("like_ts")) & (x["source_id"] != F.col("user_id")))
+    kept = liked.join(lists, "post_id").select("user_id", "n_liked", earlier.alias("x")).filter(F.size("x") > 0)
+    kept = kept.select("user_id", "n_liked", F.col("x.source_id").alias("source_id"), F.col("x.share").alias("share")).repartition("user_id")
+    part = F.col("x.share") / F.size("source_id") / F.col("n_liked") if p.normalized else F.col("x.share")
+    edges = kept.withColumn("x", F.explode(F.arrays_zip("source_id", "share"))).select("user_id", F.col("x.source_id").alias("source_id"), part.alias("part"))
+    summed = edges.groupBy("user_id", "source_id").agg(F.sum("part").alias("weight"))
+    if p.normalized and p.cap:
+        summed = summed.withColumn("weight", F.least("weight", F.lit(p.cap)))
+    return top(summed, p.max_total_sources, ["user_id"], F.desc("weight"), F.col("source_id"))
 
 
 def author_weights(liked_authors: DataFrame, author_likers: DataFrame, now: int, p: AuthorParams) -> DataFrame:

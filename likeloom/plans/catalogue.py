@@ -63,7 +63,7 @@ def op_rank_user(g: Graph) -> DataFrame:
 
 @query
 def op_rank_all_users(g: Graph) -> DataFrame:
-    return ranked_for(g, None, RANK, g.seen).select("algo_id", "user_id", "post_id", "paths", scaled("score"))
+    return ranked_for(g.stored(), None, RANK, g.seen).select("algo_id", "user_id", "post_id", "paths", scaled("score"))
 
 
 @query

@@ -8,6 +8,9 @@ from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Whether a query's shuffle files go when it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 @lru_cache(maxsize=1)
 def _local_folder() -> str:
@@ -41,9 +44,14 @@ def workspace(spark: SparkSession, label: str) -> str:
 
 def staged(df: DataFrame, label: str) -> DataFrame:
     """df written once and read back: cuts lineage, survives lost executors, and is the same at every read."""
-    path = workspace(df.sparkSession, label)
-    df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark, path = df.sparkSession, workspace(df.sparkSession, label)
+    old = spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true")  # else the shuffle files stay until the driver collects its garbage
+    try:
+        df.write.mode("overwrite").parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, old)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def release(spark: SparkSession, *tables: DataFrame | str) -> None:
