@@ -69,7 +69,7 @@ def op_rank_all_users(g: Graph) -> DataFrame:
 @query
 def op_corater_decay(g: Graph) -> DataFrame:
     p = RankParams(window=WINDOW, half_life=HALF_LIFE, cap=None, corater_decay=0.2, max_results=50)
-    return ranked_for(g, None, p).select("algo_id", "user_id", "post_id", "paths", scaled("score"))
+    return ranked_for(g.stored(), None, p).select("algo_id", "user_id", "post_id", "paths", scaled("score"))
 
 
 @query
