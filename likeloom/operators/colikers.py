@@ -73,12 +73,21 @@ def weights(liked: DataFrame, likers: DataFrame, counts: DataFrame, now: int, p:
     return top(summed, p.max_total_sources, ["user_id"], F.desc("weight"), F.col("source_id"))
 
 
+def author_sources(author_likers: DataFrame, now: int, p: AuthorParams) -> DataFrame:
+    """(author_did, source_id): each author's latest likers."""
+    recent = author_likers.filter(F.col("like_ts").between(now - p.window, now)).groupBy("author_did", "user_id").agg(F.max("like_ts").alias("like_ts"))
+    return top(recent, p.max_likers, ["author_did"], F.desc("like_ts"), F.col("user_id")).select("author_did", F.col("user_id").alias("source_id"))
+
+
 def author_weights(liked_authors: DataFrame, author_likers: DataFrame, now: int, p: AuthorParams) -> DataFrame:
     """(user_id, source_id, weight) over a user's best liked authors: the sum of the square roots of the user's likes of them."""
+    return shared_authors(liked_authors, author_sources(author_likers, now, p), p)
+
+
+def shared_authors(liked_authors: DataFrame, sources: DataFrame, p: AuthorParams) -> DataFrame:
+    """author_weights() from author_sources()."""
     own = top(liked_authors, p.max_authors, ["user_id"], F.desc("like_count"), F.col("author_did")).filter(F.col("like_count") >= p.min_likes)
-    recent = author_likers.filter(F.col("like_ts").between(now - p.window, now)).groupBy("author_did", "user_id").agg(F.max("like_ts").alias("like_ts"))
-    source = top(recent, p.max_likers, ["author_did"], F.desc("like_ts"), F.col("user_id")).select("author_did", F.col("user_id").alias("source_id"))
-    shared = own.join(source, "author_did").filter(F.col("source_id") != F.col("user_id"))
+    shared = own.join(sources, "author_did").filter(F.col("source_id") != F.col("user_id"))
     summed = shared.groupBy("user_id", "source_id").agg(F.sum(F.sqrt("like_count")).alias("weight"))
     return top(summed, p.max_sources, ["user_id"], F.desc("weight"), F.col("source_id"))
 

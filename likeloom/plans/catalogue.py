@@ -97,7 +97,7 @@ def op_rank_inverted_lua(g: Graph) -> DataFrame:
 
 @query
 def op_rank_by_authors(g: Graph) -> DataFrame:
-    return ranker.rank_by_authors(g.likes, g.posts, g.candidates, g.counts, NOW, RankParams(window=WINDOW, half_life=HALF_LIFE, cap=None, max_results=30), AUTHORS, g.seen).select("algo_id", "user_id", "post_id", "paths", scaled("score", 1e3))
+    return ranker.rank_by_authors(g.stored().likes, g.posts, g.candidates, g.counts, NOW, RankParams(window=WINDOW, half_life=HALF_LIFE, cap=None, max_results=30), AUTHORS, g.seen).select("algo_id", "user_id", "post_id", "paths", scaled("score", 1e3))
 
 
 @query
