@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expressions import hash16, paths_boost, popularity_penalty, seeded_unit, top
 from ..params import RankParams
-from . import colikers, graph, ranker
+from . import blocks, colikers, graph, ranker
 
 
 def top_contributors(paths: DataFrame, n: int) -> DataFrame:
@@ -20,14 +22,18 @@ def breakdown(scores: DataFrame, contributors: DataFrame, p: RankParams) -> Data
     """Scores with their factors as a struct, and the contributors as an array in order."""
     each = F.struct("place", "source_id", "weight", "recency", "contribution")
     lists = contributors.groupBy("algo_id", "user_id", "post_id").agg(F.array_sort(F.collect_list(each)).alias("top_contributors"))
-    parts = F.struct(
+    return scores.withColumn("breakdown", factors(p)).join(lists, ["algo_id", "user_id", "post_id"], "left")
+
+
+def factors(p: RankParams) -> Column:
+    """A score's factors as a struct."""
+    return F.struct(
         F.col("raw_score").alias("raw"),
         popularity_penalty(F.col("liker_count"), p.popularity_power).alias("popularity_penalty"),
         F.col("liker_count").alias("likers"),
         F.col("paths").alias("paths"),
         paths_boost(F.col("paths"), p.num_paths_power).alias("paths_boost"),
     )
-    return scores.withColumn("breakdown", parts).join(lists, ["algo_id", "user_id", "post_id"], "left")
 
 
 def audited(requests: DataFrame, enabled: bool, everyone: bool, share: float, users: DataFrame | None = None) -> DataFrame:
@@ -100,11 +106,11 @@ def sample_colikers(weights: DataFrame, edges: DataFrame, liked: DataFrame, n: i
     return best.join(lists, ["user_id", "source_id"]).withColumn("sample", short)
 
 
-def sample_posts(paths: DataFrame, scores: DataFrame, p: RankParams, n: int = 20, contributors: int = 10) -> DataFrame:
-    """The n best posts of each feed and user with the score's breakdown and the paths that add most to it."""
-    best = ranker.cut(scores, n)
-    theirs = paths.join(best.select("algo_id", "user_id", "post_id"), ["algo_id", "user_id", "post_id"], "left_semi")
-    return breakdown(best, top_contributors(theirs, contributors), p)
+def sample_posts(weights: DataFrame, items: DataFrame, excluded: DataFrame | None, p: RankParams, n: int = 20, contributors: int = 10) -> DataFrame:
+    """The n best posts of each feed and user with the score's breakdown and the paths that add most to it; arguments as blocks.walked() takes them."""
+    best = blocks.walked(weights, items, excluded, replace(ranker.scoring(p), results=n, contributors=contributors))
+    placed = F.transform("contributors", lambda x, i: F.struct((i + 1).alias("place"), x["source_id"].alias("source_id"), x["weight"].alias("weight"), x["recency"].alias("recency"), x["contribution"].alias("contribution")))
+    return best.withColumn("breakdown", factors(p)).withColumn("top_contributors", placed).drop("contributors")
 
 
 #: What the sources of a page's posts count as.

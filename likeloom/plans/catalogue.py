@@ -670,11 +670,10 @@ def op_proof_colikers(g: Graph) -> DataFrame:
 
 @query
 def op_score_breakdown(g: Graph) -> DataFrame:
-    window = graph.windowed(g.likes, NOW, WINDOW)
+    window = graph.windowed(g.stored().likes, NOW, WINDOW)
     weights = colikers.weights(graph.user_likes(window, RANK.max_user_likes), graph.post_likers(window, RANK.max_sources_per_post), g.like_counts, NOW, RANK)
     posts = ranker.scoreable(g.candidates, g.counts, RANK)
-    paths = ranker.contributions(weights, ranker.candidate_likers(window, posts, RANK.max_likers_per_post), posts, None, NOW, RANK)
-    found = explain.sample_posts(paths, ranker.scored(paths, None, RANK), RANK, n=5, contributors=3)
+    found = explain.sample_posts(weights, ranker.items_of(window, posts, NOW, RANK), None, RANK, n=5, contributors=3)
     b = F.col("breakdown")
     return found.select("algo_id", "user_id", "post_id", F.round(b["raw"] * 1e6, 4).alias("raw"), F.round(b["popularity_penalty"], 8).alias("penalty"), b["likers"].alias("likers"), b["paths"].alias("paths"), F.round(b["paths_boost"], 8).alias("boost"), F.concat_ws(",", F.transform("top_contributors", lambda x: x["source_id"].cast("string"))).alias("contributors"))
 
