@@ -85,6 +85,7 @@ def op_score_topk_generic(g: Graph) -> DataFrame:
 
 @query
 def op_rank_source_first(g: Graph) -> DataFrame:
+    g.stored()
     allowed = tranches.algo_likers(g.candidates.filter("algo_id = 0"), g.likes, NOW, 0)
     found = ranker.rank_source_first(g.likes, g.candidates, NOW, RANK, everyone(g), None, allowed)
     return found.select("algo_id", "user_id", "post_id", "paths", scaled("score"))
