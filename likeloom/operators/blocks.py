@@ -85,7 +85,7 @@ def walked(weights: DataFrame, items: DataFrame, excluded: DataFrame | None, s:
         F.coalesce(F.col("algo_id").cast("long"), F.lit(NULL)).alias("algo_id"), (-F.col("like_ts")).alias("_order"), F.col("post_id").cast("long").alias("post_id"),
         F.col("liker_count").cast("long").alias("liker_count"), F.col("factor").cast("double").alias("factor"),
     )
-    lists = items.groupBy(F.col("source_id").cast("long").alias("source_id")).agg(F.sort_array(F.collect_list(entry)).alias("x"))
+    lists = staged(items.groupBy(F.col("source_id").cast("long").alias("source_id")).agg(F.sort_array(F.collect_list(entry)).alias("x")), "lists")
     asked = users.select("block", F.explode("sources").alias("source_id")).distinct()
     lists = asked.join(lists, "source_id").select("block", F.lit(0).alias("kind"), F.col("source_id").alias("id"), F.col("x.post_id").alias("a"), F.col("x.liker_count").alias("b"), F.col("x.algo_id").alias("c"), F.col("x.factor").alias("x"))
     users = users.select("block", F.lit(1).alias("kind"), F.col("user_id").alias("id"), F.col("sources").alias("a"), F.col("gone").alias("b"), F.lit(None).cast("array<bigint>").alias("c"), F.col("weights").alias("x"))

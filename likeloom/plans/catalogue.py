@@ -93,7 +93,7 @@ def op_rank_source_first(g: Graph) -> DataFrame:
 
 @query
 def op_rank_inverted_lua(g: Graph) -> DataFrame:
-    return ranker.rank_candidates_first(g.likes, g.candidates, NOW, RANK, everyone(g)).select("algo_id", "user_id", "post_id", "paths", scaled("score"))
+    return ranker.rank_candidates_first(g.stored().likes, g.candidates, NOW, RANK, everyone(g)).select("algo_id", "user_id", "post_id", "paths", scaled("score"))
 
 
 @query

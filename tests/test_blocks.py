@@ -14,7 +14,7 @@ from likeloom.plans.catalogue import QUERIES
 NOW = 1_706_140_800
 
 
-@pytest.mark.parametrize("name", ["op_corater_decay", "op_rank_all_users", "op_rank_by_authors", "op_rank_source_first", "op_score_breakdown"])
+@pytest.mark.parametrize("name", ["op_corater_decay", "op_rank_all_users", "op_rank_inverted_lua", "op_rank_by_authors", "op_rank_source_first", "op_score_breakdown"])
 def test_no_path_is_dealt_out(spark, sf_dir, name):
     """What stands above the blocks' scorer is narrow: no exchange comes after the paths are made."""
     plan = QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
