@@ -145,6 +145,9 @@ class Run:
     def __init__(self, hashes, document, first, windows, start, end, variant):
         self.hashes, self.document, self.first, self.windows, self.start, self.end, self.variant = hashes, document, first, windows, start, end, variant
 
+    def some(self, which: np.ndarray | slice) -> Run:
+        return Run(*(x[which] for x in (self.hashes, self.document, self.first, self.windows, self.start, self.end, self.variant)))
+
 
 def runs_of(units: Units, texts: list[bytes]) -> Iterator[tuple[bytes, Run]]:
     """The runs of documents, block by block."""
@@ -224,7 +227,13 @@ class Pieces:
 
 
 class Local:
-    """Repeats within a group. take() gets runs in the order of their documents; the rest is what the buckets must see."""
+    """Repeats within a group. take_block() gets runs in the order of their documents; the rest is what the buckets must see."""
+
+    def take_block(self, documents: list[tuple], text: bytes, runs: Run, hot: np.ndarray) -> None:
+        """Runs of a block of text: take() of each, unless a method takes them together. documents: by the runs' numbers of them."""
+        columns = (x.tolist() for x in (runs.hashes, hot, runs.document, runs.first, runs.windows, runs.start, runs.end))
+        for h, split, d, first, windows, a, b in zip(*columns, strict=True):
+            self.take(documents[d], h, bool(split), first, windows, text[a:b])
 
     def take(self, document: tuple, h: int, hot: bool, first: int, windows: int, text: bytes) -> None:
         """document: (id or 0, key, whether the id is null); h: the run's minimiser hash."""
@@ -431,13 +440,11 @@ def _send_pieces(units: Units, deal: Deal, batches: int):
         packs, local = documents.column("pack"), units.local()
         for part in range(0, len(rows), CHUNK):  # in the documents' order, so that a text's first place is met first
             chosen = rows[part : part + CHUNK]
+            places = [(i, k, none) for (none, i, k), _ in chosen]
             for text, run in runs_of(units, _texts(packs.take(pa.array([n for _, n in chosen])).to_pylist())):
                 at = np.minimum(np.searchsorted(known, run.hashes), len(known) - 1)
                 hit = np.flatnonzero(known[at] == run.hashes)
-                columns = (x[hit].tolist() for x in (run.hashes, run.document, run.first, run.windows, run.start, run.end))
-                for h, d, first, windows, a, b, split in zip(*columns, hot[at[hit]].tolist(), strict=True):
-                    (none, i, k), _ = chosen[d]
-                    local.take((i, k, none), h, bool(split), first, windows, text[a:b])
+                local.take_block(places, text, run.some(hit), hot[at[hit]])
         g = key[0].as_py()
         if rows:
             hashes, pieces, spans = local.finish()

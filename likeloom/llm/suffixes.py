@@ -4,9 +4,10 @@ The bytes of a document that a WINDOW-byte string covers which also starts earli
 
 Groups of documents (repeats.py) are dealt into batches, and the family takes in batch after batch:
  * each group of a batch gets the suffix array of its texts, as far as their minimisers stand more
-   than once in the corpus (suffixes by their first WINDOW bytes). Neighbours with WINDOW bytes in
-   common are repeats: the earliest stays, the others are covered; the distinct
-   suffixes left go, as texts, to the buckets of their minimisers;
+   than once in the corpus (suffixes by their first WINDOW bytes, compared as numbers word by word
+   as far as those tell them apart). Neighbours with WINDOW bytes in common are repeats: the earliest
+   stays, the others are covered; the distinct suffixes left go, as texts, to the buckets of their
+   minimisers;
  * a bucket of the batch gets the suffix array of what its groups sent, and is merge-scanned against
    the same bucket's sorted array of every level there is; of two equal windows the later is covered;
  * what is left becomes a level, a table in the shared folder with a sorted array for each bucket.
@@ -21,6 +22,7 @@ its result; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable, Iterator
 from functools import reduce
 
@@ -30,15 +32,17 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .repeats import BYTE_HASH, META, PART_UNITS, SPAN, Corpus, Deal, Local, Pieces, Units, one_by_one, polynomial, ranges, span_rows
+from .repeats import BYTE_HASH, META, PART_UNITS, SPAN, Corpus, Deal, Local, Pieces, Run, Units, one_by_one, polynomial, ranges, span_rows
 from .shared import Table, packed, unpacked
 
 WINDOW, ANCHOR = 100, 32
+#: Bytes that are compared as one number.
+WORD = 8
 #: Batches that the corpus comes in.
 BATCHES = 4
 #: Bytes of text that one suffix array within a group is made for, and windows of one within a bucket.
 BATCH_BYTES, PART = 1 << 20, 1 << 20
-#: A merge-scan holds the windows of so many suffixes of a level at once.
+#: A merge-scan holds so many windows at once.
 SCAN = 1 << 16
 
 
@@ -68,27 +72,88 @@ class ByteUnits(Units):
 # ---- suffix arrays -------------------------------------------------------------------------------
 
 
+def bytes_at(text: np.ndarray, places: np.ndarray, n: int) -> np.ndarray:
+    """The n bytes from places of a text as fixed-width byte strings, which numpy orders as bytes."""
+    if not len(places):
+        return np.zeros(0, dtype=f"S{n}")
+    return np.ndarray(len(text) - n + 1, f"S{n}", text, strides=(1,))[places]
+
+
 def windows_at(text: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """The windows at places of a text as fixed-width byte strings, which numpy orders as bytes."""
-    if not len(starts):
-        return np.zeros(0, dtype=f"S{WINDOW}")
-    view = np.lib.stride_tricks.sliding_window_view(text, WINDOW)
-    return np.ascontiguousarray(view[starts]).view(f"S{WINDOW}").ravel()
+    return bytes_at(text, starts, WINDOW)
+
+
+def words_at(text: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """The WORD bytes from places of a text as numbers, which are ordered as the bytes."""
+    if not len(places):
+        return np.zeros(0, dtype=np.uint64)
+    return np.ndarray(len(text) - WORD + 1, ">u8", text, strides=(1,))[places].astype(np.uint64)
+
+
+def changes(x: np.ndarray) -> np.ndarray:
+    """Whether each is another than the one before it."""
+    new = np.ones(len(x), dtype=bool)
+    np.not_equal(x[1:], x[:-1], out=new[1:])
+    return new
+
+
+def equal(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a == b for byte strings whose width is a multiple of four."""
+    x, y = (s.view("<u4").reshape(len(s), s.itemsize // 4) for s in (a, b))
+    return (x == y).all(axis=1)
+
+
+def within(group: np.ndarray, by: np.ndarray) -> np.ndarray:
+    """An order made one by group first; groups are numbers under 2 ** 32."""
+    keys = (group[by].astype(np.uint64) << np.uint64(32)) | np.arange(len(by), dtype=np.uint64)
+    keys.sort()
+    return by[(keys & np.uint64(0xFFFFFFFF)).astype(np.int64)]
 
 
 def suffix_array(text: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The suffixes at ascending starts ordered by their first WINDOW bytes, which is as far as a repeat must reach: which are the first of their content, and those by number in their order."""
-    windows = windows_at(text, starts)
-    order = np.argsort(windows, kind="stable")  # of equal ones the earliest comes first
-    windows = windows[order]
-    new = np.ones(len(order), dtype=bool)
-    new[1:] = windows[1:] != windows[:-1]
-    index = order[new]
+    """The suffixes at ascending starts ordered by their first WINDOW bytes, which is as far as a repeat must reach: which are the first of their content, and those by number in their order.
+
+    They are sorted by a first word as numbers, those tied by a second one, and those tied then as
+    strings, unless all of a tie are equal.
+    """
     fresh = np.zeros(len(starts), dtype=bool)
+    if not len(starts):
+        return fresh, np.zeros(0, dtype=np.int64)
+    words = words_at(text, starts)
+    order = np.argsort(words)
+    new = changes(words[order])
+    tied, group, part = _ties(order, new)
+    words = words_at(text, starts[part] + WORD)
+    by = within(group, np.argsort(words))
+    order[tied], new[tied] = part[by], changes(group) | changes(words[by])
+    tied, group, part = _ties(order, new)
+    rest = bytes_at(text, starts[part] + 2 * WORD, WINDOW - 2 * WORD)
+    several = np.zeros(len(starts) + 1, dtype=bool)
+    several[group[1:][~equal(rest[1:], rest[:-1]) & (group[1:] == group[:-1])]] = True
+    mixed = np.flatnonzero(several[group])
+    tied, group, part, rest = tied[mixed], group[mixed], part[mixed], rest[mixed]
+    by = within(group, np.argsort(rest, kind="stable"))
+    order[tied], new[tied] = part[by], changes(group) | changes(rest[by])
+    index = np.minimum.reduceat(order, np.flatnonzero(new))  # of equal ones the earliest
     fresh[index] = True
     return fresh, index
 
 
+def _ties(order: np.ndarray, new: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places in an order that are tied with a neighbour, the numbers of their ties, and what stands there."""
+    alone = new.copy()
+    alone[:-1] &= new[1:]
+    tied = np.flatnonzero(~alone)
+    return tied, np.cumsum(new)[tied], order[tied]
+
+
+def stretch_of(size: int, first: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """In which of the stretches that begin at ascending first places of a text of some size each place is."""
+    count = np.zeros(size + 1, dtype=np.int32)
+    count[first] = 1
+    return np.cumsum(count, dtype=np.int32)[places] - 1
+
+
 def window_starts(lengths: np.ndarray, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For texts one after the other: the places of all their windows, and the number of the first window of each text."""
     offsets = np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)[:-1]])
@@ -97,59 +162,70 @@ def window_starts(lengths: np.ndarray, windows: np.ndarray) -> tuple[np.ndarray,
 
 
 class GroupArrays(Local):
-    """A group's suffix arrays, one for each BATCH_BYTES of runs; runs that follow each other share their text."""
+    """A group's suffix arrays, one for each BATCH_BYTES of runs; runs of a block that follow each other share their text."""
 
     def __init__(self, units: Units):
         self.units, self.hashes, self.meta, self.texts, self.covered = units, [], [], [], []
         self._clear()
 
     def _clear(self) -> None:
-        self.runs: list[tuple] = []
-        self.text, self.end = bytearray(), None
-
-    def take(self, document: tuple, h: int, hot: bool, first: int, windows: int, text: bytes) -> None:
-        if len(self.text) + len(text) > BATCH_BYTES and self.runs:
+        self.runs: list[list[np.ndarray]] = []
+        self.text = bytearray()
+
+    def take_block(self, documents: list[tuple], text: bytes, runs: Run, hot: np.ndarray) -> None:
+        ids, keys, none = (np.array(x, dtype=np.int64) for x in zip(*documents, strict=True))
+        cuts = np.flatnonzero(changes(runs.start // BATCH_BYTES))
+        for a, b in itertools.pairwise([*cuts.tolist(), len(runs.start)]):
+            self._take(ids, keys, none, text, runs.some(slice(a, b)), hot[a:b])
+
+    def _take(self, ids: np.ndarray, keys: np.ndarray, none: np.ndarray, text: bytes, runs: Run, hot: np.ndarray) -> None:
+        apart = changes(runs.document)
+        apart[1:] |= runs.first[1:] != runs.first[:-1] + runs.windows[:-1]
+        first = np.flatnonzero(apart)
+        start, end = runs.start[first], runs.end[np.append(first[1:], len(apart)) - 1]
+        reach = np.cumsum(end - start)
+        if self.runs and len(self.text) + reach[-1] > BATCH_BYTES:
             self._settle()
-        if self.end == (document, first):
-            at = len(self.text) - WINDOW + 1
-            self.text += text[WINDOW - 1 :]
-        else:
-            at = len(self.text)
-            self.text += text
-        self.end = (document, first + windows)
-        self.runs.append((h, hot, *document, first, windows, at))
+        moved = len(self.text) + np.concatenate([[0], reach[:-1]]) - start
+        at = runs.start + moved[np.cumsum(apart) - 1]
+        self.text += b"".join([text[a:b] for a, b in zip(start.tolist(), end.tolist(), strict=True)])
+        d = runs.document
+        self.runs.append([runs.hashes, hot.astype(bool), ids[d], keys[d], none[d], runs.first, runs.windows, at])
 
     def _settle(self) -> None:
-        h, hot, ids, keys, none, first, windows, at = zip(*self.runs, strict=True)
-        ids, keys, none, first, windows, at = (np.array(x, dtype=np.int64) for x in (ids, keys, none, first, windows, at))
+        h, hot, ids, keys, none, first, windows, at = (np.concatenate(x) for x in zip(*self.runs, strict=True))
         before = np.concatenate([[0], np.cumsum(windows)])
         starts = np.arange(before[-1]) + np.repeat(at - before[:-1], windows)
         text = bytes(self.text)
         fresh, _ = suffix_array(np.frombuffer(text, dtype=np.uint8), starts)
         owner = np.repeat(np.arange(len(windows)), windows)
-        for flags, own in ((~fresh, False), (fresh, True)):
-            a, b = ranges(flags, before)
-            run = owner[a]
-            start = first[run] + a - before[run]
-            if not own:
-                self.covered.append([ids[run], keys[run], none[run], start, start + b - a + WINDOW - 1])
-                continue
-            offset = starts[a]
-            for i, r, p, n, o in zip(range(len(a)), run.tolist(), start.tolist(), (b - a).tolist(), offset.tolist(), strict=True):
-                piece = text[o : o + n + WINDOW - 1]
-                each = one_by_one(self.units, piece, p) if hot[r] else ((h[r], p, piece),)
-                for key, place, part in each:
-                    self.hashes.append(key)
-                    self.meta.append((ids[r], keys[r], none[r], place, len(part) - WINDOW + 1, len(part), 1))
-                    self.texts.append(part)
+        a, b = ranges(~fresh, before)
+        run = owner[a]
+        start = first[run] + a - before[run]
+        self.covered.append([ids[run], keys[run], none[run], start, start + b - a + WINDOW - 1])
+        a, b = ranges(fresh, before)
+        run = owner[a]
+        start, offset, count = first[run] + a - before[run], starts[a], b - a
+        end = offset + count + WINDOW - 1
+        whole = np.flatnonzero(~hot[run])
+        r = run[whole]
+        self.hashes.append(h[r])
+        self.meta.append([ids[r], keys[r], none[r], start[whole], count[whole], (end - offset)[whole], np.ones(len(r), dtype=np.int64)])
+        self.texts += [text[x:y] for x, y in zip(offset[whole].tolist(), end[whole].tolist(), strict=True)]
+        for n in np.flatnonzero(hot[run]).tolist():
+            r = run[n]
+            key, place, parts = zip(*one_by_one(self.units, text[offset[n] : end[n]], int(start[n])), strict=True)
+            size = len(parts)
+            self.hashes.append(np.array(key, dtype=np.uint64))
+            self.meta.append([*(np.full(size, x[r]) for x in (ids, keys, none)), np.array(place), *(np.full(size, x) for x in (1, WINDOW, 1))])
+            self.texts += parts
         self._clear()
 
     def finish(self) -> tuple[np.ndarray, Pieces, list[np.ndarray]]:
         if self.runs:
             self._settle()
-        meta = [np.array(x, dtype=kind) for x, kind in zip(zip(*self.meta, strict=True) if self.meta else ([],) * len(META), META, strict=True)]
-        spans = [np.concatenate(x) if x else np.zeros(0, dtype=np.int64) for x in (zip(*self.covered, strict=True) if self.covered else ([],) * len(SPAN))]
-        return np.array(self.hashes, dtype=np.uint64), Pieces(meta, self.texts), [x.astype(kind) for x, kind in zip(spans, SPAN, strict=True)]
+        meta, spans = ([np.concatenate([np.zeros(0, dtype=kind), *x]).astype(kind) for x, kind in zip(zip(*found, strict=True) if found else ([],) * len(kinds), kinds, strict=True)] for found, kinds in ((self.meta, META), (self.covered, SPAN)))
+        return np.concatenate([np.zeros(0, dtype=np.uint64), *self.hashes]), Pieces(meta, self.texts), spans
 
 
 # ---- levels --------------------------------------------------------------------------------------
@@ -178,46 +254,58 @@ class Level:
         """The windows a to b of the order."""
         return windows_at(self.text, self.order[a:b])
 
-    def reach(self, window: bytes, after: bool) -> int:
-        """How many windows come before one, or, with `after`, before or equal to it."""
-        low, high = 0, len(self.order)
-        while low < high:
-            middle = (low + high) // 2
-            one = self.windows(middle, middle + 1)[0]
-            low, high = (middle + 1, high) if one < window or (after and one == window) else (low, middle)
-        return low
+    def words(self, a: int, b: int) -> np.ndarray:
+        """The first words of the windows a to b of the order."""
+        return words_at(self.text, self.order[a:b])
 
     def places(self, which: np.ndarray) -> tuple[np.ndarray, ...]:
         """(null id, id, key, first byte) of windows by their numbers in the order."""
         at = self.order[which].astype(np.int64)
-        piece = np.searchsorted(self.pieces[4], at, side="right") - 1
+        piece = stretch_of(len(self.text), self.pieces[4], at)
         return self.pieces[2][piece], self.pieces[0][piece], self.pieces[1][piece], self.pieces[3][piece] + at - self.pieces[4][piece]
 
     def without(self, gone: np.ndarray) -> Level:
         return Level(self.text, self.pieces, np.delete(self.order, gone)) if len(gone) else self
 
 
-def scan(level: Level, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Merge-scan of ascending windows against a level: where each belongs in it, and whether it is there. Only the part of the level between the first and the last is read."""
-    where, there = np.zeros(len(own), dtype=np.int64), np.zeros(len(own), dtype=bool)
-    if not len(own):
-        return where, there
-    at, start, stop = 0, level.reach(own[0], False), level.reach(own[-1], True)
-    where[:] = start
-    for a in range(start, stop, SCAN):
-        chunk = level.windows(a, min(a + SCAN, stop))
-        end = len(own) if a + len(chunk) == stop else int(np.searchsorted(own, chunk[-1], side="right"))
-        found = np.searchsorted(chunk, own[at:end])
-        where[at:end] = a + found
-        there[at:end] = chunk[np.minimum(found, len(chunk) - 1)] == own[at:end]
-        at = end
+def scan(level: Level, words: np.ndarray, edges: np.ndarray, new: Level, a: int, b: int) -> tuple[np.ndarray, np.ndarray]:
+    """Merge-scan of the windows a to b of a level against another level: where each belongs in it, and whether it is there.
+
+    words: the other's distinct first words, and at which window each begins and the last ends. Windows
+    are read only where first words are equal.
+    """
+    own = new.words(a, b)
+    tie = np.searchsorted(words, own)
+    where, there = edges[tie], np.zeros(len(own), dtype=bool)
+    left = np.flatnonzero(words[np.minimum(tie, len(words) - 1)] == own)
+    low, high = where[left], edges[tie[left] + 1]
+    windows = windows_at(new.text, new.order[a:b][left])
+    while len(left):
+        middle = (low + high) // 2
+        theirs = windows_at(level.text, level.order[middle])
+        same = equal(theirs, windows)
+        there[left[same]] = True
+        other = np.flatnonzero(~same)
+        less = np.zeros(len(left), dtype=bool)
+        less[other] = theirs[other] < windows[other]
+        low, high = np.where(less, middle + 1, np.where(same, middle, low)), np.where(less, high, middle)
+        where[left] = low
+        more = np.flatnonzero(low < high)
+        left, windows, low, high = left[more], windows[more], low[more], high[more]
     return where, there
 
 
 def scanned(new: Level, level: Level) -> tuple[np.ndarray, np.ndarray]:
-    """scan() of a level's windows against another's."""
-    parts = [scan(level, new.windows(a, min(a + SCAN, len(new.order)))) for a in range(0, len(new.order), SCAN)]
-    return tuple(np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, dtype=np.int64), np.zeros(0, dtype=bool))
+    """scan() of all of a level's windows against another's."""
+    size = len(new.order)
+    if not size or not len(level.order):
+        return np.zeros(size, dtype=np.int64), np.zeros(size, dtype=bool)
+    words = level.words(0, len(level.order))
+    first = np.flatnonzero(changes(words))
+    edges = np.append(first, len(words))
+    words = words[first]
+    parts = [scan(level, words, edges, new, a, min(a + SCAN, size)) for a in range(0, size, SCAN)]
+    return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
 
 
 def earlier(a: tuple[np.ndarray, ...], b: tuple[np.ndarray, ...]) -> np.ndarray:
@@ -313,7 +401,7 @@ def compact(level: Level) -> Level:
     lengths = b - a + WINDOW - 1
     offsets = np.concatenate([[0], np.cumsum(lengths)[:-1]])
     text = level.text[np.arange(int(lengths.sum())) + np.repeat(a - offsets, lengths)]
-    moved = np.searchsorted(a, level.order, side="right") - 1
+    moved = stretch_of(size, a, level.order)
     first = level.pieces[3][piece] + a - level.pieces[4][piece]
     return Level(text, [*(x[piece] for x in level.pieces[:3]), first, offsets], level.order - a[moved] + offsets[moved])
 

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import itertools
 import random
+import time
 from collections import Counter
 
 import numpy as np
@@ -360,6 +362,64 @@ def test_levels_take_in_batches_in_any_order(part, monkeypatch):
     assert covered == want
 
 
+def seconds(work):
+    """The least CPU seconds of three runs, and the last one's result."""
+    taken = []
+    for _ in range(3):
+        begun = time.process_time()
+        found = work()
+        taken.append(time.process_time() - begun)
+    return min(taken), found
+
+
+def windows_of_words(rng, n):
+    """A text of words, a third of it copied, and all places of windows in it."""
+    words = [bytes(rng.integers(97, 123, rng.integers(2, 9), dtype=np.uint8)) for _ in range(3000)]
+    text = b" ".join(words[i] for i in rng.integers(len(words), size=n // 6))
+    text = np.frombuffer(text + text[: len(text) // 2], dtype=np.uint8)
+    return text, np.arange(len(text) - suffixes.WINDOW + 1)
+
+
+def test_suffix_array_is_cheaper_than_sorting_strings():
+    text, starts = windows_of_words(np.random.default_rng(5), 300_000)
+    strings, (_, first) = seconds(lambda: np.unique(suffixes.windows_at(text, starts), return_index=True))
+    numbers, (fresh, index) = seconds(lambda: suffixes.suffix_array(text, starts))
+    assert (index == first).all() and fresh.sum() == len(first) and fresh[first].all()
+    assert numbers < 0.6 * strings
+
+
+def test_scan_equals_searching_strings():
+    rng = np.random.default_rng(6)
+    text, starts = windows_of_words(rng, 300_000)
+    one, two = (suffixes.Level(text, [], own[suffixes.suffix_array(text, own)[1]]) for own in (starts[rng.random(len(starts)) < 0.7] for _ in range(2)))
+    own, other = one.windows(0, len(one.order)), two.windows(0, len(two.order))
+    place = np.searchsorted(other, own)
+    where, there = suffixes.scanned(one, two)
+    assert (where == place).all() and (there == (other[np.minimum(place, len(other) - 1)] == own)).all() and 0 < there.sum() < len(there)
+
+
+@pytest.mark.parametrize("same", [0, 7, 8, 12, 16, 60, 99])
+def test_suffix_array_and_scan_of_long_ties(same, monkeypatch):
+    """Windows that are equal for so many bytes, then differ or don't, with zero and high bytes in them."""
+    monkeypatch.setattr(suffixes, "SCAN", 7)
+    rng = np.random.default_rng(same)
+    size = suffixes.WINDOW
+    heads = [bytes(rng.integers(256, size=same, dtype=np.uint8)) for _ in range(2)]
+    tails = [bytes(x) + bytes(size - same - 1) for x in ([0], [1], [127], [128], [255])]
+    windows = [heads[rng.integers(2)] + tails[rng.integers(5)] for _ in range(90)]
+    levels = []
+    for own in (windows[:60], windows[30:], windows[:1]):
+        text, starts = np.frombuffer(b"".join(own), dtype=np.uint8), np.arange(0, size * len(own), size)
+        fresh, index = suffixes.suffix_array(text, starts)
+        assert index.tolist() == [own.index(x) for x in sorted(set(own))]
+        assert fresh.tolist() == [x not in own[:i] for i, x in enumerate(own)]
+        levels.append((suffixes.Level(text, [], starts[index]), sorted(set(own))))
+    for one, own in levels:
+        for two, other in levels:
+            where, there = suffixes.scanned(one, two)
+            assert where.tolist() == [bisect.bisect_left(other, x) for x in own] and there.tolist() == [x in other for x in own]
+
+
 @settings(max_examples=80, deadline=None)
 @given(st.lists(st.integers(0, 2), min_size=1, max_size=60), st.integers(1, 20))
 def test_prefix_doubling_orders_suffixes(units, depth):
